@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from siftline.llm import decontaminate
+from siftline.llm import bpe, decontaminate
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": decontaminate.op1}
+    return {"op1_decontaminate": decontaminate.op1, "op2_byte_bpe": bpe.op2}
 
 
 def oracle_sql() -> dict[str, str]:
