@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, decontaminate
+from siftline.llm import bpe, decontaminate, urls, warc
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": decontaminate.op1, "op2_byte_bpe": bpe.op2}
+    return {"op1_decontaminate": decontaminate.op1, "op2_byte_bpe": bpe.op2, "op6_url_filters": urls.op6, "op8_warc_zip": warc.op8}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op8_warc_zip": warc.OP8_SQL}
