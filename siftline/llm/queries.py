@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from siftline.llm import backoff, bpe, decontaminate, suffixes, urls, warc
+from siftline.llm import backoff, bpe, decontaminate, langid, suffixes, urls, warc
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": decontaminate.op1, "op2_byte_bpe": bpe.op2, "op3_suffix_dedup": suffixes.op3, "op6_url_filters": urls.op6, "op8_warc_zip": warc.op8, "op10_lm_backoff": backoff.op10}
+    return {"op1_decontaminate": decontaminate.op1, "op2_byte_bpe": bpe.op2, "op3_suffix_dedup": suffixes.op3, "op6_url_filters": urls.op6, "op7_language_id": langid.op7, "op8_warc_zip": warc.op8, "op10_lm_backoff": backoff.op10}
 
 
 def oracle_sql() -> dict[str, str]:
