@@ -6,8 +6,7 @@ of P(w | u), and a failure arc with log(K / (c(u) + K)) leads to the root. Befor
 in the state of an end. The counts of all training documents come through scatter; a chunk compiles the part of the automaton
 that its own words can reach and walks each of its documents once, from left to right.
 
-Null and empty texts are one token, the end. Keys are 64-bit hashes of words. Pairs are told apart by 48 bits and their
-bucket's. Rows with the same id are scored each by itself; other columns are not read.
+Null and empty texts are one token, the end. Keys are 64-bit hashes of words. Pairs are told apart by 54 bits. Rows with the same id are scored each by itself; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ K = 4.0
 _U = np.uint64
 #: The key of the end, which is no word's hash of at least one byte but by chance.
 END = flat.mix(np.array([0x656E64], _U))[0]
-WIDTH = 6  # bytes of a pair's key
+DROP = 10  # bits of a pair's key that aren't sent
 _RESULT = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -94,22 +93,24 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
         keys, edges, pair = prepare(table)
         trained = np.repeat(table.column("_train").to_numpy(), np.diff(edges))
         parts = []
-        for x, width in ((keys, 8), (pair, WIDTH)):
+        for x, drop in ((keys, 0), (pair, DROP)):
             own, inverse = np.unique(x, return_inverse=True)
             count = np.bincount(inverse[trained], minlength=len(own)).astype(np.uint32)
-            parts.append((own, count, scatter.bucket_edges(own, buckets), width))
+            parts.append((own, count, scatter.bucket_edges(own, buckets), drop))
         out = {}
         for b in range(buckets):
-            (x, nx, ex, wx), (y, ny, ey, wy) = parts
-            i, j, m, n = ex[b], ex[b + 1], ey[b], ey[b + 1]
-            if j > i or n > m:
-                out[b] = np.array([j - i, n - m], np.uint32).tobytes() + scatter.low_bytes(x[i:j], wx) + nx[i:j].tobytes() + scatter.low_bytes(y[m:n], wy) + ny[m:n].tobytes()
+            spans = [(own[e[b] : e[b + 1]], count[e[b] : e[b + 1]], drop) for own, count, e, drop in parts]
+            if any(len(x) for x, _, _ in spans):
+                out[b] = b"".join(scatter.pack_sorted(x, drop) + n.tobytes() for x, n, drop in spans)
         return out
 
-    def unpack(body) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n, m = np.frombuffer(body, np.uint32, 2).tolist()
-        at = 8 + 8 * n
-        return np.frombuffer(body, _U, n, 8), np.frombuffer(body, np.uint32, n, at), scatter.from_low_bytes(np.frombuffer(body, np.uint8, WIDTH * m, at + 4 * n), WIDTH), np.frombuffer(body[at + 4 * n + WIDTH * m :], np.uint32, m)
+    def unpack(body) -> list[np.ndarray]:
+        out = []
+        for _ in range(2):
+            keys, at = scatter.unpack_sorted(body)
+            out += [keys, np.frombuffer(body[at : at + 4 * len(keys)], np.uint32)]
+            body = body[at + 4 * len(keys) :]
+        return out
 
     def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
         own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -121,7 +122,7 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
     def reply(bodies: list) -> list[bytes]:
         parts = [unpack(b) for b in bodies]
         one, two = summed([p[0] for p in parts], [p[1] for p in parts]), summed([p[2] for p in parts], [p[3] for p in parts])
-        return [np.array([len(a), len(b)], np.uint32).tobytes() + a.tobytes() + b.tobytes() for a, b in zip(one, two, strict=True)]
+        return [scatter.pack_counts(a) + scatter.pack_counts(b) for a, b in zip(one, two, strict=True)]
 
     def totals(table: pa.Table) -> pa.Table:
         parts = [unpack(x.as_buffer()) for c in table.column("body").chunks for x in c]
@@ -140,9 +141,10 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
         twos, first, two = np.unique(pair, return_index=True, return_inverse=True)
         counts: tuple[list, list] = ([], [])
         for body in scatter.in_order(told):
-            n, m = np.frombuffer(body, np.uint32, 2).tolist()
-            counts[0].append(np.frombuffer(body, np.int64, n, 8))
-            counts[1].append(np.frombuffer(body, np.int64, m, 8 + 8 * n))
+            for told_counts in counts:
+                found, at = scatter.unpack_counts(body)
+                told_counts.append(found)
+                body = body[at:]
         one, both = np.concatenate(counts[0]), np.concatenate(counts[1])
         t = told.column("_t")[0].as_py()
         total, distinct = t["n"], t["v"]

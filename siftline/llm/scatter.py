@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20  # of text whose keys go to one bucket
+BUCKET_BYTES = 8 << 20  # of text whose keys go to one bucket
 MESSAGE = "_chunk long, _bucket long, body binary"
 _SCHEMA = pa.schema([("_chunk", pa.int64()), ("_bucket", pa.int64()), ("body", pa.binary())])
 
@@ -79,3 +79,42 @@ def from_low_bytes(data, width: int) -> np.ndarray:
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :width] = raw
     return out.view(np.uint64).ravel()
+
+
+def pack_sorted(keys: np.ndarray, drop: int = 0) -> bytes:
+    """Sorted keys without their lowest bits, as a first one and differences of as few bytes as the largest takes."""
+    if not len(keys):
+        return bytes(5)
+    keys = keys >> np.uint64(drop)
+    steps = np.diff(keys)
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return np.array([len(keys)], np.uint32).tobytes() + bytes([width]) + keys[:1].tobytes() + (low_bytes(steps, width) if width and len(steps) else b"")
+
+
+def unpack_sorted(data) -> tuple[np.ndarray, int]:
+    """The keys, and how many bytes they took."""
+    n, width = int(np.frombuffer(data, np.uint32, 1)[0]), data[4]
+    if isinstance(width, bytes):
+        width = width[0]
+    if not n:
+        return np.zeros(0, np.uint64), 5
+    end = 13 + width * (n - 1)
+    first = np.frombuffer(data[5:13], np.uint64)
+    steps = from_low_bytes(np.frombuffer(data, np.uint8, width * (n - 1), 13), width) if width else np.zeros(n - 1, np.uint64)
+    return np.cumsum(np.concatenate([first, steps]), dtype=np.uint64), end
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts, one byte each; 255 stands for one of those that follow in full."""
+    large = counts[counts >= 255]
+    return np.array([len(counts)], np.uint32).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype(np.int64).tobytes()
+
+
+def unpack_counts(data) -> tuple[np.ndarray, int]:
+    """The counts, and how many bytes they took."""
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    out = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    end = 4 + n + 8 * len(large)
+    out[large] = np.frombuffer(bytes(data[4 + n : end]), np.int64)
+    return out, end
