@@ -1,7 +1,7 @@
 """WARC records in ZIP archives, and a reader that never unpacks them.
 
-An archive holds two stored (uncompressed) members: archive/data.warc and indexes/index.cdxj, whose lines
-have a record's offset and length. The reader opens an archive by its end: the end record, the ZIP64 end
+An archive holds two stored members, which ZIP itself doesn't compress: archive/data.warc.gz, each record a
+gzip member of its own, and indexes/index.cdxj, whose lines have a record's offset and length. The reader opens an archive by its end: the end record, the ZIP64 end
 record if there is one, the central directory, then each wanted member's local header; it reads the index,
 then each record by its range. Archives go to a folder that all executors share.
 
@@ -13,6 +13,7 @@ smaller than any other. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from siftline.llm import shared
 
 MIN_BYTES = 0
-ARCHIVE_BYTES = 64 << 20  # of payload, after which a task begins another archive
+ARCHIVE_BYTES = 64 << 20  # of records, after which a task begins another archive
 SALTS = 32
-WARC, INDEX = "archive/data.warc", "indexes/index.cdxj"
+WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 FULL32, FULL16 = 0xFFFFFFFF, 0xFFFF
@@ -198,7 +199,7 @@ def write(records: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES
                     zipped = ZipWriter(sink, zip64)
                     zipped.begin(WARC)
                 payload = html.encode()
-                data = record(page_id, payload, base32_sha1(payload), url, refers)
+                data = gzip.compress(record(page_id, payload, base32_sha1(payload), url, refers), 6, mtime=0)
                 zipped.write(data)
                 lines.append(json.dumps({"id": page_id, "offset": at, "length": len(data)}) + "\n")
                 at, n = at + len(data), n + 1
@@ -232,7 +233,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     held = 0
                     for line in file.read_at(length, start).decode().splitlines():
                         entry = json.loads(line)
-                        fields, payload = parse(file.read_at(entry["length"], first + entry["offset"]))
+                        fields, payload = parse(gzip.decompress(file.read_at(entry["length"], first + entry["offset"])))
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         if fields["WARC-Type"] == "response" and base32_sha1(payload) != digest:
                             raise ValueError(f"damaged record {entry} in {name}")
