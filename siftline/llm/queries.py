@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from siftline.llm import backoff, bpe, counts, decontaminate, langid, neighbours, suffixes, urls, warc
+from siftline.llm import backoff, bpe, counts, decontaminate, langid, neardup, neighbours, suffixes, urls, warc
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": decontaminate.op1, "op2_byte_bpe": bpe.op2, "op3_suffix_dedup": suffixes.op3, "op5_additive_quantisation": neighbours.op5, "op6_url_filters": urls.op6, "op7_language_id": langid.op7, "op8_warc_zip": warc.op8, "op9_token_counts": counts.op9, "op10_lm_backoff": backoff.op10}
+    return {"op1_decontaminate": decontaminate.op1, "op2_byte_bpe": bpe.op2, "op3_suffix_dedup": suffixes.op3, "op4_weighted_minhash": neardup.op4, "op5_additive_quantisation": neighbours.op5, "op6_url_filters": urls.op6, "op7_language_id": langid.op7, "op8_warc_zip": warc.op8, "op9_token_counts": counts.op9, "op10_lm_backoff": backoff.op10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def top(spark: SparkSession) -> str:
@@ -25,3 +26,16 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new folder's URI there."""
     at = top(spark)
     return f"{at if ':' in at else 'file://' + at}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing holds any longer."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame, written to a new shared folder and read again: its lineage ends there."""
+    spark, at, schema = frame.sparkSession, folder(frame.sparkSession, name), frame.schema
+    frame.write.parquet(at)
+    return spark.read.schema(schema).parquet(at)
