@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from siftline.llm import flat
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECE = 1 << 20  # bytes whose distinct pre-tokens are resolved together
 MEMO = 600_000  # merged pre-tokens that a worker keeps
 SPACE, LETTER, NUMBER, OTHER = range(4)
 _U = np.uint64
@@ -263,7 +264,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
         for batch in batches:
             data, offsets = flat.flat(batch.column(1))
             counts, ids, texts = [], [], []
-            for i, j in flat.pieces(offsets):
+            for i, j in flat.pieces(offsets, PIECE):
                 words, whole, inverse, rows = found.encoder.distinct(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 made = found.of(words, whole)
                 sizes = np.array([m[0] for m in made], np.int64)
@@ -281,7 +282,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
 
 def packed_rows(found: Memo, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
     """The int32 ids of each row."""
-    for i, j in flat.pieces(offsets):
+    for i, j in flat.pieces(offsets, PIECE):
         words, whole, inverse, rows = found.encoder.distinct(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         made = found.of(words, whole)
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-PIECE = 1 << 20  # symbols that are worked on at a time; a longer text is a piece of its own
+PIECE = 1 << 18  # symbols that are worked on at a time; a longer text is a piece of its own
 _U = np.uint64
 
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
@@ -119,7 +119,7 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """A mask of n places with those in any start:end set."""
-    delta = np.zeros(n + 1, np.int64)
+    delta = np.zeros(n + 1, np.int32)
     np.add.at(delta, starts, 1)
     np.add.at(delta, ends, -1)
-    return np.cumsum(delta[:-1]) > 0
+    return np.cumsum(delta[:-1], out=delta[:-1]) > 0

@@ -178,14 +178,14 @@ def predict(docs: DataFrame, model, *, keep: tuple[str, ...] = ("doc_id",), text
     """The columns keep, then lang_pred and score; with spans also spans: first and last + 1 character, and language."""
     langs, logs, scripts = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, logs, scripts))
-    docs = docs.select(*keep, F.col(text).alias("_text"))
-    width = len(keep)
+    docs = docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")]))
+    width, place = len(keep), keep.index(text) if text in keep else len(keep)
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, scripts = shared.value
         for batch in batches:
-            data, offsets = flat.flat(batch.column(width))
+            data, offsets = flat.flat(batch.column(place))
             preds, shares, found = [], [], []
             for i, j in flat.pieces(offsets, BATCH):
                 tallies, paths, places = _label(data, offsets, i, j, langs, logs, scripts, penalty)
