@@ -61,7 +61,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor
     first[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     k = np.flatnonzero(first)
     ends = at[np.append(k[1:], len(at)) - 1] + window
-    return h[place[k]], at[k], ends, row[k]
+    # The smallest hashes crowd at the low end; mixed again, they spread over the buckets.
+    return flat.mix(h[place[k]] + _U(1)), at[k], ends, row[k]
 
 
 def _store(n: int, file_rows: int) -> np.ndarray:
@@ -183,6 +184,57 @@ def _distinct(hashes: np.ndarray, rows: np.ndarray, ids: np.ndarray):
     return order[first], i[first], i[first] != i[last]
 
 
+def _sort(bodies: list, window: int) -> list[bytes]:
+    """A bucket's answers: for each told segment its hash and, by runs of windows, their first owners."""
+    lengths, least, several, keys, texts = [], [], [], [], []
+    for body in bodies:
+        n = int(np.frombuffer(body, np.uint32, 1)[0])
+        at = 4
+        lengths.append(np.frombuffer(body, np.uint8, n, at).astype(np.int64))
+        least.append(np.frombuffer(body[at + n : at + 9 * n], np.int64))
+        several.append(np.frombuffer(body, np.uint8, n, at + 9 * n).astype(bool))
+        keys.append(scatter.from_low_bytes(body[at + 10 * n : at + (10 + KEY) * n], KEY))
+        texts.append(np.frombuffer(body, np.uint8, offset=at + (10 + KEY) * n))
+    counts = [len(x) for x in lengths]
+    lengths, ids, several, keys, text = (np.concatenate(x) for x in (lengths, least, several, keys, texts))
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    h = np.concatenate([flat.run_hashes(text[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i, j in flat.pieces(np.append(starts, ends[-1]))])
+    own, place, inverse = np.unique(h, return_index=True, return_inverse=True)
+    owner = np.full(len(own), LAST)
+    np.minimum.at(owner, inverse, ids)
+    by_anchor = np.argsort(keys[place], kind="stable")
+    sorted_keys = keys[place][by_anchor]
+    windows = lengths[place] - window + 1
+    first = np.cumsum(windows) - windows
+    found = np.empty(int(windows.sum()), np.int64)
+    i = 0
+    while i < len(by_anchor):
+        j = min(i + COLLECTION, len(by_anchor))
+        j = int(np.searchsorted(sorted_keys, sorted_keys[j - 1], "right"))  # an anchor's segments stay together
+        group = by_anchor[i:j]
+        p = place[group]
+        size = lengths[p]
+        local = np.cumsum(size)
+        found[flat.spread(first[group], windows[group])] = first_owner(text[flat.spread(starts[p], size)], local - size, local, owner[group], window)
+        i = j
+    # An answer has those segments that some document of the chunk doesn't own.
+    lowest = np.minimum.reduceat(found, first) if len(first) else found
+    out, at = [], 0
+    for n in counts:
+        g = inverse[at : at + n]
+        g = g[several[at : at + n] | (lowest[g] < ids[at : at + n])]
+        at += n
+        changes = found[flat.spread(first[g], windows[g])]
+        new = np.ones(len(changes), bool)
+        new[1:] = changes[1:] != changes[:-1]
+        begin = np.cumsum(windows[g]) - windows[g]
+        new[begin] = True
+        runs = np.flatnonzero(new)
+        out.append(np.array([len(g), len(runs)], np.uint32).tobytes() + own[g].tobytes() + changes[runs].tobytes() + windows[g].astype(np.uint8).tobytes() + np.diff(np.append(runs, len(changes))).astype(np.uint8).tobytes())
+    return out
+
+
 def passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, keep: bool = False) -> DataFrame:
     """For each row: doc_id, n_bytes, n_removed, n_spans and kept_sha256. With keep, all columns of docs instead, text
     without the characters that lie wholly in removed bytes."""
@@ -240,55 +292,6 @@ def passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
                 out[b] = np.array([j - i], np.uint32).tobytes() + lengths.astype(np.uint8).tobytes() + least[i:j].tobytes() + several[i:j].astype(np.uint8).tobytes() + scatter.low_bytes(key[o], KEY) + data[flat.spread(start[o], lengths)].tobytes()
         return scatter.messages(chunk, out)
 
-    def sort(bodies: list) -> list[bytes]:
-        lengths, least, several, keys, texts = [], [], [], [], []
-        for body in bodies:
-            n = int(np.frombuffer(body, np.uint32, 1)[0])
-            at = 4
-            lengths.append(np.frombuffer(body, np.uint8, n, at).astype(np.int64))
-            least.append(np.frombuffer(body[at + n : at + 9 * n], np.int64))
-            several.append(np.frombuffer(body, np.uint8, n, at + 9 * n).astype(bool))
-            keys.append(scatter.from_low_bytes(body[at + 10 * n : at + (10 + KEY) * n], KEY))
-            texts.append(np.frombuffer(body, np.uint8, offset=at + (10 + KEY) * n))
-        counts = [len(x) for x in lengths]
-        lengths, ids, several, keys, text = (np.concatenate(x) for x in (lengths, least, several, keys, texts))
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        h = np.concatenate([flat.run_hashes(text[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i, j in flat.pieces(np.append(starts, ends[-1]))])
-        own, place, inverse = np.unique(h, return_index=True, return_inverse=True)
-        owner = np.full(len(own), LAST)
-        np.minimum.at(owner, inverse, ids)
-        by_anchor = np.argsort(keys[place], kind="stable")
-        sorted_keys = keys[place][by_anchor]
-        windows = lengths[place] - window + 1
-        first = np.cumsum(windows) - windows
-        found = np.empty(int(windows.sum()), np.int64)
-        i = 0
-        while i < len(by_anchor):
-            j = min(i + COLLECTION, len(by_anchor))
-            j = int(np.searchsorted(sorted_keys, sorted_keys[j - 1], "right"))  # an anchor's segments stay together
-            group = by_anchor[i:j]
-            p = place[group]
-            size = lengths[p]
-            local = np.cumsum(size)
-            found[flat.spread(first[group], windows[group])] = first_owner(text[flat.spread(starts[p], size)], local - size, local, owner[group], window)
-            i = j
-        # An answer has those segments that some document of the chunk doesn't own.
-        lowest = np.minimum.reduceat(found, first) if len(first) else found
-        out, at = [], 0
-        for n in counts:
-            g = inverse[at : at + n]
-            g = g[several[at : at + n] | (lowest[g] < ids[at : at + n])]
-            at += n
-            changes = found[flat.spread(first[g], windows[g])]
-            new = np.ones(len(changes), bool)
-            new[1:] = changes[1:] != changes[:-1]
-            begin = np.cumsum(windows[g]) - windows[g]
-            new[begin] = True
-            runs = np.flatnonzero(new)
-            out.append(np.array([len(g), len(runs)], np.uint32).tobytes() + own[g].tobytes() + changes[runs].tobytes() + windows[g].astype(np.uint8).tobytes() + np.diff(np.append(runs, len(changes))).astype(np.uint8).tobytes())
-        return out
-
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
         data, offsets, _, start, _, row, h = _all_segments(table, window)
         hashes, owners, widths, lens = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
@@ -335,7 +338,7 @@ def passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
 
     met = scatter.answer(scatter.ask(chunks, anchors), shared)
     asked = chunks.groupBy("_chunk").cogroup(met.groupBy("_chunk")).applyInArrow(candidates, scatter.MESSAGE)
-    told = scatter.answer(asked, sort)
+    told = scatter.answer(asked, lambda bodies: _sort(bodies, window))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if kind is None else chunks.drop("_chunk").schema
     out = chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(cut, fields).withColumn("doc_id", F.col("doc_id").cast(id_type))
     return out if kind is None else out.withColumnsRenamed({"doc_id": doc_id, "text": text}).select(*docs.columns)
