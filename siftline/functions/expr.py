@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: Codecs that lose nothing; extensions of videos; words that name another version of a work.
@@ -113,7 +114,7 @@ def free_name(name: Column, taken: Column) -> Column:
     return F.when(taken == 0, name).otherwise(F.format_string("%s (%d)", name, taken + 1))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Compatibility decomposition, ASCII only, lower case. No built-in function decomposes."""
     return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower(), na_action="ignore")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 OFFSETS = 10
@@ -53,7 +54,7 @@ def decode_one(text: str) -> list[int] | None:
     return np.bitwise_xor.accumulate(change).astype(np.int64).tolist()
 
 
-@pandas_udf("array<long>")
+@pandas_udf(T.ArrayType(T.LongType()))
 def decode(text: pd.Series) -> pd.Series:
     """DOM-09; run it on distinct fingerprints."""
     return text.map(lambda t: None if t is None else decode_one(t))
