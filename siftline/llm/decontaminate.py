@@ -114,13 +114,10 @@ class SuffixAutomaton:
             for width, names in self.ends[at]:
                 if width <= long:
                     items.update(names)
-                    if hits and hits[-1][1] >= i + 1 - width:
-                        first = i + 1 - width
-                        while len(hits) > 1 and hits[-2][1] >= first:
-                            hits.pop(-2)
-                        hits[-1] = (min(hits[-1][0], first), i + 1)
-                    else:
-                        hits.append((i + 1 - width, i + 1))
+                    first = i + 1 - width
+                    while hits and hits[-1][1] >= first:
+                        first = min(first, hits.pop()[0])
+                    hits.append((first, i + 1))
         return hits, items
 
     def scan(self, data: np.ndarray, offsets: np.ndarray):
