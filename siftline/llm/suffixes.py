@@ -358,7 +358,8 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT r, doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS p FROM d)),
+c AS (SELECT r, doc_id, 256 * k AS base, substr(x, 512 * k + 1, 610) AS y FROM (SELECT r, doc_id, x, unnest(range(0, length(x) // 512 + 1)) AS k FROM d)),
+w AS (SELECT r, doc_id, base + q AS p, substr(y, 2 * q + 1, 100) AS s FROM (SELECT r, doc_id, base, y, unnest(range(0, least(256, length(y) // 2 - 49))) AS q FROM c)),
 m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 h AS (SELECT r, p FROM w JOIN m USING (s) WHERE doc_id > least),
 g AS (SELECT r, p, p - coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -1000) > 50 AS fresh FROM h),

@@ -151,12 +151,12 @@ def test_buckets_with_several_components_go_on(spark):
 
     def row(k, keys):
         own = np.array(sorted(keys), np.uint64)
-        return (k, k, 0, [7], bytearray(scatter.pack_sorted(own)), bytearray(np.ones(len(own), np.float32).tobytes()), float(len(own)))
+        return (k, k, 0, [7], bytearray(64), bytearray(scatter.pack_sorted(own)), bytearray(np.ones(len(own), np.float32).tobytes()), float(len(own)))
 
     chain = [row(k + 1, range(100 + k, 120 + k)) for k in range(6)]
-    table = spark.createDataFrame([row(0, range(5)), *chain], "doc_id long, a long, b long, bands array<long>, keys binary, weights binary, total double")
-    for pairs_per_node in (100, 0):
-        got = {tuple(r.node): tuple(r.root) for r in neardup.classes(table, pairs_per_node=pairs_per_node).collect()}
+    table = spark.createDataFrame([row(0, range(5)), *chain], "doc_id long, a long, b long, bands array<long>, short binary, keys binary, weights binary, total double")
+    for block in (100, 2):
+        got = {tuple(r.node): tuple(r.root) for r in neardup.classes(table, block=block).collect()}
         assert {got.get(node(k), node(k)) for k in range(1, 7)} == {node(1)} and got.get(node(0), node(0)) == node(0)
 
 
@@ -168,7 +168,7 @@ def test_samples_agree_as_often_as_texts_are_alike():
         shift = np.uint64(x << 51)
         ka, kb = np.sort(np.concatenate([common, a]) + shift), np.sort(np.concatenate([common, b]) + shift)
         keys = np.concatenate([ka, kb])
-        got = neardup.bands(keys, np.ones(len(keys)), np.array([0, len(ka), len(keys)]))
+        got, _ = neardup.samples(keys, np.ones(len(keys)), np.array([0, len(ka), len(keys)]))
         agree.append((got[0] == got[1]).mean())
     assert np.mean(agree) == pytest.approx((300 / 420) ** neardup.ROWS, abs=0.06)
 
