@@ -242,6 +242,10 @@ def _packed(ids: list[int], _: Encoder) -> bytes:
     return array("i", ids).tobytes()
 
 
+def _short(ids: list[int], _: Encoder) -> bytes:
+    return array("H", ids).tobytes()
+
+
 _memos: dict[tuple, Memo] = {}
 
 
@@ -281,7 +285,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
 
 
 def packed_rows(found: Memo, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
-    """The int32 ids of each row."""
+    """The ids of each row, of the width that the memo packs them in."""
     for i, j in flat.pieces(offsets, PIECE):
         words, whole, inverse, rows = found.encoder.distinct(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         made = found.of(words, whole)

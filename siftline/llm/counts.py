@@ -1,6 +1,7 @@
 """Token counts of flat token files by a scan for separators.
 
-A token file is nothing but 32-bit ids, each document's followed by an end-of-document id. A scan cuts files
+A token file is nothing but ids, of 16 bits if all of the vocabulary and the separator fit, else of 32, as its
+name's end says; each document's are followed by an end-of-document id. A scan cuts files
 into blocks, reads each by its range and finds the separators in bulk; a block knows how many it has and
 where the first and last stand. Documents that cross blocks are stitched by a prefix scan: the number of
 separators before a block, and the place of the last of them, first over groups of blocks and then inside each.
@@ -34,10 +35,11 @@ def write(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "
         raise ValueError(f"{separator} is a token of the vocabulary")
     encoders = docs.sparkSession.sparkContext.broadcast(encoder)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    end = np.array([separator], np.int32).tobytes()
+    short = max(separator, *encoder.token) < 1 << 16
+    width, end = 2 if short else 4, np.array([separator], np.uint16 if short else np.int32).tobytes()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = bpe.memo(encoders, bpe._packed)
+        found = bpe.memo(encoders, bpe._short if width == 2 else bpe._packed)
         fs, top = warc.open_folder(folder)
         fs.create_dir(top, recursive=True)
         name = sink = None
@@ -46,12 +48,12 @@ def write(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "
             names, places = [], []
             for ids in bpe.packed_rows(found, *flat.flat(batch.column(1))):
                 if sink is None:
-                    name, n, size = f"{uuid.uuid4().hex}.ids", 0, 0
+                    name, n, size = f"{uuid.uuid4().hex}.u{8 * width}", 0, 0
                     sink = fs.open_output_stream(f"{top}/{name}")
                 sink.write(ids + end)
                 names.append(name)
                 places.append(n)
-                n, size = n + 1, size + len(ids) // 4 + 1
+                n, size = n + 1, size + len(ids) // width + 1
                 if size >= file_ids:
                     sink.close()
                     sink = None
@@ -62,6 +64,11 @@ def write(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "
     docs.mapInArrow(put, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, file string, place long").write.parquet(f"{folder}/list")
 
 
+def width_of(name: str) -> int:
+    """Bytes of an id in a file."""
+    return 2 if name.endswith(".u16") else 4
+
+
 def blocks(spark: SparkSession, folder: str, names: DataFrame, block: int = BLOCK) -> DataFrame:
     """file, block, start and length (ids) of the blocks of files."""
 
@@ -69,7 +76,7 @@ def blocks(spark: SparkSession, folder: str, names: DataFrame, block: int = BLOC
         fs, top = warc.open_folder(folder)
         for batch in batches:
             own = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.size // 4 for i in fs.get_file_info([f"{top}/{x}" for x in own])], pa.int64())], ["file", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.size // width_of(i.path) for i in fs.get_file_info([f"{top}/{x}" for x in own])], pa.int64())], ["file", "ids"])
 
     cut = names.select("file").mapInArrow(sizes, "file string, ids long").where("ids > 0")
     cut = cut.select("file", "ids", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("ids") - 1, F.lit(block).cast("long"))).alias("block", "start"))
@@ -84,8 +91,9 @@ def scan(spark: SparkSession, folder: str, names: DataFrame, *, separator: int =
         for batch in batches:
             ends = []
             for name, start, length in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                width = width_of(name)
                 with fs.open_input_file(f"{top}/{name}") as file:
-                    ids = np.frombuffer(file.read_at(4 * length, 4 * start), np.int32)
+                    ids = np.frombuffer(file.read_at(width * length, width * start), f"<u{width}")
                 ends.append((np.flatnonzero(ids == separator) + start).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends, pa.list_(pa.int64()))], ["file", "block", "ends"])
 
