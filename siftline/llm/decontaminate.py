@@ -238,7 +238,7 @@ def remove(docs: DataFrame, items: DataFrame, *, max_coverage: float = 0.5, wind
     place, schema = columns.index(text), docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, len(whole), 1000)):
             column = batch.column(place)
             changed, dropped = {}, set()
             data, offsets = flat.flat(column)

@@ -27,7 +27,7 @@ SLOTS = 1 << 16
 MAX_TRAINING = 20_000
 PENALTY = 6.0  # nats
 SCRIPT_SHARE = 0.001  # of a language's letters, for the script to count as its own
-BATCH = 16 << 20  # bytes of text that step along together
+BATCH = 8 << 20  # bytes of text that step along together
 #: First and last code points of scripts.
 SCRIPTS = {
     "Latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -184,29 +184,27 @@ def predict(docs: DataFrame, model, *, keep: tuple[str, ...] = ("doc_id",), text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, scripts = shared.value
-        for batch in batches:
-            data, offsets = flat.flat(batch.column(place))
-            preds, shares, found = [], [], []
+        for whole in batches:
+            data, offsets = flat.flat(whole.column(place))
             for i, j in flat.pieces(offsets, BATCH):
-                tallies, paths, places = _label(data, offsets, i, j, langs, logs, scripts, penalty)
+                tallies, paths, (starts, ends, rows) = _label(data, offsets, i, j, langs, logs, scripts, penalty)
                 total = tallies.sum(1)
                 best = tallies.argmax(1) if len(langs) else np.zeros(j - i, np.int64)
-                preds += [langs[b] if n else "und" for b, n in zip(best.tolist(), total.tolist(), strict=True)]
-                shares.append(np.where(total > 0, tallies.max(1, initial=0) / np.maximum(total, 1), 0.0))
+                preds = [langs[b] if n else "und" for b, n in zip(best.tolist(), total.tolist(), strict=True)]
+                batch = whole.slice(i, j - i)
+                made = [pa.array(preds, pa.string()), pa.array(np.where(total > 0, tallies.max(1, initial=0) / np.maximum(total, 1), 0.0), pa.float64())]
+                names = [*batch.schema.names[:width], "lang_pred", "score"]
                 if spans:
-                    starts, ends, rows = places
+                    found = []
                     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
                         own, out = paths[a:b], []
                         if b > a and langs:
                             cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                             out = [{"first": int(starts[a + x]), "last": int(ends[a + y - 1]), "lang": langs[own[x]]} for x, y in zip(cut, np.append(cut[1:], b - a), strict=True)]
                         found.append(out)
-            made = [pa.array(preds, pa.string()), pa.array(np.concatenate(shares) if shares else [], pa.float64())]
-            names = [*batch.schema.names[:width], "lang_pred", "score"]
-            if spans:
-                made.append(pa.array(found, span_type))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names)
+                    made.append(pa.array(found, span_type))
+                    names.append("spans")
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names)
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:width]), "lang_pred string", "score double", *(["spans array<struct<first:long,last:long,lang:string>>"] * spans)])
     return docs.mapInArrow(run, fields)

@@ -137,7 +137,9 @@ def test_classes_are_brute_force(spark):
 
 def test_one_of_each_class_stays(spark):
     texts = near_copies(random.Random(14)) + [(0, "another text under the same number")]
-    kept = neardup.distinct(documents(spark, texts))
+    kept = neardup.distinct(documents(spark, [*texts, (None, texts[0][1]), (None, "alone and without a number")]))
+    assert Counter(r.text for r in kept.where("doc_id is null").collect()) == {"alone and without a number": 1}
+    kept = kept.where("doc_id is not null")
     assert kept.columns == ["doc_id", "text", "keys", "a", "score"]
     assert {r.doc_id for r in kept.collect()} == {i for i, c in plain_classes(texts) if i == c}
     assert neardup.class_ids(documents(spark, [])).count() == 0
