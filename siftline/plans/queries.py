@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import expr
-from siftline.operators import audit, dedupe, identity, matching, overlap, placement, report, review, similarity
+from siftline.operators import albums, audit, dedupe, identity, matching, overlap, placement, report, review, similarity
 from siftline.plans import collection
 from siftline.sources import files
 from siftline.streaming import streams
@@ -181,9 +181,6 @@ def majority_value(spark, sf):
     return matching.majority(table(spark, sf, "events"), "user_id", "event_type", "event_id")
 
 
-_PARTS = "SELECT p_partkey AS id, p_brand || '/' || p_type AS k1, p_brand AS k2, p_partkey % 3 = 0 AS old FROM part"
-
-
 @query("""WITH o AS (SELECT p_partkey AS id, p_brand || p_type || p_size AS k1, p_brand || p_size AS k2 FROM part WHERE p_partkey % 3 = 0), n AS (SELECT p_partkey AS id, p_brand || p_type || p_size AS k1, p_brand || p_size AS k2 FROM part WHERE p_partkey % 3 <> 0),
 a AS (SELECT x.id AS old_id, y.id AS new_id, 1 AS pass FROM (SELECT k1, min(id) AS id FROM o GROUP BY 1 HAVING count(*) = 1) x JOIN (SELECT k1, min(id) AS id FROM n GROUP BY 1 HAVING count(*) = 1) y USING (k1)),
 b AS (SELECT x.id AS old_id, y.id AS new_id, 2 AS pass FROM (SELECT k2, min(id) AS id FROM o WHERE id NOT IN (SELECT old_id FROM a) GROUP BY 1 HAVING count(*) = 1) x JOIN (SELECT k2, min(id) AS id FROM n WHERE id NOT IN (SELECT new_id FROM a) GROUP BY 1 HAVING count(*) = 1) y USING (k2))
@@ -688,3 +685,96 @@ def told_stream(spark, sf):
     news = streams.told_stream(streams.read_stream(spark, sf, "events.parquet").select("user_id", "event_type"), "user_id", "event_type")
     news.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     return spark.read.schema(news.schema).parquet(f"{at}/out")
+
+
+# --- albums --------------------------------------------------------------------------------------------
+
+
+def _lines(spark, sf):
+    return table(spark, sf, "lineitem").withColumns({"album": F.col("l_orderkey"), "item": F.col("l_partkey")})
+
+
+@query("""WITH m AS (SELECT l_orderkey AS album, l_returnflag AS artist, count(*) AS n, min(l_partkey) AS f FROM lineitem GROUP BY 1, 2), a AS (SELECT album, artist FROM (SELECT *, row_number() OVER (PARTITION BY album ORDER BY n DESC, f, artist) AS k FROM m) WHERE k = 1)
+SELECT l_orderkey AS album, count(*) AS files, sum(l_quantity) AS minutes, count(*) FILTER (l_linestatus = 'O') AS confirmed, count(*) FILTER (l_linestatus = 'F') AS mismatch, any_value(a.artist) AS artist FROM lineitem JOIN a ON album = l_orderkey WHERE l_partkey IS NOT NULL GROUP BY 1 HAVING count(DISTINCT l_partkey) = count(*)""")
+def local_evidence(spark, sf):
+    """DOM-20."""
+    l = _lines(spark, sf)
+    clear = l.groupBy("album").agg(F.count("*").alias("n"), F.count_distinct("item").alias("d")).where("n = d").select("album")
+    files_ = l.join(clear, "album", "left_semi").select("album", F.col("item").alias("id"), F.col("l_returnflag").alias("artist"), F.col("l_quantity").alias("minutes"), F.when(F.col("l_linestatus") == "O", "confirmed").otherwise("mismatch").alias("verdict"))
+    return albums.evidence(files_)
+
+
+@query("""WITH i AS (SELECT DISTINCT l_orderkey AS album, l_suppkey AS item FROM lineitem), p AS (SELECT o_orderkey AS ours, o_orderkey + 1 AS theirs FROM orders WHERE o_orderkey % 2 = 0), z AS (SELECT album, count(*) AS n FROM i GROUP BY 1), c AS (SELECT ours, theirs, count(*) AS n FROM p JOIN i x ON x.album = ours JOIN i y ON y.album = theirs AND x.item = y.item GROUP BY 1, 2)
+SELECT ours, theirs, CASE WHEN u.n IS NULL OR w.n IS NULL THEN true ELSE coalesce(c.n, 0) >= 0.5 * u.n END AS shares FROM p LEFT JOIN z u ON u.album = ours LEFT JOIN z w ON w.album = theirs LEFT JOIN c USING (ours, theirs)""")
+def shared_audio(spark, sf):
+    """JOIN-20, DOM-21."""
+    pairs = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("ours"), (F.col("o_orderkey") + 1).alias("theirs"))
+    return albums.shared_audio(pairs, _lines(spark, sf).select("album", F.col("l_suppkey").alias("item")))
+
+
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS g, o_orderkey AS album, l_suppkey AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey), a AS (SELECT g, item, min(album) AS album FROM m GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT g AS "group", album, count(*) AS only_here FROM a GROUP BY 1, 2""")
+def only_here(spark, sf):
+    """SET-05, DOM-22."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("album"), F.col("o_custkey").alias("group"))
+    return albums.only_here(_lines(spark, sf).select("album", F.col("l_suppkey").alias("item")).join(o, "album").select("group", "album", "item"))
+
+
+@query("""SELECT o_orderkey AS album, o_custkey % 8 - count(*) AS missing, o_custkey % 4 - count(DISTINCT l_returnflag) AS missing_discs FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey HAVING count(*) < o_custkey % 8 OR count(DISTINCT l_returnflag) < o_custkey % 4""")
+def incomplete_albums(spark, sf):
+    """FLT-15."""
+    of = table(spark, sf, "orders").select(F.col("o_orderkey").alias("album"), (F.col("o_custkey") % 8).alias("tracks"), (F.col("o_custkey") % 4).alias("discs"))
+    return albums.incomplete(of, _lines(spark, sf).select("album", F.col("l_returnflag").alias("disc")))
+
+
+@query("""SELECT album, id FROM (SELECT l_orderkey AS album, l_partkey AS id, l_quantity AS s, l_linestatus, sum(l_quantity) OVER w - l_quantity AS others, count(*) OVER w - 1 AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) WHERE n >= 2 AND others > 0 AND s >= 0.8 * others AND l_linestatus <> 'O'""")
+def whole_album_files(spark, sf):
+    """FLT-13, WIN-05."""
+    l = _lines(spark, sf).select("album", F.col("item").alias("id"), F.col("l_quantity").alias("seconds"), F.when(F.col("l_linestatus") == "O", "confirmed").alias("verdict"))
+    return albums.whole_album_files(l, least_others=2)
+
+
+@query("""WITH l AS (SELECT p_partkey AS album, lower(p_brand) AS a, lower(p_name) AS t FROM part), w AS (SELECT s_suppkey AS key, 'brand#' || (s_suppkey % 25 + 1) AS a, CASE s_suppkey % 2 WHEN 0 THEN 'small ring' ELSE 'red widget' END AS t FROM supplier)
+SELECT key, min(album) AS album FROM w JOIN l USING (a, t) WHERE album % 5 > 0 OR album % 25 <> key % 25 GROUP BY 1""")
+def wanted_arrivals(spark, sf):
+    """DOM-57, STR-03: names are matched without case, accents and marks."""
+    lib = table(spark, sf, "part").select(F.col("p_partkey").alias("album"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"))
+    key = F.col("s_suppkey")
+    want = table(spark, sf, "supplier").select(key.alias("key"), F.concat(F.lit("BRAND "), (key % 25 + 1).cast("string")).alias("artist"), F.when(key % 2 == 0, "The Small-Ring").otherwise("Réd widget").alias("title"))
+    had = lib.where("album % 5 = 0").select("album").join(want.select("key"), F.col("album") % 25 == F.col("key") % 25)
+    return albums.arrivals(want, lib, had.select("key", "album"))
+
+
+@query("""SELECT o_custkey AS batch, count(*) FILTER (o_orderkey % 3 > 0 AND o_orderstatus <> 'F') AS waiting, count(*) FILTER (o_orderkey % 3 > 0 AND o_orderstatus <> 'F') = 0 AS settled FROM orders GROUP BY 1""")
+def settled_batches(spark, sf):
+    """DOM-59."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("batch"), F.when(F.col("o_orderstatus") == "F", "skip").alias("decision"))
+    return albums.settled_batches(o, o.where("id % 3 = 0"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""")
+def upgrade_removals(spark, sf):
+    """DOM-60."""
+    placed = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_suppkey").alias("folder"))
+    return albums.upgrade_removals(table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("replaced")), placed).drop("folder")
+
+
+@query("SELECT count(DISTINCT regexp_extract(url, '^(.*/)', 1)) AS folders, count(*) AS files FROM pages")
+def unsorted_counts(spark, sf):
+    """DOM-70."""
+    return albums.unsorted_counts(table(spark, sf, "pages"), expr.folder(F.col("url")))
+
+
+@query("""SELECT c_custkey AS album, CASE WHEN c_custkey % 3 = 0 THEN 'never checked' WHEN c_custkey % 3 = 1 THEN 'nothing proposed' ELSE 'left' END AS result FROM customer WHERE c_custkey % 2 = 0""")
+def leave_proposals(spark, sf):
+    """DOM-73."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    proposals = c.where(key % 3 > 0).select(key.alias("album"), F.when(key % 3 == 1, "same").otherwise("changed").alias("status"))
+    return albums.left_or_skipped(c.where(key % 2 == 0).select(key.alias("album")), proposals)
+
+
+@query("""SELECT DISTINCT source AS folder, CASE WHEN source IN ('src1', 'src2') THEN 'imported' ELSE 'waiting' END AS state FROM documents""")
+def inbox_listing(spark, sf):
+    """DOM-75."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("folder")).distinct()
+    return albums.inbox(d, d.where(F.col("folder").isin("src1", "src2")).withColumn("status", F.lit("imported")))
