@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import bpe, decontaminate, langid, neardup, shared, suffixes
 
-LEAST_SHARE = 0.5  # of a document's letters that its language must have
+LEAST_SHARE = 1 / 3  # of a document's letters that its language must have
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that most of their letters are in, go; a null lang becomes the predicted one."""
+    """Documents without letters, or without a language that a third of their letters are in, go; a null lang becomes the predicted one."""
     columns = docs.columns
     judged = langid.predict(docs, langid.train(docs), keep=tuple(columns))
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
