@@ -59,6 +59,18 @@ def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
+def hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = PIECE) -> np.ndarray:
+    """run_hashes() of many runs in order of their starts, over about limit symbols at a time."""
+    out = np.empty(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + limit)))
+        a, b = int(starts[i]), int(ends[i:j].max())
+        out[i:j] = run_hashes(symbols[a:b], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary Arrow column and the n + 1 offsets of its values; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -85,6 +97,26 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
         i = j
 
 
+def portions(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int, int, int]]:
+    """First byte, last + 1, first row and last + 1 of portions of about limit bytes. A longer row is cut where a word ends,
+    so only a single word that is longer makes a portion longer."""
+    for i, j in pieces(offsets, limit):
+        a, end = int(offsets[i]), int(offsets[j])
+        while end - a > limit:
+            b = a + limit
+            while b < end:
+                gap = ~solid[LOWER[data[b : b + limit]]]
+                if gap.any():
+                    b += int(gap.argmax())
+                    break
+                b += limit
+            if b >= end:
+                break
+            yield a, b, i, j
+            a = b
+        yield a, end, i, j
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True; none crosses an offset."""
     if not len(inside):
@@ -108,6 +140,16 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD_BYTE):
     return low, starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and the n + 1 offsets of each row's; long rows are worked on in portions."""
+    found, counts = [np.zeros(0, _U)], np.zeros(len(offsets) - 1, np.int64)
+    for a, b, i, j in portions(data, offsets, kind):
+        low, starts, ends, rows = words(data[a:b], np.clip(offsets[i : j + 1], a, b) - a, kind)
+        found.append(run_hashes(low, starts, ends))
+        counts[i:j] += np.diff(rows)
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All of start, start + 1, ... for each start and length, one after the other."""
     total = int(lengths.sum())
