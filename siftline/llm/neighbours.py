@@ -3,18 +3,23 @@
 A vector is the sum of one full-dimensional word from each of STAGES codebooks. The codebooks are fitted
 on at most SAMPLE vectors: k-means on the residuals, stage by stage, then jointly by least squares. A beam
 search finds each vector's code; the index keeps code, vector and the norm of the code's sum. A query makes a
-table of its products with all words, so a row's score is STAGES look-ups and the norm; each batch ranks its best
-SHORTLIST rows again by the exact distance, in double precision, and each task passes on the nearest k.
-
-Queries come in blocks of about QUERY_BLOCK, each read against the whole index. Vectors that are null, zero, of
-another length than most or that hold null or non-finite components take no part, nor do rows without an id.
-Rows with the query's id are no candidates; other repeated rows each count. Ties go to the smaller id.
+table of its products with all words, so a row's score is STAGES look-ups and the norm. Its best SHORTLIST rows, over the whole
+index, are ranked again by the exact distance, in double precision.
+
+The index is cut into cells around coarse centroids, about the square root of the number of rows, MAX_CELLS at most, fitted on the
+same sample; a query is scored against the PROBED share of the cells that are nearest to it (the share is large as vectors without clusters,
+such as the test tables', have their neighbours in many cells). Queries are rows of a table like all
+others: cells and queries meet in groups of at most about GROUP rows and QUERIES queries, so no cell is too large for a task, and nothing
+but the sample and one row for each cell comes to the driver.
+
+Vectors that are null, zero, of another length than most or that hold null or non-finite components take no part, nor do rows without an
+id. A query is a pair of an id and a vector, however often it is repeated. Rows with the query's id are no candidates; other repeated rows each
+count. Ties go to the smaller id. An empty table gives no rows. Ids are cast to long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +28,16 @@ from pyspark.sql import functions as F
 
 from siftline.llm import shared as folders
 
-STAGES = 16
+STAGES = 24
 WORDS = 256
 SAMPLE = 8192
 BEAM = 4
-SHORTLIST = 512  # of each Arrow batch, so it grows with the index
-QUERY_BLOCK = 1024
+MAX_CELLS = 1024
+PROBED = 0.7
+LEAST_CELLS = 16  # that a query is scored against, if there are so many
+GROUP = 1 << 16
+QUERIES = 2048
+SHORTLIST = 200  # rows that are ranked exactly for a query
 NEAREST = 10
 
 
@@ -108,80 +117,96 @@ def valid(rows: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]
     return rows.where(F.size("vector") == (common["n"] if common else 0)), common["n"] if common else 0
 
 
-def index(rows: DataFrame, dimensions: int, books: np.ndarray, folder: str) -> DataFrame:
-    """Writes and reads the index: vec_id, vector, code (one byte for each stage) and norm, that of the code's sum squared."""
-    shared = rows.sparkSession.sparkContext.broadcast(books)
+def index(rows: DataFrame, dimensions: int, books: np.ndarray, cells: np.ndarray, folder: str) -> DataFrame:
+    """Writes and reads the index: row, vec_id, vector, cell, code (one byte for each stage) and norm, that of the code's sum squared."""
+    shared = rows.sparkSession.sparkContext.broadcast((books, cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
+        books, cells = shared.value
         for batch in batches:
-            codes = encode(_vectors(batch.column(1), dimensions), books)
+            x = _vectors(batch.column(2), dimensions)
+            codes = encode(x, books)
             total = books[np.arange(len(books)), codes].sum(1)
             code = pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), code, pa.array(np.einsum("ij,ij->i", total, total), pa.float32())], ["vec_id", "vector", "code", "norm"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest_word(x, cells), pa.int64()), code, pa.array(np.einsum("ij,ij->i", total, total), pa.float32())], ["row", "vec_id", "vector", "cell", "code", "norm"])
 
-    rows.mapInArrow(run, "vec_id long, vector array<double>, code binary, norm float").write.parquet(folder)
-    return rows.sparkSession.read.schema("vec_id long, vector array<double>, code binary, norm float").parquet(folder)
+    fields = "row long, vec_id long, vector array<double>, cell long, code binary, norm float"
+    rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector").mapInArrow(run, fields).write.parquet(folder)
+    return rows.sparkSession.read.schema(fields).parquet(folder)
 
 
-def _search(part: DataFrame, queries: list[tuple[int, list[float]]], dimensions: int, books: np.ndarray, k: int, shortlist: int) -> DataFrame:
-    shared = part.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries]), np.array([v for _, v in queries], np.float64).reshape(len(queries), dimensions), books))
+def _probes(asked: DataFrame, dimensions: int, cells: np.ndarray, probed: int) -> DataFrame:
+    """query, query_id, vector and cell for the nearest cells of each query."""
+    shared = asked.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q, books = shared.value
-        tables = np.einsum("qd,mwd->mqw", q.astype(np.float32), books)
-        best: list[list[tuple[float, int]]] = [[] for _ in names]
+        cells = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")  # equal scores then stand by id
-            ids, x = ids[order], _vectors(batch.column(1), dimensions)[order]
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), len(books))[order]
-            norm = batch.column(3).to_numpy()[order]
-            for first in range(0, len(names), 64):
-                score = np.broadcast_to(norm, (min(64, len(names) - first), len(ids))).copy()
-                for table, code in zip(tables, codes.T, strict=True):
-                    score -= 2 * table[first : first + 64][:, code]
-                for r, own in enumerate(score, first):
-                    own[ids == names[r]] = np.inf
-                    if len(own) > shortlist:
-                        edge = np.partition(own, shortlist - 1)[shortlist - 1]
-                        found = np.flatnonzero(own <= edge)
-                        found = found[np.argsort(own[found], kind="stable")][:shortlist]
-                    else:
-                        found = np.arange(len(own))
-                    found = found[ids[found] != names[r]]
-                    gap = x[found] - q[r]
-                    exact = np.sqrt((gap * gap).sum(1))
-                    top = np.lexsort((ids[found], exact))[:k]
-                    best[r] = sorted(best[r] + list(zip(exact[top].tolist(), ids[found][top].tolist(), strict=True)))[:k]
-        rows = [(int(names[r]), i, d) for r, own in enumerate(best) for d, i in own]
-        for at in range(0, len(rows), 50_000):
-            a, b, c = zip(*rows[at : at + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
-
-    return part.mapInArrow(run, "query_id long, vec_id long, score double")
-
-
-def nearest(rows: DataFrame, queries: Column, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found to each row for which the condition queries holds."""
+            x = _vectors(batch.column(2), dimensions)
+            far = np.einsum("ij,ij->i", cells, cells)[None, :] - 2 * x @ cells.T
+            near = np.argsort(far, 1, kind="stable")[:, :probed]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int64()))], ["query", "query_id", "vector", "cells"])
+
+    found = asked.mapInArrow(run, "query long, query_id long, vector array<double>, cells array<long>")
+    return found.select("query", "query_id", "vector", F.explode("cells").alias("cell"))
+
+
+def _scored(rows: pa.Table, queries: pa.Table, dimensions: int, books: np.ndarray, shortlist: int) -> pa.Table:
+    """The best rows of a group for each of its queries: query, row, vec_id and score."""
+    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.float32),)]
+    if len(rows) and len(queries):
+        ids, row = rows.column("vec_id").to_numpy(), rows.column("row").to_numpy()
+        order = np.lexsort((row, ids))  # equal scores then stand by id
+        ids, row, norm = ids[order], row[order], rows.column("norm").to_numpy()[order]
+        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), len(books))[order]
+        names, own = queries.column("query").to_numpy(), queries.column("query_id").to_numpy()
+        q = _vectors(queries.column("vector"), dimensions).astype(np.float32)
+        for first in range(0, len(names), 16):
+            block = q[first : first + 16]
+            score = np.broadcast_to(norm, (len(block), len(ids))).copy()
+            for book, code in zip(books, codes.T, strict=True):
+                score -= 2 * (block @ book.T)[:, code]
+            for r, s in enumerate(score, first):
+                s[ids == own[r]] = np.inf
+                found = np.argsort(s, kind="stable") if len(s) <= shortlist else np.flatnonzero(s <= np.partition(s, shortlist - 1)[shortlist - 1])
+                found = found[np.argsort(s[found], kind="stable")][:shortlist]
+                found = found[s[found] < np.inf]
+                out.append((np.full(len(found), names[r]), row[found], ids[found], s[found]))
+    query, row, ids, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"query": query, "row": row, "vec_id": ids, "near": score})
+
+
+def nearest(rows: DataFrame, queries: Column, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, shortlist: int = SHORTLIST, sample: int = SAMPLE, probed: float = PROBED, max_cells: int = MAX_CELLS) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest found to each row for which the condition queries, on vec_id, holds."""
     spark = rows.sparkSession
     rows, dimensions = valid(rows, vec_id, embedding)
-    asked = rows.where(queries)
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
-    if not counts["q"]:
+    n = rows.count()
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = min(1.0, sample / counts["n"])
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("vec_id")
-    training = np.array([r["vector"] for r in chosen.limit(2 * sample).collect()])  # about sample of them
+    share = min(1.0, sample / n)
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("vec_id", "vector")
+    training = np.array([r["vector"] for r in chosen.limit(2 * sample).collect()]).reshape(-1, dimensions)  # about sample of them
+    if not len(training):
+        training = np.array([r["vector"] for r in rows.limit(sample).collect()])
     books = fit(training)
-    found = index(rows, dimensions, books, folders.folder(spark, "vectors"))
-    blocks = -(-counts["q"] // QUERY_BLOCK)
-    parts = []
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK
-        parts.append(_search(found, [(r["vec_id"], r["vector"]) for r in sorted(mine)], dimensions, books, k, shortlist))
-    by = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    cells = _kmeans(training.astype(np.float32), max(1, min(max_cells, int(n**0.5), len(training) // 8)), np.random.default_rng(11))
+    found = index(rows, dimensions, books, cells, folders.folder(spark, "vectors"))
+    asked = found.where(queries).select(F.xxhash64("vec_id", "vector").alias("query"), F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query"])
+    probes = _probes(asked, dimensions, cells, max(min(LEAST_CELLS, len(cells)), round(probed * len(cells))))
+    sizes = found.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    asks = probes.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+    plan = F.broadcast(sizes.join(asks, "cell"))  # a row for each cell, MAX_CELLS at most
+    deal = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = found.join(plan, "cell").select("cell", F.pmod(F.xxhash64("row"), "parts").alias("part"), deal(F.col("blocks")).alias("block"), "row", "vec_id", "code", "norm")
+    right = probes.join(plan, "cell").select("cell", deal(F.col("parts")).alias("part"), F.pmod(F.xxhash64("query"), "blocks").alias("block"), "query", "query_id", "vector")
+    shared = spark.sparkContext.broadcast(books)
+    near = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInArrow(lambda a, b: _scored(a, b, dimensions, shared.value, shortlist), "query long, row long, vec_id long, near float")
+    best = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("near", "vec_id", "row"))).where(F.col("place") <= shortlist)
+    pairs = best.select("query", "row").join(found.select("row", "vec_id", "vector"), "row").join(asked.withColumnRenamed("vector", "wanted"), "query")
+    squares = F.zip_with("vector", "wanted", lambda x, y: (x - y) * (x - y))
+    exact = pairs.select("query", "query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"), "row")
+    by = Window.partitionBy("query").orderBy("score", "vec_id", "row")
+    return exact.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
