@@ -1,27 +1,30 @@
 """Benchmark decontamination with a generalised suffix automaton of the items' words.
 
-The automaton is built on the driver over items whose size is checked; beyond MAX_ITEM_BYTES the items
-go into several automata and the documents pass through one after the other, without a shuffle.
-A document's words are hashed in bulk; only stretches whose neighbouring word pairs all occur in items
+Automata are built in tasks, one for each MAX_ITEM_BYTES of items, and written to the shared folder. A task that scans documents
+holds one automaton at a time, so neither the driver nor a broadcast grows with the items; several are read in turn for each
+batch of documents, without a shuffle. A document's words are hashed in bulk; only stretches whose neighbouring word pairs all occur in items
 reach the automaton, which then reads the words themselves, so a hash collision can't add a match.
 
-Nulls and empty texts have no words and come back clean. Items without words match nothing. Rows with
+Nulls and empty texts have no words and come back clean. Items without words match nothing. An item without an id hits words but isn't
+listed or counted; rows with equal ids are one item with the windows of each. Rows of documents with
 the same id are judged each by itself. Other columns of the inputs are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm import flat
+from siftline.llm import flat, shared, warc
 
-MAX_ITEM_BYTES = 16 << 20
+MAX_ITEM_BYTES = 2 << 20  # of an automaton's items; it then takes some 200 MB
 WINDOW = 10
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SPANS = "array<struct<first_word:long,last_word:long,first_byte:long,last_byte:long>>"
@@ -168,53 +171,75 @@ def _merged(a: list[dict], b: list[tuple[int, int, int, int]]) -> list[tuple[int
     return out
 
 
-def automata(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES) -> Iterator[SuffixAutomaton]:
-    """One automaton for each max_bytes of items, in turn."""
-    items = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("text is not null and name is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // max_bytes)
-    for k in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
-        rows = sorted((r.name, r.text) for r in mine.collect())  # max_bytes on average
-        yield SuffixAutomaton([(name, words_of(t.encode())) for name, t in rows], window)
-
-
-def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES, keep: bool = False) -> DataFrame:
-    """For each row of docs: doc_id, n_words, spans and items (sorted texts of ids); with keep also the other columns."""
-    spark = docs.sparkSession
-    if not keep:
-        docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        doc_id, text = "doc_id", "text"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.array().cast(_SPANS), "_items": F.array().cast("array<string>")})
-    made = list(automata(items, item_id, item_text, window, max_bytes)) if max_bytes else []
-    for k, automaton in enumerate(made or [SuffixAutomaton([], window)]):
-        shared = spark.sparkContext.broadcast(automaton)
-        last = k == max(len(made), 1) - 1 and not keep
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                data, offsets = flat.flat(batch.column(batch.schema.get_field_index(text)))
-                counts, spans, items = [], [], []
-                old_spans, old_items = batch.column("_spans"), batch.column("_items")
-                for i, j in flat.pieces(offsets):
-                    n, hits, which = automaton.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    counts.append(n)
-                    for r in range(i, j):
-                        before = old_items[r].as_py()
-                        spans.append(_merged(old_spans[r].as_py() if before else [], hits[r - i]))
-                        items.append(sorted({*before, *(automaton.names[x] for x in which[r - i])}))
-                made = [pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array([[dict(zip(("first_word", "last_word", "first_byte", "last_byte"), s, strict=True)) for s in x] for x in spans], batch.schema.field("_spans").type), pa.array(items, pa.list_(pa.string()))]
-                if last:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "_words", "_spans", "_items"])
-                else:
-                    own = [x for x in batch.schema.names if x not in ("_words", "_spans", "_items")]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in own), *made], [*own, "_words", "_spans", "_items"])
-
-        kind = docs.schema["doc_id"].dataType.simpleString() if last else ""
-        out = out.mapInArrow(scan, (f"`doc_id` {kind}" if last else fields) + f", _words long, _spans {_SPANS}, _items array<string>")
-    return out.withColumnsRenamed({"_words": "n_words", "_spans": "spans", "_items": "items"})
+class Automata:
+    """The automata of all items, in a shared folder; one at a time is loaded."""
+
+    loaded: tuple | None = None
+
+    def __init__(self, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES):
+        items = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("text is not null")
+        total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.count, self.folder = -(-total // max_bytes), shared.folder(items.sparkSession, "automata")
+
+        def build(table: pa.Table) -> pa.Table:
+            rows = sorted(zip(table.column("name").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r))
+            made = SuffixAutomaton([(name, words_of(t.encode())) for name, t in rows], window)
+            return pa.table({"k": pa.array([table.column("k")[0].as_py()], pa.int64()), "body": pa.array([pickle.dumps(made)], pa.binary())})
+
+        dealt = items.withColumn("k", F.pmod(F.xxhash64("name", "text", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))), F.lit(max(self.count, 1))))
+        dealt.groupBy("k").applyInArrow(build, "k long, body binary").write.parquet(self.folder)
+
+    def each(self) -> Iterator[SuffixAutomaton]:
+        for k in range(self.count):
+            if Automata.loaded is None or Automata.loaded[:2] != (self.folder, k):
+                Automata.loaded = None
+                fs, top = warc.open_folder(self.folder)
+                found = pyarrow.dataset.dataset(top, filesystem=fs, format="parquet").to_table(filter=pyarrow.dataset.field("k") == k).column("body")
+                Automata.loaded = (self.folder, k, pickle.loads(found[0].as_py()) if len(found) else SuffixAutomaton([]))
+            yield Automata.loaded[2]
+
+    def scan(self, column) -> tuple[np.ndarray, list[list[tuple[int, int, int, int]]], list[set[str]]]:
+        """For each text: its number of words, its merged hit runs and the ids of the items."""
+        data, offsets = flat.flat(column)
+        n = len(offsets) - 1
+        counts, hits, names = np.zeros(n, np.int64), [[] for _ in range(n)], [set() for _ in range(n)]
+        if not self.count:
+            for i, j in flat.pieces(offsets):
+                counts[i:j] = np.diff(flat.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[3])
+        for automaton in self.each():
+            for i, j in flat.pieces(offsets):
+                counts[i:j], found, which = automaton.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for r, (runs, items) in enumerate(zip(found, which, strict=True), i):
+                    if runs:
+                        hits[r] = _merged(hits[r] + runs)
+                        names[r] |= {automaton.names[x] for x in items} - {None}
+        return counts, hits, names
+
+
+def _merged(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    out: list[tuple[int, int, int, int]] = []
+    for x in sorted(runs):
+        if out and x[0] <= out[-1][1]:
+            if x[1] > out[-1][1]:
+                out[-1] = (out[-1][0], x[1], out[-1][2], x[3])
+        else:
+            out.append(x)
+    return out
+
+
+def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """For each row of docs: doc_id, n_words, spans and items (sorted texts of ids)."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    automata = Automata(items, item_id, item_text, window, max_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "last_word", "first_byte", "last_byte")]))
+        for batch in batches:
+            counts, hits, names = automata.scan(batch.column(1))
+            spans = [[dict(zip(("first_word", "last_word", "first_byte", "last_byte"), s, strict=True)) for s in x] for x in hits]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(spans, kind), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, spans {_SPANS}, items array<string>")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -231,42 +256,29 @@ def remove(docs: DataFrame, items: DataFrame, *, max_coverage: float = 0.5, wind
 
     Cutting may bring words together that make a new window, so it is repeated until none is left.
     All columns of docs are kept; text is the cut text."""
-    spark = docs.sparkSession
-    columns = docs.columns
-    fields = docs.schema
-    shared = [spark.sparkContext.broadcast(a) for a in automata(items, window=window)]
-    place, schema = columns.index(text), docs.schema
+    automata = Automata(items, window=window)
+    place, schema = docs.columns.index(text), docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, len(whole), 1000)):
             column = batch.column(place)
-            changed, dropped = {}, set()
-            data, offsets = flat.flat(column)
-            for i, j in flat.pieces(offsets):
-                hit: dict[int, list] = {}
-                count = None
-                for a in shared:
-                    count, hits, _ = a.value.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    for r, x in enumerate(hits):
-                        if x:
-                            hit[r] = _merged([], hit.get(r, []) + x)
-                for r, spans in hit.items():
-                    if sum(s[1] - s[0] for s in spans) > max_coverage * count[r]:
-                        dropped.add(i + r)
-                        continue
-                    now = column[i + r].as_py()
-                    while spans:
-                        now = cut(now, [s[2:] for s in spans])
-                        raw = np.frombuffer(now.encode(), np.uint8)
-                        spans = _merged([], [s for a in shared for s in a.value.scan(raw, np.array([0, len(raw)]))[1][0]])
-                    changed[i + r] = now
+            counts, hits, _ = automata.scan(column)
+            hit = {r: x for r, x in enumerate(hits) if x}
+            dropped = {r for r, x in hit.items() if sum(s[1] - s[0] for s in x) > max_coverage * counts[r]}
+            open_ = {r: x for r, x in hit.items() if r not in dropped}
+            changed = {r: column[r].as_py() for r in open_}
+            while open_:
+                changed |= {r: cut(changed[r], [s[2:] for s in x]) for r, x in open_.items()}
+                rows = list(open_)
+                again = automata.scan(pa.array([changed[r] for r in rows], pa.string()))[1]
+                open_ = {r: x for r, x in zip(rows, again, strict=True) if x}
             if changed:
-                batch = batch.set_column(place, batch.schema.field(place), pa.array([changed.get(r, None) if r in changed else x for r, x in enumerate(column.to_pylist())], column.type))
+                batch = batch.set_column(place, batch.schema.field(place), pa.array([changed.get(r, x) for r, x in enumerate(column.to_pylist())], column.type))
             if dropped:
                 batch = batch.filter(pa.array([r not in dropped for r in range(len(batch))], pa.bool_()))
             yield batch
 
-    return docs.mapInArrow(clean, schema) if fields else docs
+    return docs.mapInArrow(clean, schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -283,7 +295,7 @@ ks AS (SELECT DISTINCT k FROM iw),
 dw AS (SELECT r, k, p, w[p : p + k - 1] AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT r, p, dw.k, item FROM dw JOIN iw ON dw.k = iw.k AND dw.win = iw.win),
 h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, p, k FROM m)) GROUP BY r),
-n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+n AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
 """
