@@ -1,8 +1,8 @@
 """Byte-level BPE over whole texts.
 
-Texts are split by public_tokenizers.PATTERN, in bulk: character classes give the boundaries. A piece's
-distinct pre-tokens are then resolved in two tiers. A minimal perfect hash over the vocabulary finds
-those that are one token; the others merge their bytes, which are linked to their neighbours, in the
+Texts are split by public_tokenizers.PATTERN, in bulk: character classes give the boundaries, and any other pattern is refused. A piece's
+distinct pre-tokens are then resolved in two tiers. A minimal perfect hash over the vocabulary gives each a slot; if the slot's
+key and bytes are the pre-token's, its id stands there. The others merge their bytes, which are linked to their neighbours, in the
 order a heap gives, and a bounded memo keeps the results.
 
 Null is an empty text and has no tokens. Any valid text is encoded, without special tokens. Rows with
@@ -32,6 +32,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE = 1 << 20  # bytes whose distinct pre-tokens are resolved together
 MEMO = 600_000  # merged pre-tokens that a worker keeps
 SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Fixed value: the pattern that split() is written for.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 _U = np.uint64
 
 
@@ -143,12 +145,17 @@ class Encoder:
         ends = np.cumsum([len(c) for c in cps])
         keys = flat.run_hashes(np.concatenate(cps), np.concatenate([[0], ends[:-1]]), ends)
         self.hash = PerfectHash(keys)
+        #: By slot: the token, its key and its id.
         self.at_slot: list[bytes] = [b""] * len(whole)
         for token, slot in zip(whole, self.hash.slot.tolist(), strict=True):
             self.at_slot[slot] = token
+        self.key_at, self.id_at = np.empty(len(whole), _U), np.array([ranks[t] for t in self.at_slot], np.int64)
+        self.key_at[self.hash.slot] = keys
 
     @classmethod
     def load(cls, path: str | None = None) -> Encoder:
+        if public_tokenizers.PATTERN != PATTERN:
+            raise ValueError("the splitter is written for another pattern")
         path = path or public_tokenizers.path(RANKS)
         return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())})
 
@@ -192,7 +199,7 @@ class Encoder:
         return b"".join([self.token[i] for i in ids])
 
     def distinct(self, data: np.ndarray, offsets: np.ndarray):
-        """The distinct pre-tokens of a piece, whether each is one token, and each row's pre-tokens as
+        """The distinct pre-tokens of a piece, the id of each that is one token, else -1, and each row's pre-tokens as
         numbers of distinct ones, with the n + 1 offsets of the rows."""
         text = data.tobytes().decode()
         cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -207,29 +214,37 @@ class Encoder:
             tokens: dict[str, int] = {}  # two pre-tokens share a hash: number them by their text
             inverse = np.array([tokens.setdefault(text[a:b], len(tokens)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
             made = [t.encode() for t in tokens]
-            return made, [t in self.ranks for t in made], inverse, rows
+            return made, [self.ranks.get(t, -1) for t in made], inverse, rows
         made = [text[a:b].encode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        slots = self.hash(keys).tolist()
-        return made, [self.at_slot[s] == t for s, t in zip(slots, made, strict=True)], inverse, rows
+        slots = self.hash(keys)
+        ids = np.where(self.key_at[slots] == keys, self.id_at[slots], -1).tolist()
+        return made, [i if i >= 0 and self.at_slot[s] == t else -1 for i, s, t in zip(ids, slots.tolist(), made, strict=True)], inverse, rows
 
 
 class Memo(dict):
-    """What make() gives for a pre-token's ids; forgets all beyond MEMO entries."""
+    """What make() gives for the ids of pre-tokens: by id for those that are one token, and a memo, which forgets all beyond MEMO
+    entries, for merged ones."""
 
     def __init__(self, encoder: Encoder, make):
         super().__init__()
         self.encoder, self.make = encoder, make
+        self.single = [None] * (max(encoder.token, default=-1) + 1)
 
-    def of(self, words: list[bytes], whole: list[bool]) -> list:
+    def of(self, words: list[bytes], ids: list[int]) -> list:
         if len(self) > MEMO:
             self.clear()
-        out, make, encoder, get = [], self.make, self.encoder, self.get
-        for word, one in zip(words, whole, strict=True):
-            x = get(word)
-            if x is None:
-                x = make([encoder.ranks[word]] if one else encoder.merge(word), encoder)
-                if len(word) <= 64:
-                    self[word] = x
+        out, make, encoder, get, single = [], self.make, self.encoder, self.get, self.single
+        for word, one in zip(words, ids, strict=True):
+            if one >= 0:
+                x = single[one]
+                if x is None:
+                    x = single[one] = make([one], encoder)
+            else:
+                x = get(word)
+                if x is None:
+                    x = make(encoder.merge(word), encoder)
+                    if len(word) <= 64:
+                        self[word] = x
             out.append(x)
         return out
 
