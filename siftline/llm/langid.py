@@ -6,7 +6,7 @@ in a table of SLOTS hashed trigrams. Viterbi over the words, with a penalty for
 all texts of a batch step along together. A text's language is the one with most letters in spans.
 
 The model is fitted on labelled texts, of each language about MAX_TRAINING at most, chosen by a hash of the
-text; its size depends on SLOTS and the number of languages only.
+text; its size depends on SLOTS and the number of languages only, and more than MAX_LANGS languages are refused.
 
 Null, empty and letterless texts are "und" with score 0. With no labelled text every text is "und". Ties go
 to the first language by name. Rows are judged each by itself; other columns are not read.
@@ -25,6 +25,7 @@ from siftline.llm import bpe, flat
 
 SLOTS = 1 << 16
 MAX_TRAINING = 20_000
+MAX_LANGS = 256
 PENALTY = 6.0  # nats
 SCRIPT_SHARE = 0.001  # of a language's letters, for the script to count as its own
 BATCH = 8 << 20  # bytes of text that step along together
@@ -101,7 +102,9 @@ class Words:
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_training: int = MAX_TRAINING):
     """Languages by name, the log probability of each slot in each, and which scripts each uses."""
     docs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # a row for each language
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"{lang} has {len(sizes)} values; at most {MAX_LANGS} languages fit in the model")
     if not sizes:
         return [], np.zeros((0, SLOTS), np.float32), np.zeros((0, 256), bool)
     share = F.lit(0)
@@ -218,10 +221,14 @@ def _label(data, offsets, i, j, langs, logs, scripts, penalty):
         base = offsets[i + a]
         words = Words(data[base : offsets[i + b]], offsets[i + a : i + b + 1] - base)
         n = len(words.lengths)
-        own = np.empty((n, len(langs)), np.float32)
+        own = np.full((n, len(langs)), -1e6, np.float32)
         for k in range(len(langs)):
-            own[:, k] = np.add.reduceat(logs[k][words.slots], words.first) if n else 0
-        own[~scripts.T[words.scripts]] = -1e6
+            open_ = scripts[k][words.scripts]  # words that may be in this language; the others aren't scored
+            if open_.all():
+                own[:, k] = np.add.reduceat(logs[k][words.slots], words.first) if n else 0
+            elif open_.any():
+                sizes = words.lengths[open_]
+                own[open_, k] = np.add.reduceat(logs[k][words.slots[np.repeat(open_, words.lengths)]], np.cumsum(sizes) - sizes)
         scores.append(own)
         lengths.append(words.lengths)
         rows.append(words.rows[1:] + at)
@@ -240,7 +247,8 @@ def _label(data, offsets, i, j, langs, logs, scripts, penalty):
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1
+    """Whether a document is kept from training; one without an id is."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(True))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
