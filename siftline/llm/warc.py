@@ -30,7 +30,7 @@ from siftline.llm import shared
 
 MIN_BYTES = 0
 ARCHIVE_BYTES = 64 << 20  # of records, after which a task begins another archive
-SALTS = 32
+HOT_ROWS = 10_000
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
@@ -158,15 +158,18 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def plan(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", url: str = "url", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, html and refers_to: null for a response. Digests with copies are few bytes each; they
-    are joined under salts, so that one digest with a third of all rows is spread."""
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumns({"_digest": F.sha2("html", 256), "_salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))})
+def plan(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", url: str = "url", min_bytes: int = MIN_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """page_id, url, html and refers_to: null for a response. Digests that over HOT_ROWS rows and a thousandth of all have are at most
+    a thousand; they are broadcast, and their rows are spread over the join with the others."""
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("_digest", F.sha2("html", 256))
     first = pages.select(F.col(page_id).alias("page_id"), F.sha2(F.coalesce(F.col(html), F.lit("")), 256).alias("_digest"), F.octet_length(F.coalesce(F.col(html), F.lit(""))).alias("_bytes"))
     copies = first.where(F.col("_bytes") >= min_bytes).groupBy("_digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1 and _last is not null")
-    copies = copies.select("_digest", "_last", F.explode(F.array(*map(F.lit, range(SALTS))).cast("array<long>")).alias("_salt"))
-    joined = rows.join(copies, ["_digest", "_salt"], "left")
+    limit = max(hot_rows, pages.count() // 1000)
+    hot = copies.where(F.col("_n") > limit).select("_digest", F.col("_last").alias("_hot"))
+    rows = rows.join(F.broadcast(hot), "_digest", "left")
+    place = F.concat_ws("-", "_digest", F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("_digest", F.when(F.col("_hot").isNull(), F.col("_digest")).otherwise(place))
+    joined = rows.join(copies.where(F.col("_n") <= limit).select("_digest", "_last"), "_digest", "left").withColumn("_last", F.coalesce("_hot", "_last"))
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last")).alias("refers_to"))
 
 
