@@ -34,8 +34,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written to a new shared folder and read again: its lineage ends there."""
+def written_to(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame, written to a new shared folder and read again, so that its lineage ends there; and the folder."""
     spark, at, schema = frame.sparkSession, folder(frame.sparkSession, name), frame.schema
     frame.write.parquet(at)
-    return spark.read.schema(schema).parquet(at)
+    return spark.read.schema(schema).parquet(at), at
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    return written_to(frame, name)[0]
+
+
+def deleted(spark: SparkSession, at: str) -> None:
+    """Deletes a folder that written_to() made and nothing reads any longer."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(at if "://" in at else at.replace("file:", "file://"))
+    if files.get_file_info(path).type != fs.FileType.NotFound:
+        files.delete_dir(path)
