@@ -4,7 +4,8 @@ A token file is nothing but ids, of 16 bits if all of the vocabulary and the sep
 name's end says; each document's are followed by an end-of-document id. A scan cuts files
 into blocks, reads each by its range and finds the separators in bulk; a block knows how many it has and
 where the first and last stand. Documents that cross blocks are stitched by a prefix scan: the number of
-separators before a block, and the place of the last of them, first over groups of blocks and then inside each.
+separators before a block, and the place of the last of them, first over groups of blocks and then inside each. Both joins are merge
+joins, as all their sides grow with the input.
 
 The writer lists which document is the how-manieth of which file beside the files; the counts join that list. Null
 and empty texts have no tokens. Repeated ids are counted row by row. Other columns are not read.
@@ -105,7 +106,7 @@ def scan(spark: SparkSession, folder: str, names: DataFrame, *, separator: int =
     groups = groups.select("file", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("last0"))
     inside = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     own = found.withColumns({"n1": F.coalesce(F.sum("n").over(inside), F.lit(0)), "last1": F.coalesce(F.max("last").over(inside), F.lit(-1))})
-    own = own.join(groups, ["file", "group"]).select("file", (F.col("n0") + F.col("n1")).alias("first"), F.greatest("last0", "last1").alias("prior"), "ends").where("size(ends) > 0")
+    own = own.join(groups.hint("merge"), ["file", "group"]).select("file", (F.col("n0") + F.col("n1")).alias("first"), F.greatest("last0", "last1").alias("prior"), "ends").where("size(ends) > 0")
     lengths = F.zip_with("ends", F.concat(F.array("prior"), F.slice("ends", 1, F.size("ends") - 1)), lambda end, prior: end - prior - 1)
     return own.select("file", "first", F.posexplode(lengths).alias("k", "n_tokens")).select("file", (F.col("first") + F.col("k")).alias("place"), "n_tokens")
 
@@ -115,7 +116,7 @@ def count(docs: DataFrame, folder: str, **names) -> DataFrame:
     spark = docs.sparkSession
     write(docs, folder, **names)
     listed = spark.read.parquet(f"{folder}/list")
-    return listed.join(scan(spark, folder, listed.select("file").distinct()), ["file", "place"]).select("doc_id", "n_tokens")
+    return listed.join(scan(spark, folder, listed.select("file").distinct()).hint("merge"), ["file", "place"]).select("doc_id", "n_tokens")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
