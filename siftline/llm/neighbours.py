@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one full-dimensional word from each of STAGES codebooks. The codebooks are fitted
-on at most SAMPLE vectors: k-means on the residuals, stage by stage, then jointly by least squares. A beam
+on at most SAMPLE vectors: k-means on the residuals, stage by stage, then by least squares of
+each codebook given the others, in turn. A beam
 search finds each vector's code; the index keeps code, vector and the norm of the code's sum. A query makes a
 table of its products with all words, so a row's score is STAGES look-ups and the norm. Its best SHORTLIST rows, over the whole
 index, are ranked again by the exact distance, in double precision.
@@ -10,7 +11,8 @@ The index is cut into cells around coarse centroids, about the square root of th
 same sample; a query is scored against the PROBED share of the cells that are nearest to it (the share is large as vectors without clusters,
 such as the test tables', have their neighbours in many cells). Queries are rows of a table like all
 others: cells and queries meet in groups of at most about GROUP rows and QUERIES queries, so no cell is too large for a task, and nothing
-but the sample and one row for each cell comes to the driver.
+but the sample and one row for each cell comes to the driver. A query first sees its HOME nearest cells; the worst score of its short list
+there bounds what the other cells give back, so what it gets doesn't grow with the number of cells.
 
 Vectors that are null, zero, of another length than most or that hold null or non-finite components take no part, nor do rows without an
 id. A query is a pair of an id and a vector, however often it is repeated. Rows with the query's id are no candidates; other repeated rows each
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,7 @@ SAMPLE = 8192
 BEAM = 4
 MAX_CELLS = 1024
 PROBED = 0.7
+HOME = 8  # cells in which a query first finds how good a row must be
 LEAST_CELLS = 16  # that a query is scored against, if there are so many
 GROUP = 1 << 16
 QUERIES = 2048
@@ -55,7 +59,7 @@ def _kmeans(x: np.ndarray, words: int, rng: np.random.Generator, rounds: int = 8
     return book
 
 
-def fit(x: np.ndarray, stages: int = STAGES, words: int = WORDS, seed: int = 7) -> np.ndarray:
+def fit(x: np.ndarray, stages: int = STAGES, words: int = WORDS, seed: int = 7, sweeps: int = 8) -> np.ndarray:
     """stages x words x dimensions."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
@@ -67,18 +71,16 @@ def fit(x: np.ndarray, stages: int = STAGES, words: int = WORDS, seed: int = 7)
         books.append(book)
     books = np.stack(books)
     codes = encode(x, books)
-    size = stages * words
-    at = codes + np.arange(stages) * words
-    gram = np.zeros((size, size), np.float32)
-    for a in range(stages):
-        for b in range(stages):
-            np.add.at(gram, (at[:, a], at[:, b]), 1)
-    right = np.zeros((size, x.shape[1]), np.float32)
-    for a in range(stages):
-        np.add.at(right, at[:, a], x)
-    gram[np.diag_indices(size)] += 0.1
-    flat = books.reshape(size, -1)
-    return np.linalg.solve(gram, right + 0.1 * flat).astype(np.float32).reshape(books.shape)
+    left = x - books[np.arange(stages), codes].sum(1)
+    for _ in range(sweeps):
+        for a in range(stages):
+            own = codes[:, a]
+            sums, counts = 0.1 * books[a], np.bincount(own, minlength=words) + 0.1
+            np.add.at(sums, own, left + books[a][own])
+            now = (sums / counts[:, None]).astype(np.float32)
+            left += books[a][own] - now[own]
+            books[a] = now
+    return books
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -136,7 +138,7 @@ def index(rows: DataFrame, dimensions: int, books: np.ndarray, cells: np.ndarray
 
 
 def _probes(asked: DataFrame, dimensions: int, cells: np.ndarray, probed: int) -> DataFrame:
-    """query, query_id, vector and cell for the nearest cells of each query."""
+    """query, query_id, vector and cell for the nearest cells of each query, with their place from 0."""
     shared = asked.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +150,23 @@ def _probes(asked: DataFrame, dimensions: int, cells: np.ndarray, probed: int) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int64()))], ["query", "query_id", "vector", "cells"])
 
     found = asked.mapInArrow(run, "query long, query_id long, vector array<double>, cells array<long>")
-    return found.select("query", "query_id", "vector", F.explode("cells").alias("cell"))
+    return found.select("query", "query_id", "vector", F.posexplode("cells").alias("place", "cell"))
+
+
+def _met(index: DataFrame, probes: DataFrame, dimensions: int, books: Broadcast, shortlist: int) -> DataFrame:
+    """The best rows for each query in the cells that it probes (query, query_id, vector, cell and most, the worst score that counts)."""
+    sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    asks = probes.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+    plan = F.broadcast(sizes.join(asks, "cell"))  # a row for each cell, MAX_CELLS at most
+    deal = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = index.join(plan, "cell").select("cell", F.pmod(F.xxhash64("row"), "parts").alias("part"), deal(F.col("blocks")).alias("block"), "row", "vec_id", "code", "norm")
+    right = probes.join(plan, "cell").select("cell", deal(F.col("parts")).alias("part"), F.pmod(F.xxhash64("query"), "blocks").alias("block"), "query", "query_id", "vector", "most")
+    return left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInArrow(lambda a, b: _scored(a, b, dimensions, books.value, shortlist), "query long, row long, vec_id long, near float")
+
+
+def _best(near: DataFrame, shortlist: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query").orderBy("near", "vec_id", "row"))
+    return near.withColumn("place", place).where(F.col("place") <= shortlist)
 
 
 def _scored(rows: pa.Table, queries: pa.Table, dimensions: int, books: np.ndarray, shortlist: int) -> pa.Table:
@@ -160,7 +178,7 @@ def _scored(rows: pa.Table, queries: pa.Table, dimensions: int, books: np.ndarra
         ids, row, norm = ids[order], row[order], rows.column("norm").to_numpy()[order]
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), len(books))[order]
         names, own = queries.column("query").to_numpy(), queries.column("query_id").to_numpy()
-        q = _vectors(queries.column("vector"), dimensions).astype(np.float32)
+        q, most = _vectors(queries.column("vector"), dimensions).astype(np.float32), queries.column("most").to_numpy()
         for first in range(0, len(names), 16):
             block = q[first : first + 16]
             score = np.broadcast_to(norm, (len(block), len(ids))).copy()
@@ -168,9 +186,8 @@ def _scored(rows: pa.Table, queries: pa.Table, dimensions: int, books: np.ndarra
                 score -= 2 * (block @ book.T)[:, code]
             for r, s in enumerate(score, first):
                 s[ids == own[r]] = np.inf
-                found = np.argsort(s, kind="stable") if len(s) <= shortlist else np.flatnonzero(s <= np.partition(s, shortlist - 1)[shortlist - 1])
+                found = np.flatnonzero((s <= most[r]) & (s < np.inf))
                 found = found[np.argsort(s[found], kind="stable")][:shortlist]
-                found = found[s[found] < np.inf]
                 out.append((np.full(len(found), names[r]), row[found], ids[found], s[found]))
     query, row, ids, score = (np.concatenate(x) for x in zip(*out, strict=True))
     return pa.table({"query": query, "row": row, "vec_id": ids, "near": score})
@@ -193,15 +210,12 @@ def nearest(rows: DataFrame, queries: Column, *, vec_id: str = "vec_id", embeddi
     found = index(rows, dimensions, books, cells, folders.folder(spark, "vectors"))
     asked = found.where(queries).select(F.xxhash64("vec_id", "vector").alias("query"), F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query"])
     probes = _probes(asked, dimensions, cells, max(min(LEAST_CELLS, len(cells)), round(probed * len(cells))))
-    sizes = found.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    asks = probes.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
-    plan = F.broadcast(sizes.join(asks, "cell"))  # a row for each cell, MAX_CELLS at most
-    deal = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = found.join(plan, "cell").select("cell", F.pmod(F.xxhash64("row"), "parts").alias("part"), deal(F.col("blocks")).alias("block"), "row", "vec_id", "code", "norm")
-    right = probes.join(plan, "cell").select("cell", deal(F.col("parts")).alias("part"), F.pmod(F.xxhash64("query"), "blocks").alias("block"), "query", "query_id", "vector")
     shared = spark.sparkContext.broadcast(books)
-    near = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInArrow(lambda a, b: _scored(a, b, dimensions, shared.value, shortlist), "query long, row long, vec_id long, near float")
-    best = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("near", "vec_id", "row"))).where(F.col("place") <= shortlist)
+    home = _met(found, probes.where(F.col("place") < HOME).withColumn("most", F.lit(float("inf")).cast("float")), dimensions, shared, shortlist)
+    home = folders.written(_best(home, shortlist).drop("place"), "near")
+    bound = home.groupBy("query").agg(F.max("near").alias("worst"), F.count("*").alias("n")).where(F.col("n") == shortlist).select("query", "worst")
+    others = probes.where(F.col("place") >= HOME).join(bound, "query", "left").withColumn("most", F.coalesce("worst", F.lit(float("inf")).cast("float"))).drop("worst")
+    best = _best(home.unionAll(_met(found, others, dimensions, shared, shortlist)), shortlist)
     pairs = best.select("query", "row").join(found.select("row", "vec_id", "vector"), "row").join(asked.withColumnRenamed("vector", "wanted"), "query")
     squares = F.zip_with("vector", "wanted", lambda x, y: (x - y) * (x - y))
     exact = pairs.select("query", "query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"), "row")
