@@ -41,6 +41,32 @@ def top_dir(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1)).otherwise("")
 
 
+def trimmed(text: Column) -> Column:
+    """PRJ-10: for comparing titles: lower case, without spaces around."""
+    return F.lower(F.trim(text))
+
+
+def best(ordered: Column) -> Column:
+    """PRJ-12: the first of an array that is in order; null of an empty one."""
+    return F.try_element_at(ordered, F.lit(1))
+
+
+def number_files(n: Column, one: str, many: str) -> Column:
+    """STR-07: "1 album", "2 albums"."""
+    return F.when(n == 1, F.format_string(f"%d {one}", n)).otherwise(F.format_string(f"%d {many}", n))
+
+
+def inside(path: Column, root: str) -> Column:
+    """FLT-02, FLT-04: below a folder, taken literally; the folder '' is that of relative paths."""
+    return ~path.startswith("/") if root == "" else path.startswith(root.rstrip("/") + "/")
+
+
+def damaged_at_import(error: Column, decoded: Column, stated: Column, least: float = 0.5) -> Column:
+    """FLT-10: only of files that a scan complained of: less than so much of the stated length decodes; without a stated length they are."""
+    known = F.coalesce(stated, F.lit(0.0))
+    return F.coalesce(error, F.lit("")).__ne__("") & F.when(known > 0, F.coalesce(decoded, F.lit(0.0)) < least * known).otherwise(True)
+
+
 def first_number(path: Column) -> Column:
     """PRJ-03: the first number in the file name."""
     return F.nullif(F.regexp_extract(basename(path), r"(\d+)", 1), F.lit("")).try_cast("int")

@@ -9,11 +9,19 @@ from siftline.functions import expr
 from siftline.operators import matching
 
 
-def evidence(files: DataFrame) -> DataFrame:
-    """DOM-20: files (album, id, artist, minutes, verdict): the commonest artist, minutes, files and verdict counts."""
-    artist = matching.majority(files.where(expr.filled(F.col("artist"))), "album", "artist", "id").select("album", "artist")
-    counts = files.groupBy("album").agg(F.count("*").alias("files"), F.sum("minutes").alias("minutes"), F.count_if(F.col("verdict") == "confirmed").alias("confirmed"), F.count_if(F.col("verdict") == "mismatch").alias("mismatch"))
-    return counts.join(artist, "album", "left")
+def evidence(files: DataFrame, first: int = 8) -> DataFrame:
+    """DOM-20: files (album, id, name, albumartist, artist, title, date, codec, minutes, verdict): each album's commonest tags (of equals, the first
+    seen), minutes, files, counts of verdicts, and its first files with their titles. Files with the same id are told apart by name."""
+    seen = F.struct("id", "name")
+    own = files.withColumn("seen", seen)
+    out = own.groupBy("album").agg(F.count("*").alias("files"), F.round(F.sum(F.coalesce("minutes", F.lit(0.0))), 1).alias("minutes"), F.count_if(F.col("verdict") == "confirmed").alias("confirmed"), F.count_if(F.col("verdict") == "mismatch").alias("mismatch"), F.count_if(F.col("verdict").isNull()).alias("none"))
+    tags = ["albumartist", "artist", "title", "date", "codec"]
+    each = own.select("album", "seen", F.inline(F.array(*(F.struct(F.lit(t).alias("tag"), F.col(t).cast("string").alias("value")) for t in tags)))).where(expr.filled(F.col("value")))
+    counts = each.groupBy("album", "tag", "value").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
+    modes = counts.groupBy("album").pivot("tag", tags).agg(F.min_by("value", F.struct(-F.col("n"), F.col("seen"))))
+    begin = own.withColumn("k", F.row_number().over(Window.partitionBy("album").orderBy("id", "name"))).where(F.col("k") <= first)
+    begin = begin.groupBy("album").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%d:%s", "k", F.coalesce("name", F.lit(""))))), ";").alias("sample"))
+    return out.join(modes, "album", "left").join(begin, "album").withColumn("artist", F.coalesce("albumartist", "artist")).drop("albumartist")
 
 
 def shared_audio(pairs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
@@ -40,11 +48,15 @@ def incomplete(albums: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def whole_album_files(files: DataFrame, least_others: int = 4, least_share: float = 0.8) -> DataFrame:
-    """FLT-13, WIN-05: files (album, id, seconds, verdict) as long as most of the others together, and not confirmed."""
+    """FLT-13, WIN-05: files (album, id, name: without extension, title, album_title, seconds, verdict) that hold a whole album: as long as most of the others
+    together, named like the album or as a full one, and not confirmed as one recording. Length alone or a name alone says nothing."""
     by = Window.partitionBy("album")
-    others = F.sum(F.coalesce("seconds", F.lit(0.0))).over(by) - F.coalesce("seconds", F.lit(0.0))
-    out = files.withColumns({"others": others, "n": F.count("*").over(by) - 1})
-    return out.where((F.col("n") >= least_others) & (F.col("others") > 0) & (F.col("seconds") >= least_share * F.col("others")) & ~F.col("verdict").eqNullSafe("confirmed")).select("album", "id")
+    own = F.coalesce("seconds", F.lit(0.0))
+    title = expr.norm_title(F.col("album_title"))
+    names = F.filter(F.array(expr.norm_title(F.col("name")), expr.norm_title(F.col("title"))), lambda n: n != "")
+    named = F.exists(names, lambda n: F.contains(n, F.lit("full album")) | ((F.col("norm") != "") & F.contains(n, F.col("norm")))) | F.contains(F.lower(F.coalesce("name", F.lit(""))), F.lit("full album"))
+    out = files.withColumns({"others": F.sum(own).over(by) - own, "n": F.count("*").over(by) - 1, "norm": title}).withColumn("named", named)
+    return out.where((F.col("n") >= least_others) & (own >= least_share * F.col("others")) & F.col("named") & ~F.col("verdict").eqNullSafe("confirmed")).select("album", "id")
 
 
 def arrivals(wanted: DataFrame, library: DataFrame, had: DataFrame) -> DataFrame:
@@ -55,16 +67,82 @@ def arrivals(wanted: DataFrame, library: DataFrame, had: DataFrame) -> DataFrame
     return found.join(had, ["key", "album"], "left_anti").groupBy("key").agg(F.min("album").alias("album"))
 
 
-def settled_batches(matches: DataFrame, imported: DataFrame) -> DataFrame:
-    """DOM-59: matches (id, batch, decision): what waits in each batch; a batch where nothing does is settled."""
+def wanted_key(artist: Column, title: Column) -> Column:
+    """DOM-57: the key of an entry made by hand; null without both names."""
+    a, t = expr.norm_name(artist), expr.norm_name(title)
+    return F.when((a != "") & (t != ""), F.concat(F.lit("manual:"), a, F.lit("|"), t))
+
+
+def wanted_by_hand(asked: DataFrame, current: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """DOM-57: asked (artist, title), current (id, key, status), dismissed (id): every entry's key and status after both. An open entry stays as it is, any other
+    with an asked key opens anew; of those that were there, open ones that are dismissed close."""
+    gone = F.when((F.col("status") == "open") & F.col("gone").isNotNull(), "dismissed").otherwise(F.col("status"))
+    old = current.join(dismissed.select("id", F.lit(True).alias("gone")), "id", "left").select("key", gone.alias("status"))
+    new = asked.select(wanted_key(F.col("artist"), F.col("title")).alias("key")).where("key is not null").distinct().select("key", F.lit("open").alias("status"))
+    return new.unionByName(old.join(new.select("key"), "key", "left_anti"))
+
+
+def damaged_keys(entries: DataFrame, library: DataFrame) -> DataFrame:
+    """DOM-58: entries (status, files: array of paths), library (path, key): keys of the files of open entries."""
+    hurt = entries.where("status = 'open' and files is not null").select(F.explode("files").alias("path")).distinct()
+    return library.join(hurt, "path", "left_semi").select("key").distinct()
+
+
+def settled_batches(matches: DataFrame, imported: DataFrame, batches: DataFrame) -> DataFrame:
+    """DOM-59: matches (id, batch, decision), batches (batch, status): what waits in each batch, and its status: a matched batch where nothing
+    waits is imported; an imported one where something does says so."""
     waiting = F.col("imported").isNull() & ~F.col("decision").eqNullSafe("skip")
-    own = matches.join(imported.select("id", F.lit(True).alias("imported")), "id", "left")
-    return own.groupBy("batch").agg(F.count_if(waiting).alias("waiting"), (F.count_if(waiting) == 0).alias("settled"))
+    own = matches.join(imported.select("id", F.lit(True).alias("imported")), "id", "left").groupBy("batch").agg(F.count_if(waiting).alias("waiting"))
+    left, live = F.coalesce("waiting", F.lit(0)), F.col("status").isin("matched", "imported")
+    return batches.join(own, "batch", "left").select("batch", left.alias("waiting"), F.when(live & (left == 0), "imported").otherwise(F.col("status")).alias("status"), ((F.col("status") == "imported") & (left > 0)).alias("noted"))
+
+
+def upgrade_removals(upgrades: DataFrame, albums: DataFrame, placed: DataFrame, root: Column) -> DataFrame:
+    """DOM-60: upgrades (path, replaced: folder), albums (album, folder, status, decision), placed (source, dest): the placed files below a folder that an
+    approved and imported album replaces, but for the batch's own, below root."""
+    ready = albums.where("status = 'imported' and decision = 'approve'").select("album", "folder")
+    done = upgrades.withColumn("folder", F.explode(ancestors(F.col("path")))).join(ready, "folder").select("album", F.col("replaced").alias("folder")).distinct()
+    others = placed.where(~F.col("source").startswith(root)).withColumn("folder", F.explode(ancestors(F.col("dest"))))
+    return others.join(done, "folder").select("album", "dest").distinct()
+
 
+def ancestors(path: Column) -> Column:
+    """JOIN-13: all folders above a path, for an equi-join in place of a prefix join."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
 
-def upgrade_removals(upgrades: DataFrame, placed: DataFrame) -> DataFrame:
-    """DOM-60: upgrades (folder, replaced) that were imported: the placed files (path, folder) they replace."""
-    return placed.join(upgrades.select(F.col("replaced").alias("folder")).distinct(), "folder", "left_semi")
+
+def groups_side_by_side(members: DataFrame, albums: DataFrame, items: DataFrame) -> DataFrame:
+    """DOM-22: members (group, folder, role), albums (folder, album, imported, decision, action), items (album, item): each member with its status and the number
+    of items that no other member of its group has."""
+    c = F.col
+    status = F.when(c("album").isNull(), "no match row").when(c("imported"), "imported").when(expr.filled(c("decision")), F.concat(F.lit("decided: "), c("decision"))).when(c("action") == "review", "open").otherwise(c("action"))
+    own = members.join(albums, "folder", "left").withColumn("status", status)
+    alone = only_here(own.where("album is not null").select("group", "album").join(items, "album").select("group", "album", "item"))
+    return own.join(alone, ["group", "album"], "left").select("group", "folder", "role", "status", F.coalesce("only_here", F.lit(0)).alias("only_here"))
+
+
+def in_library(candidates: DataFrame, imported: DataFrame, sharing: DataFrame, slack: float = 0.05) -> DataFrame:
+    """DOM-21: candidates (album, release, distance), imported (release, theirs), sharing (ours, theirs, shares), of shared_audio(): for each album the first imported
+    album of a release as near as the best candidate, within slack, that shares its audio."""
+    best = candidates.groupBy("album").agg(F.min("distance").alias("best"))
+    near = candidates.join(best, "album").where(F.col("distance") <= F.col("best") + slack).select(F.col("album").alias("ours"), "release")
+    return near.join(imported, "release").join(sharing.where("shares"), ["ours", "theirs"]).groupBy("ours").agg(F.min("theirs").alias("already"))
+
+
+def no_art(albums: DataFrame, art: DataFrame) -> DataFrame:
+    """DOM-69: albums (album, art: path) whose picture isn't known or isn't there; art (path)."""
+    return albums.join(art.select(F.col("path").alias("art")), "art", "left_anti").select("album")
+
+
+def disc_albums(files: DataFrame, dropped_files: DataFrame, dropped_folders: DataFrame) -> DataFrame:
+    """SRC-15: files (path): albums are folders; folders of discs beside each other, as "cd 1" or "disc 2" with the same words before, are one. Dropped files (path) and
+    files below dropped folders (folder) don't count."""
+    kept = files.join(dropped_files.select("path"), "path", "left_anti")
+    below = kept.withColumn("folder", F.explode(ancestors(F.col("path")))).join(dropped_folders.select("folder"), "folder", "left_semi").select("path").distinct()
+    kept = kept.join(below, "path", "left_anti").withColumn("folder", expr.folder(F.col("path")))
+    plain = F.regexp_replace("folder", r"(?i)[ _\-\[(]*(?:cd|disc|disk|disco)[ _.\-]*\d+[\])]?/$", "/")
+    return kept.groupBy(plain.alias("album")).agg(F.count_distinct("folder").alias("folders"), F.count("*").alias("files"), F.min("folder").alias("key"))
 
 
 def foreign_script(albums: DataFrame, items: DataFrame) -> DataFrame:
@@ -83,6 +161,13 @@ def left_or_skipped(asked: DataFrame, proposals: DataFrame) -> DataFrame:
     return asked.join(proposals, "album", "left").select("album", F.when(F.col("status").isNull(), "never checked").when(F.col("status") != "changed", "nothing proposed").otherwise("left").alias("result"))
 
 
+def batch_of(batches: DataFrame, name: str) -> DataFrame:
+    """DOM-75: the batch (batch, folder) with this id or folder; reading it fails if there are several or none."""
+    found = batches.where((F.col("batch").cast("string") == name) | (F.col("folder") == name))
+    n = found.agg(F.count("*")).scalar()
+    return found.withColumn("batch", F.when(n == 1, F.col("batch")).otherwise(F.raise_error(F.lit(f"{name} names several batches")).cast("long")))
+
+
 def inbox(folders: DataFrame, batches: DataFrame) -> DataFrame:
     """DOM-75: folders (folder): waiting, or the state of their batch (folder, status); hidden ones are ignored."""
     return folders.join(batches, "folder", "left").select("folder", F.when(F.col("folder").startswith("."), "ignored").otherwise(F.coalesce("status", F.lit("waiting"))).alias("state"))

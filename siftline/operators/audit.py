@@ -69,9 +69,21 @@ def reconciled(found: DataFrame, current: DataFrame, key: str) -> DataFrame:
     return both.select(key, "status", action.alias("action"))
 
 
-def wanted(albums: DataFrame, damaged: DataFrame) -> DataFrame:
-    """DOM-55: albums (folder, lossless_share, kbps), damaged (folder, path, unsorted): keys and kinds of what is wanted."""
-    low = albums.where((F.col("kbps") > 0) & (expr.quality_tier(F.col("lossless_share") > 0.5, F.col("kbps")) <= 1)).select(F.concat(F.lit("low_bitrate:"), "folder").alias("key"), F.lit("low_bitrate").alias("kind"))
-    single = damaged.where("unsorted").select(F.concat(F.lit("damaged_file:"), "path").alias("key"), F.lit("damaged_file").alias("kind"))
-    hurt = damaged.where("not unsorted").select(F.concat(F.lit("damaged:"), "folder").alias("key"), F.lit("damaged").alias("kind")).distinct()
-    return low.unionAll(single).unionAll(hurt)
+def proposal_state(found: Column, digest: Column, left: Column) -> Column:
+    """DOM-53: what a check of an album says: not there, the same, left by the user with this very digest, or changed."""
+    return F.when(~found, "not_found").when(digest.isNull(), "same").when(digest.eqNullSafe(left), "left").otherwise("changed")
+
+
+def summary(problems: dict[str, DataFrame]) -> DataFrame:
+    """DOM-54: how many rows each problem has."""
+    return reduce(DataFrame.unionAll, [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n") for name, rows in problems.items()])
+
+
+def wanted_findings(albums: DataFrame, damaged: DataFrame) -> DataFrame:
+    """DOM-55: albums (folder, items, lossless_share, kbps), damaged (folder, path, unsorted): what is wanted, with its numbers: damaged albums (files, of how many;
+    null for folders that are no album), damaged files outside albums, albums whose mean rate is of the lowest tier; a rate of 0 isn't known."""
+    none = F.lit(None).cast("long")
+    low = albums.where((F.col("kbps") > 0) & (expr.quality_tier(F.col("lossless_share") > 0.5, F.col("kbps")) <= 1)).select(F.concat(F.lit("low_bitrate:"), "folder").alias("key"), F.lit("low_bitrate").alias("kind"), F.round("kbps").cast("long").alias("n"), none.alias("of_n"))
+    single = damaged.where("unsorted").select(F.concat(F.lit("damaged_file:"), "path").alias("key"), F.lit("damaged_file").alias("kind"), F.lit(1).cast("long").alias("n"), none.alias("of_n"))
+    hurt = damaged.where("not unsorted").groupBy("folder").agg(F.count_distinct("path").alias("n")).join(albums.select("folder", "items"), "folder", "left")
+    return low.unionAll(single).unionAll(hurt.select(F.concat(F.lit("damaged:"), "folder"), F.lit("damaged"), "n", "items"))

@@ -74,11 +74,22 @@ def greedy_cover(members: DataFrame, clusters: DataFrame, rank: DataFrame) -> Da
     return out.select("root", "set", "keeper", "role", F.round((F.col("size") - F.col("own")) / F.col("size"), 3).alias("coverage"))
 
 
-def cluster_groups(cover: DataFrame, sizes: DataFrame) -> DataFrame:
-    """DOM-04: one row for each cluster: keeper, action (review where a kept set overlaps others), and what dropping frees."""
-    own = cover.join(sizes, "set")
+def cluster_groups(cover: DataFrame, sets: DataFrame, margin: float = 0.2) -> DataFrame:
+    """DOM-04: one row for each cluster: keeper, action (review where a kept set overlaps others), what dropping frees, and the first dropped set, best first, whose share of
+    verified files is above the keeper's by more than margin: its tags are carried over. sets (set, bytes, verified: share, rank)."""
+    own = cover.join(sets, "set")
     partial = F.max((F.col("role") == "keep") & (F.col("coverage") > 0))
-    return own.groupBy("root", "keeper").agg(F.count("*").alias("members"), F.when(partial, "review").otherwise("auto").alias("action"), F.sum(F.when(F.col("role") == "drop", F.col("bytes")).otherwise(0)).alias("reclaimable"))
+    keeper = F.max(F.when(F.col("set") == F.col("keeper"), F.col("verified")))
+    out = own.groupBy("root", "keeper").agg(F.count("*").alias("members"), F.when(partial, "review").otherwise("auto").alias("action"), F.sum(F.when(F.col("role") == "drop", F.col("bytes")).otherwise(0)).alias("reclaimable"), keeper.alias("kept"))
+    better = own.join(out.select("root", "kept"), "root").where((F.col("role") == "drop") & (F.col("verified") > F.col("kept") + margin)).groupBy("root").agg(F.max_by("set", "rank").alias("carry"))
+    return out.drop("kept").join(better, "root", "left")
+
+
+def examples(groups: DataFrame, members: DataFrame, top: int = 5) -> DataFrame:
+    """DOM-08: groups (tier, group, reclaimable), members (group, path, role): the groups of each tier that free most, with their members."""
+    place = F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("reclaimable"), "group"))
+    best = groups.withColumn("k", place).where(F.col("k") <= top)
+    return best.join(members, "group").select("tier", "group", "reclaimable", "k", "path", "role")
 
 
 def edition_pairs(pairs: DataFrame, release: DataFrame, rank: DataFrame) -> DataFrame:
@@ -98,13 +109,16 @@ def identical_groups(files: DataFrame, handled: DataFrame) -> DataFrame:
     return out.where("copies > 1 and not all_handled").drop("all_handled")
 
 
-def second_copies(rows: DataFrame, group: list[str], order: list[Column], measure: str, least_gap: float) -> DataFrame:
-    """DOM-07: in each group the best row keeps; others whose measure is under least_gap from the keeper's are copies.
-    A null measure counts as 0."""
+def second_copies(rows: DataFrame, group: list[str], order: list[Column], measure: str, least_gap: float, gone: DataFrame | None = None) -> DataFrame:
+    """DOM-07: in each group the best row keeps; others whose measure is under least_gap from the keeper's are copies. Rows in gone (id), dropped before, don't
+    count. action: review if the numbers of the keeper and the copies differ (number; null is none), else auto. A null measure counts as 0."""
+    left = rows if gone is None else rows.join(gone.select("id"), "id", "left_anti")
     by = Window.partitionBy(*group).orderBy(*order)
     m = F.coalesce(F.col(measure), F.lit(0.0))
-    first = F.first(m).over(by)
-    return rows.withColumns({"place": F.row_number().over(by), "gap": F.abs(m - first)}).where((F.col("place") > 1) & (F.col("gap") < least_gap))
+    out = left.withColumns({"place": F.row_number().over(by), "gap": F.abs(m - F.first(m).over(by))}).where((F.col("place") == 1) | (F.col("gap") < least_gap))
+    whole = Window.partitionBy(*group)
+    differ = F.min("number").over(whole) < F.max("number").over(whole)
+    return out.withColumn("action", F.when(F.coalesce(differ, F.lit(False)), "review").otherwise("auto")).where("place > 1")
 
 
 def exact_groups(rows: DataFrame, digest: Column, size: Column) -> DataFrame:

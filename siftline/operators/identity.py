@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,9 @@ def parsed(results: Column) -> Column:
 def lookup_queue(files: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """DOM-78, JOIN-06, SET-06: distinct keys not looked up yet."""
     return files.select(*keys).where(" and ".join(f"{k} is not null" for k in keys)).distinct().join(known.select(*keys), keys, "left_anti")
+
+
+def recomputed(old: DataFrame, root: str, fresh: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """DOM-02: rows (path, ...) below root made anew by fresh(), the others as they were."""
+    inside = F.coalesce(expr.inside(F.col("path"), root), F.lit(False))
+    return old.where(~inside).unionByName(fresh(old.where(inside)))

@@ -1,4 +1,4 @@
-"""Majorities, best matches, unique pairs and merges (AGG-10, JOIN-14 to JOIN-16, DOM-30, DOM-31)."""
+"""Majorities, best matches, unique pairs and merges (AGG-10, JOIN-14 to JOIN-17, DOM-30 to DOM-33, DOM-74)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def majority(rows: DataFrame, by: str, value: str, seen: str) -> DataFrame:
     """AGG-10: the commonest value; of equals, the first seen."""
     counts = rows.groupBy(by, value).agg(F.count("*").alias("n"), F.min(seen).alias("first"))
-    return counts.groupBy(by).agg(F.max_by(value, F.struct(F.col("n"), -F.col("first"))).alias(value), F.max("n").alias("n"))
+    return counts.groupBy(by).agg(F.min_by(value, F.struct(-F.col("n"), F.col("first"))).alias(value), F.max("n").alias("n"))
 
 
 def best_match(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
@@ -37,3 +37,41 @@ def merge_suggestions(parts: DataFrame, items: DataFrame, slack: int = 2) -> Dat
     groups = parts.groupBy("release").agg(F.count("*").alias("parts"), F.sum("files").alias("files"), F.max("tracks").alias("tracks")).where(f"parts > 1 and files <= tracks + {slack}")
     shared = items.distinct().join(parts.select("part", "release"), "part").groupBy("release", "item").agg(F.count("*").alias("n")).where("n > 1").select("release").distinct()
     return groups.join(shared, "release", "left_anti")
+
+
+def merged(albums: DataFrame) -> DataFrame:
+    """DOM-31: albums (target, album, decision, imported, batch, folders, files: arrays) that are to be one: its folders in their order of albums, its files once each; refused, with
+    a reason, if one is decided or imported or they come from several batches. A merge takes as many albums as a user names."""
+    bad = F.max(F.col("decision").isNotNull() | F.col("imported"))
+    out = albums.groupBy("target").agg(bad.alias("bad"), F.count_distinct(F.coalesce(F.col("batch").cast("string"), F.lit(""))).alias("batches"), F.min("album").alias("into"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("album", "folders"))), lambda x: x.folders)).alias("folders"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"))
+    return out.select("target", F.when(F.col("bad"), "decided").when(F.col("batches") > 1, "batches").alias("refused"), "into", "folders", "files")
+
+
+def carried(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """DOM-32: groups (keeper, carry: folder), files (folder, verdict, release): the release that most confirmed files of the folder name, for the keeper."""
+    sure = files.where("verdict = 'confirmed' and release <> ''").groupBy(F.col("folder").alias("carry"), "release").agg(F.count("*").alias("n"))
+    best = sure.groupBy("carry").agg(F.min_by("release", F.struct(-F.col("n"), F.col("release"))).alias("release"))
+    return groups.where("carry is not null").join(best, "carry").select("keeper", "release")
+
+
+def dropped(members: DataFrame) -> DataFrame:
+    """DOM-33: members (scope, action, role, path) as sets: files and folders that were dropped for certain, folders under review."""
+    gone = (F.col("action") == "auto") & (F.col("role") == "drop")
+    kind = F.when(gone & (F.col("scope") == "file"), "files").when(gone, "folders").when(F.col("action") == "review", "review")
+    return members.select(kind.alias("set"), "path").where("set is not null").distinct()
+
+
+def release_tracks(items: DataFrame, tracks: DataFrame) -> DataFrame:
+    """JOIN-17: items (album, item, release_track, recording, disc, place), tracks (album, track, recording, disc, place): an item's track by the release track's id, else by the
+    recording if the album has it once, else by disc and place among those with the recording."""
+    direct = items.join(tracks.select("album", F.col("track").alias("release_track"), F.col("track")), ["album", "release_track"]).select("album", "item", "track")
+    rest = items.join(direct.select("album", "item"), ["album", "item"], "left_anti")
+    found = rest.select("album", "item", "recording", F.col("disc").alias("d"), F.col("place").alias("p")).join(tracks, ["album", "recording"])
+    both = found.groupBy("album", "item").agg(F.count("*").alias("n"), F.min("track").alias("only"), F.min(F.when((F.col("disc") == F.col("d")) & (F.col("place") == F.col("p")), F.col("track"))).alias("there"))
+    return direct.unionAll(both.select("album", "item", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("there")).alias("track")).where("track is not null"))
+
+
+def unpaired(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:
+    """DOM-74: how many were paired, and how many of either side weren't."""
+    n = lambda rows: rows.agg(F.count("*")).scalar()
+    return pairs.agg(F.count("*").alias("pairs")).select("pairs", (n(old) - F.col("pairs")).alias("old_left"), (n(new) - F.col("pairs")).alias("new_left"))

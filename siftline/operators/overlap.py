@@ -2,31 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST_SHARE, GATE = 0.9, 0.5
+#: The share that decides, the share from which fingerprints are compared, their least similarity, seconds that may lie between.
+LEAST_SHARE, GATE, SAME_RECORDING, PRINT_GAP, TITLE_GAP = 0.9, 0.5, 0.75, 10, 3
 
 
-def overlaps(batch: DataFrame, library: DataFrame) -> DataFrame:
-    """DOM-11: both (set, key), distinct: shared keys and the larger of both shares, from GATE up; from LEAST_SHARE up it is an overlap,
-    below that fingerprints decide."""
-    sizes = lambda rows, name: rows.groupBy("set").agg(F.count("*").alias(name))
-    x, y = batch.select("key", F.col("set").alias("ours")), library.select("key", F.col("set").alias("theirs"))
-    pairs = x.join(y, "key").groupBy("ours", "theirs").agg(F.count("*").alias("shared"))
-    pairs = pairs.join(sizes(batch, "size_ours").withColumnRenamed("set", "ours"), "ours").join(sizes(library, "size_theirs").withColumnRenamed("set", "theirs"), "theirs")
+def overlaps(batch: DataFrame, library: DataFrame, gate: float = GATE) -> DataFrame:
+    """DOM-11: both (set, key), distinct: pairs of sets whose larger share is `gate` at least, with the number of shared keys; from
+    LEAST_SHARE up the overlap is certain, below that fingerprints decide.
+
+    The smaller set of such a pair has at least ceil(gate * size) of its keys in the other, so one of its size - that + 1
+    rarest keys is among them: only these look for partners, and only the pairs that they find are counted."""
+    holders = batch.unionAll(library).groupBy("key").agg(F.count("*").alias("holders"))
+
+    def ranked(rows: DataFrame, name: str) -> DataFrame:
+        size, order = F.count("*").over(Window.partitionBy("set")), F.row_number().over(Window.partitionBy("set").orderBy("holders", "key"))
+        return rows.join(holders, "key").select("key", F.col("set").alias(name), size.alias(f"size_{name}"), order.alias("k"))
+
+    x, y = ranked(batch, "ours"), ranked(library, "theirs")
+    rare = lambda rows, name: rows.where(F.col("k") <= F.col(f"size_{name}") - F.ceil(gate * F.col(f"size_{name}")) + 1).drop("k")
+    found = rare(x, "ours").join(y.drop("k"), "key").where("size_ours <= size_theirs").unionByName(x.drop("k").join(rare(y, "theirs"), "key").where("size_theirs <= size_ours"))
+    pairs = found.select("ours", "theirs", "size_ours", "size_theirs").distinct()
+    own = lambda rows, name: rows.select(F.col("set").alias(name), "key")
+    counts = pairs.join(own(batch, "ours"), "ours").join(own(library, "theirs"), ["theirs", "key"]).groupBy("ours", "theirs", "size_ours", "size_theirs").agg(F.count("*").alias("shared"))
     share = F.col("shared") / F.least("size_ours", "size_theirs")
-    return pairs.withColumn("share", F.round(share, 3)).withColumn("certain", share >= LEAST_SHARE).where(share >= GATE)
+    return counts.withColumn("share", F.round(share, 3)).withColumn("certain", share >= LEAST_SHARE).where(share >= gate)
+
+
+def refined(pairs: DataFrame, ours: DataFrame, theirs: DataFrame, similar: Column) -> DataFrame:
+    """DOM-11: pairs of overlaps() with the keys of ours that fingerprints find in theirs counted too, where the shares leave it open; those that
+    reach LEAST_SHARE by either. ours and theirs: (set, key, seconds, print), renamed ours_* and theirs_*; similar compares their prints."""
+    open_ = pairs.where("not certain").select("ours", "theirs")
+    mine, their = (rows.withColumnRenamed(f"{name}_set", name) for rows, name in ((ours, "ours"), (theirs, "theirs")))
+    two = open_.join(mine, "ours").join(their, "theirs")
+    shared = open_.join(mine.select("ours", F.col("ours_key").alias("key")).distinct(), "ours").join(their.select("theirs", F.col("theirs_key").alias("key")).distinct(), ["theirs", "key"])
+    left = two.join(shared.select("ours", "theirs", F.col("key").alias("ours_key")), ["ours", "theirs", "ours_key"], "left_anti").join(shared.select("ours", "theirs", F.col("key").alias("theirs_key")), ["ours", "theirs", "theirs_key"], "left_anti")
+    close = F.coalesce(F.abs(F.col("ours_seconds") - F.col("theirs_seconds")) <= PRINT_GAP, F.lit(False)) & F.coalesce(similar >= SAME_RECORDING, F.lit(False))
+    more = left.where(close).groupBy("ours", "theirs").agg(F.count_distinct("ours_key").alias("more"))
+    out = pairs.join(more, ["ours", "theirs"], "left").withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0)))
+    share = lambda size: F.col("shared") / F.col(size)
+    return out.where(F.greatest(share("size_ours"), share("size_theirs")) >= LEAST_SHARE).select("ours", "theirs", "shared", F.round(share("size_ours"), 3).alias("share_ours"), F.round(share("size_theirs"), 3).alias("share_theirs"))
 
 
 def same_recordings(ours: DataFrame, theirs: DataFrame, block: list[str], similar: Column | None = None) -> DataFrame:
-    """DOM-12, JOIN-11: ours and theirs (block, set, item, key, title, seconds), renamed ours_*/theirs_*: items that are the same by key, or by title
-    with at most 3 seconds between them, or by fingerprint with at most 10. An unknown length matches nothing."""
+    """DOM-12, JOIN-11: ours and theirs (block, set, item, key, title, seconds), renamed ours_*/theirs_*: items that are the same by key, or by a title that
+    isn't empty with at most 3 seconds between them, or by fingerprint with at most 10. An unknown length matches by key only."""
     gap = F.abs(F.col("ours_seconds") - F.col("theirs_seconds"))
-    same = (F.col("ours_key") == F.col("theirs_key")) | ((F.col("ours_title") == F.col("theirs_title")) & (gap <= 3))
+    title = (F.col("ours_title") == F.col("theirs_title")) & (F.col("ours_title") != "") & (gap <= TITLE_GAP)
+    same = F.coalesce(F.col("ours_key") == F.col("theirs_key"), F.lit(False)) | F.coalesce(title, F.lit(False))
     if similar is not None:
-        same = same | ((gap <= 10) & (similar >= 0.75))
-    return ours.join(theirs, block).where(F.coalesce(same, F.lit(False))).select(*block, "ours_set", "theirs_set", "ours_item").distinct()
+        same = same | F.coalesce((gap <= PRINT_GAP) & (similar >= SAME_RECORDING), F.lit(False))
+    return ours.join(theirs, block).where(same).select(*block, "ours_set", "theirs_set", "ours_item", "theirs_item").distinct()
+
+
+def named(same: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """DOM-12: pairs of sets with one name (ours_set, theirs_set; sizes in ours and theirs: set, size): the best partner of each of ours by the
+    larger share of items that are the same; below LEAST_SHARE it is an edition to look at."""
+    counts = same.groupBy("ours_set", "theirs_set").agg(F.count_distinct("ours_item").alias("a"), F.count_distinct("theirs_item").alias("b"))
+    sized = counts.join(ours.select(F.col("set").alias("ours_set"), F.col("size").alias("n")), "ours_set").join(theirs.select(F.col("set").alias("theirs_set"), F.col("size").alias("m")), "theirs_set")
+    share = F.greatest(F.col("a") / F.col("n"), F.col("b") / F.col("m"))
+    best = sized.withColumn("share", share).groupBy("ours_set").agg(F.min_by(F.struct("theirs_set", "share", (F.col("a") / F.col("n")).alias("covered")), F.struct(-F.col("share"), F.col("theirs_set"))).alias("x"))
+    return best.select("ours_set", F.col("x.theirs_set").alias("theirs_set"), F.round("x.covered", 3).alias("covered"), (F.col("x.share") >= LEAST_SHARE).alias("held"))
 
 
 def outcome(release_ours: Column, release_theirs: Column, hurt: Column, unsorted: Column, quality_ours: Column, quality_theirs: Column, extra: Column) -> tuple[Column, Column]:
@@ -40,5 +78,30 @@ def decided_once(stages: list[DataFrame], key: str) -> DataFrame:
     """DOM-14: the rows of all stages, without keys that a stage before has decided."""
     out = stages[0]
     for rows in stages[1:]:
-        out = out.unionByName(rows.join(out.select(key), key, "left_anti"))
+        out = out.unionByName(rows.join(out.select(key).distinct(), key, "left_anti"))
     return out
+
+
+def batch_plan(dropped: DataFrame, pairs: DataFrame, same_name: DataFrame, facts: DataFrame, files: DataFrame, library_files: DataFrame, elsewhere: DataFrame) -> DataFrame:
+    """DOM-14: what becomes of a batch: path, scope, outcome, kind, other and share.
+
+    dropped (path, scope, auto, other, share): copies inside the batch; only those that need no review settle a folder. pairs, of refined(): each
+    folder is judged beside the library folder that covers most of it. same_name, of named(): folders that are left. facts (ours, theirs,
+    outcome, kind): what outcome() says of a pair. files (folder, path, digest), library_files (path, digest): identical bytes in folders that
+    nothing has settled. elsewhere (ours, theirs, share): also held by what never reached the library, only flagged."""
+    row = lambda path, scope, outcome, kind, other, share: [path.alias("path"), F.lit(scope).alias("scope") if isinstance(scope, str) else scope.alias("scope"), outcome.alias("outcome"), kind.alias("kind"), other.alias("other"), share.cast("double").alias("share")]
+    c, auto = F.col, F.col("auto")
+    inside = dropped.select(*row(c("path"), c("scope"), F.when(auto, "skip").otherwise("review"), F.when(auto, "in_batch").otherwise("in_batch_review"), c("other"), c("share")))
+    gone = dropped.where("auto").select("path").distinct()
+    best = pairs.groupBy("ours").agg(F.min_by(F.struct("theirs", "share_ours"), F.struct(-c("share_ours"), c("theirs"))).alias("x")).select("ours", "x.theirs", "x.share_ours")
+    held = best.join(gone.withColumnRenamed("path", "ours"), "ours", "left_anti").join(facts, ["ours", "theirs"]).select(*row(c("ours"), "folder", c("outcome"), c("kind"), c("theirs"), c("share_ours")))
+    alike = same_name.withColumnsRenamed({"ours_set": "ours", "theirs_set": "theirs"}).join(facts, ["ours", "theirs"])
+    edition = ~c("held")
+    alike = alike.select(*row(c("ours"), "folder", F.when(edition, "review").otherwise(c("outcome")), F.when(edition, "edition").otherwise(c("kind")), c("theirs"), c("covered")))
+    judged = decided_once([held, alike.join(gone, "path", "left_anti")], "path")
+    settled = judged.select(c("path").alias("folder")).unionAll(gone.withColumnRenamed("path", "folder")).distinct()
+    twins = library_files.where("digest is not null").groupBy("digest").agg(F.min("path").alias("other"))
+    same = files.join(settled, "folder", "left_anti").join(gone, "path", "left_anti").join(twins, "digest")
+    same = same.select(*row(c("path"), "file", F.lit("skip"), F.lit("identical"), c("other"), F.lit(1.0)))
+    flags = elsewhere.join(gone.withColumnRenamed("path", "ours"), "ours", "left_anti").select(*row(c("ours"), "folder", F.lit("flag"), F.lit("dump_overlap"), c("theirs"), c("share"))).distinct()
+    return inside.unionByName(judged).unionByName(same).unionByName(flags)

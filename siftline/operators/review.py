@@ -29,18 +29,24 @@ def failures(checks: list[tuple[Column, Column]]) -> Column:
     return F.array_join(F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), why) for ok, why in checks)), lambda x: x.isNotNull()), "; ")
 
 
-def close_rule(distance: Column, gap: Column, confirmed: Column, files: Column, mismatch: Column, missing: Column, extra: Column, penalties: Column, rival_fits: Column, bad_file: Column) -> Column:
-    """DOM-23: why a close call doesn't qualify."""
+def rival_fits(distance: Column, extra: Column, missing: Column) -> Column:
+    """DOM-23: whether the next candidate is near enough to be asked about, and has just the album's files."""
+    return F.coalesce((distance < PLAUSIBLE) & (extra == 0) & (missing == 0), F.lit(False))
+
+
+def close_rule(distance: Column, gap: Column, confirmed: Column, files: Column, mismatch: Column, missing: Column, extra: Column, penalties: Column, rival: Column, bad_file: Column) -> Column:
+    """DOM-23: why a close call doesn't qualify, as codes with the values that speak against it; rival: of rival_fits()."""
+    foreign = F.array_sort(F.array_except(penalties, F.array(*map(F.lit, STRUCTURAL_ALLOWED))))
     return failures([
-        (distance < MAX_DISTANCE, F.format_string("distance %.3f", distance)),
-        (gap >= MIN_GAP, F.format_string("gap %.2f", gap)),
-        (F.try_divide(confirmed.cast("double"), F.greatest(files, F.lit(1))) >= MIN_CONFIRMED, F.format_string("%d/%d confirmed", confirmed, F.greatest(files, F.lit(1)))),
-        (mismatch <= MAX_MISMATCH, F.format_string("%d mismatch", mismatch)),
-        (missing <= MAX_MISSING, F.format_string("%d missing tracks", missing)),
-        (extra <= MAX_EXTRA, F.format_string("%d extra files", extra)),
-        (only(penalties, STRUCTURAL_ALLOWED), F.lit("structural penalties")),
-        (~(rival_fits & ((missing > 0) | (extra > 0))), F.lit("runner-up fits the files exactly")),
-        (~bad_file, F.lit("video or scan-error file")),
+        (distance < MAX_DISTANCE, F.format_string("distance=%.3f", distance)),
+        (gap >= MIN_GAP, F.format_string("gap=%.2f", gap)),
+        (F.try_divide(confirmed.cast("double"), F.greatest(files, F.lit(1))) >= MIN_CONFIRMED, F.format_string("confirmed=%d/%d", confirmed, F.greatest(files, F.lit(1)))),
+        (mismatch <= MAX_MISMATCH, F.format_string("mismatch=%d", mismatch)),
+        (missing <= MAX_MISSING, F.format_string("missing=%d", missing)),
+        (extra <= MAX_EXTRA, F.format_string("extra=%d", extra)),
+        (F.size(foreign) == 0, F.concat(F.lit("penalties="), F.array_join(foreign, ","))),
+        (~(rival & ((missing > 0) | (extra > 0))), F.lit("rival")),
+        (~bad_file, F.lit("bad_file")),
     ])
 
 
@@ -50,10 +56,15 @@ def exact_rule(distance: Column, gap: Column, mismatch: Column, missing: Column,
     return F.when(holds, F.when(distance < MAX_DISTANCE, "D22").otherwise("D26"))
 
 
+def approval(rule: Column, distance: Column, gap: Column, confirmed: Column, files: Column, missing: Column, extra: Column) -> Column:
+    """DOM-23, DOM-24: the rule that approves with the facts that it rests on; null without one."""
+    return F.when(rule.isNotNull(), F.concat(rule, F.format_string(" distance=%.3f gap=%.2f confirmed=%d/%d missing=%d extra=%d", distance, gap, confirmed, files, missing, extra)))
+
+
 def no_candidate_rule(distance: Column, in_library: Column, has_video: Column, local_title: Column, titles: Column) -> Column:
-    """DOM-25: why an unmatched album doesn't go on as it is, or ''. Titles are normal ones."""
+    """DOM-25: why an unmatched album doesn't go on as it is, as codes, or ''. Titles are normal ones; no candidate at all is as far as can be."""
     same = F.exists(titles, lambda t: (local_title != "") & (t != "") & (expr.titles_agree(local_title, t) | expr.whole_words(local_title, t) | expr.whole_words(t, local_title)))
-    return failures([(~F.coalesce(distance < 0.5, F.lit(False)), F.lit("a candidate is closer than 0.5")), (~in_library, F.lit("possible duplicate of an imported album")), (~has_video, F.lit("contains video files")), (~same, F.lit("a candidate matches the album title"))])
+    return failures([(F.coalesce(distance, F.lit(1.0)) >= 0.5, F.lit("near_candidate")), (~in_library, F.lit("in_library")), (~has_video, F.lit("video")), (~F.coalesce(same, F.lit(False)), F.lit("same_title"))])
 
 
 def decision(version_word: Column, in_library: Column, close: Column, exact: Column) -> Column:

@@ -1,14 +1,17 @@
-"""Plans of changes, without their effects (DOM-34 to DOM-46, DOM-59 to DOM-63, DOM-71, DOM-73 to DOM-77)."""
+"""Plans of changes, without their effects (DOM-34 to DOM-41, DOM-61 to DOM-63, DOM-71, DOM-76)."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import expr
+from siftline.operators import albums as albums_
 
-FIT, FAR, DEMOTE = 3, 6, 10  # seconds
+#: Seconds within which a length fits, beyond which another is ruled out, beyond which a file isn't its track; the least similarity of copies.
+FIT, FAR, DEMOTE, COPY = 3, 6, 10, 0.9
 
 
 def match_action(strong: Column, distance: Column, in_dupe: Column) -> Column:
@@ -28,10 +31,18 @@ def import_plan(chosen: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def copies_of_tracks(extras: DataFrame, tracks: DataFrame, similar: Column | None = None) -> DataFrame:
-    """DOM-37, DOM-38: extras and tracks (album, extra_*/track_* id, title, seconds): extras that repeat a track."""
+    """DOM-37: extras and tracks (album, extra_*/track_* id, title, seconds): extras that repeat a track: the same title, and where both have a fingerprint a similar
+    one with at most DEMOTE seconds between, else at most FIT."""
     gap = F.abs(F.col("extra_seconds") - F.col("track_seconds"))
-    same = gap <= FIT if similar is None else ((gap <= DEMOTE) & (similar >= 0.9)) | (similar.isNull() & (gap <= FIT))
-    return extras.join(tracks, "album").where((F.col("extra_title") == F.col("track_title")) & F.coalesce(same, F.lit(False))).groupBy("album", "extra_id").agg(F.min("track_id").alias("track_id"))
+    same = gap <= FIT if similar is None else F.when(similar.isNotNull(), (gap <= DEMOTE) & (similar >= COPY)).otherwise(gap <= FIT)
+    title = expr.trimmed(F.col("extra_title"))
+    return extras.join(tracks, "album").where((title != "") & (title == expr.trimmed(F.col("track_title"))) & F.coalesce(same, F.lit(False))).groupBy("album", "extra_id").agg(F.min("track_id").alias("track_id"))
+
+
+def skip_reason(video: Column, damaged: Column, whole: Column, copy_of: Column) -> Column:
+    """DOM-38: why an extra isn't put into its album's folder, the first that holds; null if it is."""
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    return F.when(yes(video), "video").when(yes(damaged), "damaged").when(yes(whole), "whole_album").when(copy_of.isNotNull(), F.concat(F.lit("copy:"), copy_of.cast("string")))
 
 
 def prune_duplicates(dropped: DataFrame, placed: DataFrame) -> DataFrame:
@@ -39,22 +50,47 @@ def prune_duplicates(dropped: DataFrame, placed: DataFrame) -> DataFrame:
     return dropped.join(placed.select(F.col("source").alias("keeper")), "keeper", "left_semi")
 
 
-def stale_skips(skips: DataFrame, log: DataFrame) -> DataFrame:
-    """DOM-40: skipped sources whose last row in the log isn't the skip."""
-    last = log.groupBy("source").agg(F.max_by("action", "id").alias("last"))
-    return skips.join(last, "source").where("last <> 'skip'").select("source", "last")
+def unplaced_extras(albums: DataFrame, log: DataFrame) -> DataFrame:
+    """DOM-40: albums (album, status, files: array) whose import failed half-way, log (source, action): files that no import has placed."""
+    every = albums.where("status = 'error'").select("album", F.explode("files").alias("source"))
+    return every.join(log.where(F.col("action").startswith("import")).select("source").distinct(), "source", "left_anti").select("album", "source")
+
+
+def stale_skips(albums: DataFrame, log: DataFrame, reasons: DataFrame) -> DataFrame:
+    """DOM-40: albums (album, status, files: array), log (id, source, action, detail), reasons (source): files of imported albums that were skipped last, and that no
+    present rule skips, with the reason of then; of albums with something placed only."""
+    every = albums.where("status = 'imported'").select("album", F.explode("files").alias("source"))
+    last = log.groupBy("source").agg(F.max_by(F.struct("action", "detail"), "id").alias("last"))
+    own = every.join(last, "source")
+    live = own.where(F.col("last.action").startswith("import")).select("album").distinct()
+    return own.where("last.action = 'skip_extra'").join(live, "album", "left_semi").join(reasons.select("source"), "source", "left_anti").select("album", "source", F.col("last.detail").alias("was"))
+
 
+def swaps(files: DataFrame, agree: Callable[[Column, Column], Column] = expr.titles_agree) -> DataFrame:
+    """DOM-41: files (album, file, title, titles: heard, verdict): mismatched files whose audio is another track of the album."""
+    wrong = files.where("verdict = 'mismatch'").select("album", "file", F.explode("titles").alias("heard"))
+    return wrong.join(files.select("album", F.col("file").alias("other"), "title"), "album").where((F.col("other") != F.col("file")) & agree(F.col("heard"), F.col("title"))).groupBy("album").agg(F.count_distinct("file").alias("swaps"))
 
-def swaps(files: DataFrame) -> DataFrame:
-    """DOM-41: files (album, file, title, heard_title, verdict): mismatched files whose audio is another track of the album."""
-    wrong = files.where("verdict = 'mismatch'").select("album", "file", F.col("heard_title").alias("heard"))
-    return wrong.join(files.select("album", F.col("file").alias("other"), "title"), "album").where("other <> file and heard = title").groupBy("album").agg(F.count_distinct("file").alias("swaps"))
 
+def unverified(size: Column, mtime: Column, base_size: Column, base_mtime: Column, read_size: Column, read_mtime: Column, decoded: Column, expected: Column, other_length: Column) -> Column:
+    """DOM-61: why a library file isn't a verified copy, or null: it is there, an audit has seen it unchanged, and as it is now it decodes in full."""
+    unseen = ~(base_size.eqNullSafe(size) & base_mtime.eqNullSafe(mtime))
+    unread = ~(read_size.eqNullSafe(size) & read_mtime.eqNullSafe(mtime)) | read_size.isNull()
+    return F.when(size.isNull(), "missing").when(unseen, "unseen").when(unread, "undecoded").when(expr.damaged(decoded, expected, other_length), "short")
 
-def eligible(files: DataFrame, checks: list[tuple[Column, str]]) -> DataFrame:
-    """DOM-61: files (batch, path, ...): the first reason against pruning each; a batch may go if none of its files has one."""
-    why = F.coalesce(*(F.when(bad, F.lit(text)) for bad, text in checks), F.lit(None).cast("string"))
-    return files.withColumn("reason", why).groupBy("batch").agg(F.count("*").alias("files"), F.count("reason").alias("held"), F.min("reason").alias("reason"))
+
+def prunable(batches: DataFrame, files: DataFrame, placed: DataFrame, skipped_files: DataFrame, skipped_folders: DataFrame, log: DataFrame, now: Column, days: int = 14) -> DataFrame:
+    """DOM-61: batches (batch, status, note, changed, inside) with what becomes of each: unsettled, not_due, held or ready, the number of files that hold it and the
+    first reason. files (batch, path), placed (path, why: of unverified()), skipped copies by file (path) or folder, log (id, path, action)."""
+    last = log.groupBy("path").agg(F.max_by("action", "id").alias("last"))
+    own = files.withColumn("folder", expr.folder(F.col("path"))).join(placed.select("path", "why", F.lit(True).alias("placed")), "path", "left")
+    own = own.join(skipped_files.select("path", F.lit(True).alias("by_file")).distinct(), "path", "left").join(skipped_folders.select("folder", F.lit(True).alias("by_folder")).distinct(), "folder", "left").join(last, "path", "left")
+    why = F.when(F.col("placed"), F.col("why")).when(F.coalesce("by_file", "by_folder").isNotNull(), F.lit(None)).otherwise(F.concat(F.lit("not in the library"), F.coalesce(F.concat(F.lit(": "), "last"), F.lit(""))))
+    held = own.withColumn("reason", why).where("reason is not null").groupBy("batch").agg(F.count("*").alias("problems"), F.min_by("reason", "path").alias("reason"))
+    due = F.datediff(F.to_date(now), F.to_date("changed")) >= days
+    state = F.when((F.col("status") != "imported") | expr.filled(F.col("note")), "unsettled").when(~due, "not_due").when(~F.col("inside") | F.col("problems").isNotNull(), "held").otherwise("ready")
+    out = batches.join(held, "batch", "left").withColumn("state", state)
+    return out.select("batch", "state", F.when(F.col("state") == "held", F.coalesce("problems", F.lit(0))).alias("problems"), F.when(F.col("state") == "held", F.when(~F.col("inside"), "outside").otherwise(F.col("reason"))).alias("reason"))
 
 
 def art_plan(albums: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -73,88 +109,8 @@ def length_queue(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.where("decoded < 0.9 * expected and release is not null").select("release").distinct().join(known.select("release"), "release", "left_anti")
 
 
-def ancestors(path: Column) -> Column:
-    """JOIN-13: all folders above a path, for an equi-join in place of a prefix join."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
-
-
 def under(files: DataFrame, folders: DataFrame) -> DataFrame:
     """JOIN-13, DOM-76: files (path) below any of folders (folder); the folder '' is that of loose files only."""
     loose = files.where(expr.folder(F.col("path")) == "").withColumn("folder", F.lit(""))
-    deep = files.where(expr.folder(F.col("path")) != "").withColumn("folder", F.explode(ancestors(F.col("path"))))
+    deep = files.where(expr.folder(F.col("path")) != "").withColumn("folder", F.explode(albums_.ancestors(F.col("path"))))
     return deep.unionAll(loose).join(folders.select("folder"), "folder", "left_semi").select(*files.columns).distinct()
-
-
-def relabel(files: DataFrame, tracks: DataFrame) -> DataFrame:
-    """DOM-43 to DOM-46: which file of an album belongs to which track, by what is heard and by length.
-
-    files: album, file, track (that it is tagged as, or null), heard (ids), heard_titles (normal), seconds. tracks: album, track,
-    title (normal), seconds. One row for each file: to_track, state (stays, moves, foreign, unclear) and, for the album,
-    problems. An album is one group: it has as many files as a release has tracks."""
-    own = files.groupBy("album").agg(F.collect_list(F.struct("file", "track", "heard", "heard_titles", "seconds")).alias("files"))
-    both = own.join(tracks.groupBy("album").agg(F.collect_list(F.struct("track", "title", "seconds")).alias("tracks")), "album")
-
-    def plan(batches):
-        for frame in batches:
-            out = []
-            for album, members, release in zip(frame["album"], frame["files"], frame["tracks"], strict=True):
-                out += _relabel_one(album, [_plain(f) for f in members], {t["track"]: _plain(t) for t in release})
-            yield pd.DataFrame(out, columns=["album", "file", "to_track", "state", "problems"])
-
-    return both.mapInPandas(plan, "album string, file string, to_track string, state string, problems array<string>")
-
-
-def _plain(row) -> dict:
-    row = row.asDict() if hasattr(row, "asDict") else dict(row)
-    return {k: list(v) if k.startswith("heard") and v is not None else v for k, v in row.items()}
-
-
-def _agree(a: str, b: str) -> bool:
-    return bool(a and b) and (a == b or (min(len(a), len(b)) >= 8 and (a.startswith(b) or b.startswith(a))))
-
-
-def _relabel_one(album: str, files: list[dict], tracks: dict[str, dict]) -> list[tuple]:
-    problems: list[str] = []
-    placed: dict[str, tuple[str | None, str]] = {}
-    for f in sorted(files, key=lambda f: f["file"]):
-        ids, titles = set(f["heard"] or []), f["heard_titles"] or []
-        fits = [t for t in tracks if t in ids] or [t for t, x in tracks.items() if any(_agree(x["title"], a) for a in titles)]
-        near = [t for t in fits if f["seconds"] and tracks[t]["seconds"] and abs(tracks[t]["seconds"] - f["seconds"]) <= FIT]
-        clear = len(near) == 1 and all(tracks[t]["seconds"] and abs(tracks[t]["seconds"] - f["seconds"]) > FAR for t in fits if t != near[0])
-        tagged = f["track"] if f["track"] in tracks else None
-        if tagged in fits or (not ids and not titles):
-            placed[f["file"]] = (tagged, "stays")
-        elif len(fits) == 1 or clear:
-            placed[f["file"]] = (fits[0] if len(fits) == 1 else near[0], "moves")
-        elif not fits and tagged:
-            placed[f["file"]] = (tagged, "foreign")
-        else:
-            placed[f["file"]] = (None, "unclear")
-            problems.append(f"{f['file']}: {len(fits)} candidate tracks")
-    kept = {t for t, state in placed.values() if state == "stays" and t}
-    by_name = {f["file"]: f for f in files}
-    for name, (to, state) in list(placed.items()):
-        tagged, seconds = by_name[name]["track"], by_name[name]["seconds"] or 0
-        if state != "moves":
-            continue
-        if to in kept and tagged in tracks:
-            placed[name] = (tagged, "foreign")
-            continue
-        if tagged in tracks and tracks[tagged]["seconds"] and tracks[to]["seconds"]:
-            old, new = tracks[tagged]["seconds"], tracks[to]["seconds"]
-            if abs(new - old) > FIT and abs(seconds - new) >= abs(seconds - old):
-                problems.append(f"{name}: its length fits its present track at least as well")
-    goals = [t for t, state in placed.values() if state in ("stays", "moves") and t]
-    if len(goals) != len(set(goals)):
-        problems.append("two files point at the same track")
-    claimed = {t for t, state in placed.values() if state == "moves"}
-    for name, (to, state) in list(placed.items()):
-        if state == "foreign":
-            length = tracks[to]["seconds"]
-            off = bool(length) and abs((by_name[name]["seconds"] or 0) - length) > DEMOTE
-            if to in claimed or off:
-                placed[name] = (None, "demoted")
-            else:
-                problems.append(f"{name}: another recording, but its length fits its track")
-    return [(album, name, to, state, problems) for name, (to, state) in placed.items()]

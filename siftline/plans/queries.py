@@ -3,33 +3,16 @@ folders whose lines are tracks, events are a log, orders are albums."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import expr
 from siftline.operators import albums, audit, dedupe, identity, matching, overlap, placement, report, review, similarity
 from siftline.plans import collection
+from siftline.plans.registry import query, table
 from siftline.sources import files
 from siftline.streaming import streams
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 # --- inventory and reports -----------------------------------------------------------------------------
 
 
@@ -228,16 +211,6 @@ def normal_titles(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_name", expr.norm_title(name).alias("norm"), expr.norm_name(name).alias("name"), expr.name_key(name).alias("key"))
 
 
-@query("""WITH t AS (SELECT DISTINCT p_brand, p_name FROM part)
-SELECT a.p_brand, a.p_name AS a, b.p_name AS b, length(a.p_name) >= 8 AND contains(' ' || b.p_name || ' ', ' ' || a.p_name || ' ') AS inside FROM t a JOIN t b ON a.p_brand = b.p_brand AND left(a.p_name, 3) = left(b.p_name, 3) AND a.p_name < b.p_name
-WHERE a.p_name = b.p_name OR (least(length(a.p_name), length(b.p_name)) >= 8 AND (starts_with(a.p_name, b.p_name) OR starts_with(b.p_name, a.p_name)))""")
-def titles_agree(spark, sf):
-    """STR-02, STR-05, blocked by brand and the first three letters."""
-    t = table(spark, sf, "part").select("p_brand", "p_name").distinct().withColumn("start", F.substring("p_name", 1, 3))
-    two = t.withColumnRenamed("p_name", "a").join(t.withColumnRenamed("p_name", "b"), ["p_brand", "start"]).where("a < b")
-    return two.where(expr.titles_agree(F.col("a"), F.col("b"))).select("p_brand", "a", "b", expr.whole_words(F.col("b"), F.col("a")).alias("inside"))
-
-
 @query("""SELECT page_id, CASE WHEN url IS NULL THEN NULL ELSE regexp_extract(url, '^(.*/)', 1) END AS folder, CASE WHEN contains(url, '/') THEN split_part(url, '/', 1) ELSE '' END AS top, TRY_CAST(nullif(regexp_extract(list_last(string_split(url, '/')), '[0-9]+'), '') AS INTEGER) AS number, lower(regexp_extract(list_last(string_split(url, '/')), '.\\.([^.]*)$', 1)) AS ext, length(url) AS length FROM pages""")
 def path_parts(spark, sf):
     """PRJ-01 to PRJ-03, PRJ-07, STR-06, SRC-02."""
@@ -252,6 +225,16 @@ def document_keys(spark, sf):
     return table(spark, sf, "documents").select("doc_id", expr.non_latin(text).alias("other_script"), expr.digest16(text).alias("digest"), expr.identity(F.col("lang"), F.sha2(text, 256)).alias("identity"))
 
 
+@query("""WITH t AS (SELECT DISTINCT p_size AS block, left(p_name || ' ' || p_type, 4 + p_partkey % 14) AS title FROM part)
+SELECT a.block, a.title AS a, b.title AS b, length(a.title) >= 8 AND contains(' ' || b.title || ' ', ' ' || a.title || ' ') AS inside FROM t a JOIN t b ON a.block = b.block AND left(a.title, 3) = left(b.title, 3) AND a.title < b.title
+WHERE least(length(a.title), length(b.title)) >= 8 AND (starts_with(a.title, b.title) OR starts_with(b.title, a.title))""")
+def titles_agree(spark, sf):
+    """STR-02, STR-05, blocked by size and the first three letters: cut titles against whole ones."""
+    t = table(spark, sf, "part").select(F.col("p_size").alias("block"), F.substring(F.concat_ws(" ", "p_name", "p_type"), F.lit(1), (4 + F.col("p_partkey") % 14).cast("int")).alias("title")).distinct().withColumn("start", F.substring("title", 1, 3))
+    two = t.withColumnRenamed("title", "a").join(t.withColumnRenamed("title", "b"), ["block", "start"]).where("a < b")
+    return two.where(expr.titles_agree(F.col("a"), F.col("b"))).select("block", "a", "b", expr.whole_words(F.col("b"), F.col("a")).alias("inside"))
+
+
 # --- dedupe --------------------------------------------------------------------------------------------
 
 _LINES = "k AS (SELECT DISTINCT doc_id AS s, unnest(string_split(text, chr(10))) AS key FROM documents), m AS (SELECT s, key FROM k WHERE key <> ''), z AS (SELECT s, count(*) AS n FROM m GROUP BY 1), f AS (SELECT key FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), r AS (SELECT m.* FROM m JOIN f USING (key))"
@@ -296,10 +279,28 @@ def greedy_cover(spark, sf):
     return _cover(spark, sf)
 
 
-@query(f"WITH {_COVER} SELECT root, keeper, count(*) AS members, CASE WHEN bool_or(role = 'keep' AND coverage > 0) THEN 'review' ELSE 'auto' END AS action, CAST(coalesce(sum(n_chars) FILTER (role = 'drop'), 0) AS BIGINT) AS reclaimable FROM v JOIN documents ON doc_id = set GROUP BY 1, 2")
+_GROUPS = _COVER + """, u AS (SELECT v.*, n_chars, doc_id % 4 / 4 AS ok, first_value(doc_id % 4 / 4) OVER (PARTITION BY root ORDER BY (set = keeper) DESC) AS kept FROM v JOIN documents ON doc_id = set),
+w AS (SELECT root, keeper, count(*) AS members, CASE WHEN bool_or(role = 'keep' AND coverage > 0) THEN 'review' ELSE 'auto' END AS action, CAST(coalesce(sum(n_chars) FILTER (role = 'drop'), 0) AS BIGINT) AS reclaimable, arg_max(set, (n_chars, -set)) FILTER (role = 'drop' AND ok > kept + 0.2) AS carry FROM u GROUP BY 1, 2)"""
+
+
+def _groups(spark, sf) -> tuple[DataFrame, DataFrame]:
+    cover = dedupe.written(_cover(spark, sf), "cover")
+    info = table(spark, sf, "documents").select(F.col("doc_id").alias("set"), F.col("n_chars").alias("bytes"), (F.col("doc_id") % 4 / 4).alias("verified"), F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("earlier")).alias("rank"))
+    return dedupe.cluster_groups(cover, info), cover
+
+
+@query(f"WITH {_GROUPS} SELECT * FROM w")
 def cluster_groups(spark, sf):
-    """DOM-04, DOM-08."""
-    return dedupe.cluster_groups(_cover(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("set"), F.col("n_chars").alias("bytes")))
+    """DOM-04: clusters with their keepers, and whose tags the keeper takes over."""
+    return _groups(spark, sf)[0]
+
+
+@query(f"""WITH {_GROUPS}, t AS (SELECT *, CASE action WHEN 'auto' THEN 1 ELSE 2 END AS tier FROM w), best AS (SELECT tier, root AS "group", reclaimable, CAST(row_number() OVER (PARTITION BY tier ORDER BY reclaimable DESC, root) AS INTEGER) AS k FROM t) SELECT best.*, v.set AS path, v.role FROM best JOIN v ON v.root = best."group" WHERE k <= 5""")
+def group_examples(spark, sf):
+    """DOM-08: the groups that free most, with their members."""
+    groups, cover = _groups(spark, sf)
+    tier = F.when(F.col("action") == "auto", 1).otherwise(2)
+    return dedupe.examples(groups.select(tier.alias("tier"), F.col("root").alias("group"), "reclaimable"), cover.select(F.col("root").alias("group"), F.col("set").alias("path"), "role"))
 
 
 @query(f"""WITH {_PAIRS} SELECT CASE WHEN (x.n_chars, -x.doc_id) > (y.n_chars, -y.doc_id) THEN a ELSE b END AS keeper, CASE WHEN (x.n_chars, -x.doc_id) > (y.n_chars, -y.doc_id) THEN b ELSE a END AS other,
@@ -317,11 +318,16 @@ def identical_outside_clusters(spark, sf):
     return dedupe.identical_groups(d, dedupe.components(_pairs(spark, sf)).select(F.col("node").alias("id")))
 
 
-@query("""SELECT * FROM (SELECT l_orderkey, l_partkey, l_linenumber, CAST(row_number() OVER w AS INTEGER) AS place, abs(l_quantity - first_value(l_quantity) OVER w) AS gap FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_partkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_linenumber, l_shipdate, l_suppkey)) WHERE place > 1 AND gap < 2""")
+@query("""WITH l AS (SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_orderkey % 3 AS album, CASE WHEN l_suppkey % 3 > 0 THEN l_linenumber END AS number FROM lineitem WHERE l_suppkey % 10 > 0),
+w AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS place, abs(l_quantity - first_value(l_quantity) OVER w) AS gap FROM l WINDOW w AS (PARTITION BY album, l_partkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_shipdate, l_suppkey)),
+c AS (SELECT *, coalesce(min(number) OVER (PARTITION BY album, l_partkey) < max(number) OVER (PARTITION BY album, l_partkey), false) AS d FROM w WHERE place = 1 OR gap < 2)
+SELECT l_orderkey, l_partkey, l_linenumber, place, gap, CASE WHEN d THEN 'review' ELSE 'auto' END AS action FROM c WHERE place > 1""")
 def in_group_second_copy(spark, sf):
-    """DOM-07, WIN-02."""
-    order = [F.desc("l_quantity"), F.desc("l_extendedprice"), F.asc("l_linenumber"), F.asc("l_shipdate"), F.asc("l_suppkey")]
-    return dedupe.second_copies(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey"], order, "l_quantity", 2.0).select("l_orderkey", "l_partkey", "l_linenumber", "place", "gap")
+    """DOM-07, WIN-02, PRJ-03: without what was dropped before; differing numbers are for review."""
+    order = [F.desc("l_quantity"), F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_shipdate"), F.asc("l_suppkey")]
+    l = table(spark, sf, "lineitem").withColumns({"album": F.col("l_orderkey") % 3, "number": F.when(F.col("l_suppkey") % 3 > 0, F.col("l_linenumber")), "id": F.col("l_suppkey")})
+    gone = table(spark, sf, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("id"))
+    return dedupe.second_copies(l, ["album", "l_partkey"], order, "l_quantity", 2.0, gone).select("l_orderkey", "l_partkey", "l_linenumber", "place", "gap", "action")
 
 
 @query(f"""WITH {_LINES}, q AS (SELECT x.s AS a, y.s AS b, count(*) AS shared FROM r x JOIN r y ON x.key = y.key AND x.s <> y.s GROUP BY 1, 2)
@@ -361,30 +367,68 @@ def fingerprint_pairs(spark, sf):
     return two.select("a", "b", similarity.similarity(F.col("x"), F.col("y")).alias("similarity"))
 
 
-_BATCH = "b AS (SELECT DISTINCT o_custkey AS s, l_partkey % 200 AS key FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'), l AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 200 AS key FROM lineitem)"
+_BATCH = "b AS (SELECT DISTINCT o_orderkey AS s, l_partkey AS key FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'), l AS (SELECT DISTINCT o_orderkey AS s, l_partkey AS key FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F')"
+_OVERLAPS = _BATCH + """, nb AS (SELECT s, count(*) AS n FROM b GROUP BY 1), nl AS (SELECT s, count(*) AS n FROM l GROUP BY 1), q AS (SELECT b.s AS ours, l.s AS theirs, count(*) AS shared FROM b JOIN l USING (key) GROUP BY 1, 2),
+o AS (SELECT ours, theirs, shared, nb.n AS size_ours, nl.n AS size_theirs, round(shared / least(nb.n, nl.n), 3) AS share, shared / least(nb.n, nl.n) >= 0.9 AS certain FROM q JOIN nb ON ours = nb.s JOIN nl ON theirs = nl.s WHERE shared / least(nb.n, nl.n) >= 0.5)"""
+
+
+def _tracks(spark, sf, status: str) -> DataFrame:
+    return table(spark, sf, "orders").where(F.col("o_orderstatus") == status).join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("set"), F.col("l_partkey").alias("key")).distinct()
 
 
-@query(f"""WITH {_BATCH}, nb AS (SELECT s, count(*) AS n FROM b GROUP BY 1), nl AS (SELECT s, count(*) AS n FROM l GROUP BY 1), q AS (SELECT b.s AS ours, l.s AS theirs, count(*) AS shared FROM b JOIN l USING (key) GROUP BY 1, 2)
-SELECT ours, theirs, shared, nb.n AS size_ours, nl.n AS size_theirs, round(shared / least(nb.n, nl.n), 3) AS share, shared / least(nb.n, nl.n) >= 0.9 AS certain FROM q JOIN nb ON ours = nb.s JOIN nl ON theirs = nl.s WHERE shared / least(nb.n, nl.n) >= 0.5""")
+def _overlaps(spark, sf) -> DataFrame:
+    return overlap.overlaps(_tracks(spark, sf, "P"), _tracks(spark, sf, "F"))
+
+
+@query(f"WITH {_OVERLAPS} SELECT * FROM o")
 def batch_overlaps(spark, sf):
-    """DOM-11: the parts of a customer's pending orders against a supplier's parts."""
-    lines = table(spark, sf, "lineitem").withColumn("key", F.col("l_partkey") % 200)
-    batch = table(spark, sf, "orders").where("o_orderstatus = 'P'").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("set"), "key").distinct()
-    return overlap.overlaps(batch, lines.select(F.col("l_suppkey").alias("set"), "key").distinct())
+    """DOM-11: pending orders against finished ones, by their parts."""
+    return _overlaps(spark, sf)
 
 
-@query("""WITH x AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderpriority AS t, o_totalprice / 100 AS s, o_orderstatus AS k FROM orders)
-SELECT DISTINCT o.c AS block, o.id AS ours_item, o.id % 100 AS ours_set, p.id % 100 AS theirs_set FROM x o JOIN x p ON o.c = p.c WHERE o.k = 'P' AND p.k = 'F' AND (o.id % 97 = p.id % 97 OR (o.t = p.t AND abs(o.s - p.s) <= 3))""")
-def same_recordings(spark, sf):
-    """DOM-12, JOIN-11, JOIN-14: blocked by customer."""
-    o = table(spark, sf, "orders")
+@query(f"""WITH {_OVERLAPS}, t AS (SELECT p_partkey AS key, p_size * 1.0 AS seconds, p_size % 4 * 65535 AS print FROM part), g AS (SELECT ours, theirs FROM o WHERE NOT certain),
+x AS (SELECT ours, theirs, b.key FROM g JOIN b ON b.s = ours WHERE b.key NOT IN (SELECT l.key FROM l WHERE l.s = theirs)), y AS (SELECT ours, theirs, l.key FROM g JOIN l ON l.s = theirs WHERE l.key NOT IN (SELECT b.key FROM b WHERE b.s = ours)),
+m AS (SELECT x.ours, x.theirs, count(DISTINCT x.key) AS n FROM x JOIN y ON x.ours = y.ours AND x.theirs = y.theirs JOIN t u ON u.key = x.key JOIN t v ON v.key = y.key WHERE abs(u.seconds - v.seconds) <= 10 AND 1 - bit_count(xor(u.print, v.print)) / 32 >= 0.75 GROUP BY 1, 2),
+r AS (SELECT ours, theirs, shared + coalesce(n, 0) AS shared, size_ours, size_theirs FROM o LEFT JOIN m USING (ours, theirs))
+SELECT ours, theirs, shared, round(shared / size_ours, 3) AS share_ours, round(shared / size_theirs, 3) AS share_theirs FROM r WHERE shared / least(size_ours, size_theirs) >= 0.9""")
+def refined_overlaps(spark, sf):
+    """DOM-11: where shares leave it open, other tracks are compared by length and fingerprint."""
+    return _refined(spark, sf)
+
+
+def _refined(spark, sf) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("seconds"), F.array_repeat((F.col("p_size") % 4 * 65535).cast("long"), 60).alias("print"))
+    side = lambda status, name: _tracks(spark, sf, status).join(part, "key").select(*(F.col(c).alias(f"{name}_{c}") for c in ("set", "key", "seconds", "print")))
+    return overlap.refined(_overlaps(spark, sf), side("P", "ours"), side("F", "theirs"), similarity.similarity(F.col("ours_print"), F.col("theirs_print")))
+
+
+_SAME = """x AS (SELECT o_orderkey AS id, o_custkey AS c, CASE WHEN o_orderkey % 10 > 0 THEN o_orderpriority ELSE '' END AS t, o_totalprice / 100 AS s, o_orderstatus AS k FROM orders),
+d AS (SELECT DISTINCT o.c AS block, o.id AS ours_item, o.id % 100 AS ours_set, p.id % 100 AS theirs_set, p.id AS theirs_item FROM x o JOIN x p ON o.c = p.c WHERE o.k = 'P' AND p.k = 'F' AND (o.id % 97 = p.id % 97 OR (o.t = p.t AND o.t <> '' AND abs(o.s - p.s) <= 3)))"""
+
+
+def _same(spark, sf) -> DataFrame:
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey")
 
     def side(name: str, status: str) -> DataFrame:
-        return o.where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("block"), F.col("o_orderkey").alias(f"{name}_item"), (F.col("o_orderkey") % 100).alias(f"{name}_set"), (F.col("o_orderkey") % 97).alias(f"{name}_key"), F.col("o_orderpriority").alias(f"{name}_title"), (F.col("o_totalprice") / 100).alias(f"{name}_seconds"))
+        return o.where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("block"), key.alias(f"{name}_item"), (key % 100).alias(f"{name}_set"), (key % 97).alias(f"{name}_key"), F.when(key % 10 > 0, F.col("o_orderpriority")).otherwise("").alias(f"{name}_title"), (F.col("o_totalprice") / 100).alias(f"{name}_seconds"))
 
     return overlap.same_recordings(side("ours", "P"), side("theirs", "F"), ["block"])
 
 
+@query(f"WITH {_SAME} SELECT * FROM d")
+def same_recordings(spark, sf):
+    """DOM-12, JOIN-11, JOIN-14: blocked by customer; tracks without a title are the same by key only."""
+    return _same(spark, sf)
+
+
+@query(f"""WITH {_SAME}, n AS (SELECT DISTINCT id % 100 AS g, count(*) FILTER (k = 'P') OVER (PARTITION BY id % 100) AS a, count(*) FILTER (k = 'F') OVER (PARTITION BY id % 100) AS b FROM x), q AS (SELECT ours_set, theirs_set, count(DISTINCT ours_item) / max(u.a) AS p, greatest(count(DISTINCT ours_item) / max(u.a), count(DISTINCT theirs_item) / max(w.b)) AS share FROM d JOIN n u ON u.g = ours_set JOIN n w ON w.g = theirs_set GROUP BY 1, 2)
+SELECT ours_set, theirs_set, round(p, 3) AS covered, share >= 0.9 AS held FROM (SELECT *, row_number() OVER (PARTITION BY ours_set ORDER BY share DESC, theirs_set) AS k FROM q) WHERE k = 1""")
+def same_names(spark, sf):
+    """DOM-12: the best partner of the same name."""
+    sizes = lambda status: table(spark, sf, "orders").where(F.col("o_orderstatus") == status).groupBy((F.col("o_orderkey") % 100).alias("set")).agg(F.count("*").alias("size"))
+    return overlap.named(_same(spark, sf), sizes("P"), sizes("F"))
+
+
 @query("""SELECT kind, CASE WHEN kind = 'duplicate' THEN 'skip' ELSE 'review' END AS outcome, count(*) AS n FROM (SELECT CASE WHEN l_returnflag <> l_linestatus AND l_linenumber = 1 THEN 'edition' WHEN l_quantity > 45 AND l_suppkey % 5 > 0 AND l_discount >= l_tax THEN 'upgrade' WHEN l_quantity > 45 THEN 'wanted' WHEN l_discount > l_tax THEN 'upgrade' WHEN l_quantity < 5 THEN 'extra_tracks' ELSE 'duplicate' END AS kind FROM lineitem) GROUP BY 1, 2""")
 def overlap_outcomes(spark, sf):
     """DOM-13."""
@@ -419,20 +463,43 @@ def placement_replay(spark, sf):
     return placement.placements(_log(spark, sf), F.col("action") == "error")
 
 
-@query("""SELECT user_id AS source, CASE WHEN bool_or(event_type = 'purchase' AND value > 60) THEN 'imported' WHEN bool_or(event_type = 'error' AND value > 60) THEN 'removed' WHEN bool_or(event_type = 'signup' AND value > 60) THEN 'pending' ELSE 'unmatched' END AS status FROM events GROUP BY 1""")
-def status_precedence(spark, sf):
-    """DOM-17."""
-    e = table(spark, sf, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("order"), "event_type", "value")
-    of = lambda kind: e.where((F.col("event_type") == kind) & (F.col("value") > 60))
-    return placement.by_precedence([("imported", of("purchase")), ("removed", of("error")), ("pending", of("signup"))], "source", e, "unmatched")
+_WHERE = """f AS (SELECT p_partkey AS source FROM part), g AS (SELECT event_id AS id, event_id % (SELECT max(p_partkey) FROM part) + 1 AS source, CASE event_type WHEN 'purchase' THEN 'import_album' WHEN 'error' THEN 'remove_from_library' WHEN 'signup' THEN 'skip_extra' WHEN 'click' THEN 'retag_by_fingerprint' ELSE 'note' END AS action, 'e' || event_id AS detail FROM events WHERE value > 40),
+s AS (SELECT *, CASE WHEN action IN ('import_album', 'retag_by_fingerprint') THEN 'imported' WHEN action = 'skip_extra' THEN 'skipped' WHEN action = 'remove_from_library' THEN 'removed' END AS status FROM g),
+m AS (SELECT p_partkey AS source, p_size < 5 AS imported, ['auto', 'unsorted', 'review'][1 + p_size % 3] AS action, CASE WHEN p_size % 7 = 0 THEN 'asis' END AS decision, p_type AS detail FROM part WHERE p_partkey % 2 = 0), c AS (SELECT p_partkey AS source, p_brand AS detail FROM part WHERE p_partkey % 5 = 0)"""
+
+
+def _whereabouts(spark, sf) -> tuple:
+    p, key, size = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
+    last, kind = p.agg(F.max("p_partkey")).scalar(), F.col("event_type")
+    log = table(spark, sf, "events").where("value > 40").select(F.col("event_id").alias("id"), (F.col("event_id") % last + 1).alias("source"), F.when(kind == "purchase", "import_album").when(kind == "error", "remove_from_library").when(kind == "signup", "skip_extra").when(kind == "click", "retag_by_fingerprint").otherwise("note").alias("action"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("detail"))
+    matches = p.where("p_partkey % 2 = 0").select(key.alias("source"), (size < 5).alias("imported"), F.element_at(F.array(F.lit("auto"), F.lit("unsorted"), F.lit("review")), (1 + size % 3).cast("int")).alias("action"), F.when(size % 7 == 0, "asis").alias("decision"), F.col("p_type").alias("detail"))
+    return p.select(key.alias("source")), log, matches, p.where("p_partkey % 5 = 0").select(key.alias("source"), F.col("p_brand").alias("detail"))
 
 
-@query("""WITH l AS (SELECT event_id AS id, user_id AS source, CAST(floor(value) AS BIGINT) % 50 AS dest, CASE event_type WHEN 'error' THEN 'removed' WHEN 'purchase' THEN 'imported' ELSE 'pending' END AS status FROM events)
-SELECT source, arg_max(status, id) AS status, arg_max(dest, id) AS dest FROM l GROUP BY 1""")
+@query(f"""WITH {_WHERE}, l AS (SELECT source, status, detail FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE status WHEN 'removed' THEN 3 WHEN 'skipped' THEN 2 ELSE 1 END DESC, id DESC) AS k FROM s WHERE status IS NOT NULL) WHERE k = 1),
+r AS (SELECT source, CASE WHEN l.status IS NOT NULL THEN l.status WHEN m.imported THEN 'imported' WHEN m.action IN ('auto', 'unsorted') THEN 'pending' ELSE m.action END AS status, CASE WHEN l.status IS NOT NULL THEN l.detail ELSE m.detail END AS detail FROM f LEFT JOIN l USING (source) LEFT JOIN m USING (source))
+SELECT r.source, CASE WHEN c.source IS NOT NULL AND r.status IS DISTINCT FROM 'imported' THEN 'duplicate' ELSE coalesce(status, 'unmatched') END AS status, CASE WHEN c.source IS NOT NULL AND r.status IS DISTINCT FROM 'imported' THEN c.detail ELSE r.detail END AS detail FROM r LEFT JOIN c USING (source)""")
+def not_imported(spark, sf):
+    """DOM-17, FLT-05: a removal counts before a skip and that before an import, and copies before all but imports."""
+    return placement.whereabouts(*_whereabouts(spark, sf))
+
+
+@query(f"""WITH {_WHERE}, l AS (SELECT source, arg_max(status, id) AS status, arg_max(detail, id) AS detail FROM s WHERE status IS NOT NULL GROUP BY 1), q AS (SELECT source, CASE WHEN imported THEN 'imported' WHEN decision IS NOT NULL THEN 'decided:' || decision WHEN action IN ('auto', 'unsorted') THEN 'pending' ELSE action END AS status, detail FROM m)
+SELECT source, coalesce(l.status, CASE WHEN c.source IS NOT NULL THEN 'duplicate' END, q.status, 'unmatched') AS status, CASE WHEN l.status IS NOT NULL THEN l.detail WHEN c.source IS NOT NULL THEN c.detail ELSE q.detail END AS detail FROM f LEFT JOIN l USING (source) LEFT JOIN c USING (source) LEFT JOIN q USING (source)""")
 def batch_manifest(spark, sf):
-    """DOM-18."""
-    action = F.col("action")
-    return placement.manifest(_log(spark, sf), F.when(action == "error", "removed").when(action == "purchase", "imported").otherwise("pending"))
+    """DOM-18: the same for one batch, in the order of the log."""
+    return placement.manifest(*_whereabouts(spark, sf))
+
+
+@query("""WITH l AS (SELECT event_id AS id, user_id AS source, CAST(floor(value) AS BIGINT) % 50 AS dest, event_type AS action FROM events), p AS (SELECT source, arg_max(dest, id) AS dest, max(id) AS id FROM l WHERE action <> 'error' GROUP BY 1), g AS (SELECT dest, max(id) AS gone FROM l WHERE action = 'error' GROUP BY 1),
+w AS (SELECT source, dest AS path FROM p LEFT JOIN g USING (dest) WHERE gone IS NULL OR gone < id), r AS (SELECT user_id AS source, max(event_type) AS release FROM events WHERE value > 99 GROUP BY 1)
+SELECT source AS origin, path, c_name AS key, coalesce(release, c_mktsegment) AS album FROM w JOIN customer ON c_custkey = source LEFT JOIN r USING (source)""")
+def library_rows(spark, sf):
+    """DOM-15: library files as their originals are, under the release that they were imported as."""
+    placed = placement.placements(_log(spark, sf), F.col("action") == "error").select("source", "dest")
+    files_ = table(spark, sf, "customer").select(F.col("c_custkey").alias("source"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("album"))
+    releases = table(spark, sf, "events").where("value > 99").select(F.col("event_type").alias("release"), F.array("user_id").alias("sources"))
+    return placement.library_rows(placed, files_, releases)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 10 = 3 OR (o_orderkey % 10 = 7 AND o_orderkey % 4 > 0)")
@@ -493,20 +560,23 @@ _ALBUMS = """a AS (SELECT o_orderkey AS id, (o_orderkey % 20) / 100.0::DOUBLE AS
 def _albums(spark, sf):
     o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     of = l.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("files"), F.count_if(F.col("l_returnflag") != "R").alias("confirmed"), F.count_if(F.col("l_linenumber") == 7).alias("mismatch"))
-    penalties = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("media"), F.lit("structure"))).otherwise(F.array(F.lit("media"), F.lit("year")))
+    penalties = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("media"), F.lit("structure"), F.lit("order"))).otherwise(F.array(F.lit("media"), F.lit("year")))
     return o.join(of, "o_orderkey").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 20) / 100).alias("d"), ((F.col("o_custkey") % 10) / 20).alias("gap"), "files", "confirmed", "mismatch", (F.col("o_custkey") % 3).alias("missing"), (F.col("o_custkey") % 5).alias("extra"), penalties.alias("penalties"), (F.col("o_orderstatus") == "P").alias("rival"), (F.col("o_totalprice") > 400000).alias("bad"))
 
 
-@query(f"""WITH {_ALBUMS}, c AS (SELECT *, list_filter([CASE WHEN d >= 0.1 THEN printf('distance %.3f', d) END, CASE WHEN gap < 0.15 THEN printf('gap %.2f', gap) END, CASE WHEN confirmed / files < 0.9 THEN printf('%d/%d confirmed', confirmed, files) END, CASE WHEN mismatch > 1 THEN printf('%d mismatch', mismatch) END, CASE WHEN missing > 1 THEN printf('%d missing tracks', missing) END, CASE WHEN extra > 2 THEN printf('%d extra files', extra) END,
-  CASE WHEN structural THEN 'structural penalties' END, CASE WHEN rival AND (missing > 0 OR extra > 0) THEN 'runner-up fits the files exactly' END, CASE WHEN bad THEN 'video or scan-error file' END], lambda x: x IS NOT NULL) AS why FROM a),
-r AS (SELECT id, array_to_string(why, '; ') AS why, CASE WHEN d < 0.2 AND missing = 0 AND extra = 0 AND gap >= 0.3 AND mismatch = 0 AND NOT structural AND NOT bad THEN CASE WHEN d < 0.1 THEN 'D22' ELSE 'D26' END END AS exact FROM c)
-SELECT id, why, CASE WHEN id % 11 = 0 THEN NULL WHEN why = '' THEN 'D21' ELSE exact END AS rule FROM r""")
+@query(f"""WITH {_ALBUMS}, c AS (SELECT *, list_filter([CASE WHEN d >= 0.1 THEN printf('distance=%.3f', d) END, CASE WHEN gap < 0.15 THEN printf('gap=%.2f', gap) END, CASE WHEN confirmed / files < 0.9 THEN printf('confirmed=%d/%d', confirmed, files) END, CASE WHEN mismatch > 1 THEN printf('mismatch=%d', mismatch) END, CASE WHEN missing > 1 THEN printf('missing=%d', missing) END, CASE WHEN extra > 2 THEN printf('extra=%d', extra) END,
+  CASE WHEN structural THEN 'penalties=order,structure' END, CASE WHEN rival AND d + gap < 0.35 AND (missing > 0 OR extra > 0) THEN 'rival' END, CASE WHEN bad THEN 'bad_file' END], lambda x: x IS NOT NULL) AS why FROM a),
+r AS (SELECT c.*, array_to_string(why, '; ') AS text, CASE WHEN d < 0.2 AND missing = 0 AND extra = 0 AND gap >= 0.3 AND mismatch = 0 AND NOT structural AND NOT bad THEN CASE WHEN d < 0.1 THEN 'D22' ELSE 'D26' END END AS exact FROM c),
+q AS (SELECT *, CASE WHEN id % 11 = 0 THEN NULL WHEN text = '' THEN 'D21' ELSE exact END AS rule FROM r)
+SELECT id, text AS why, rule, rule || printf(' distance=%.3f gap=%.2f confirmed=%d/%d missing=%d extra=%d', d, gap, confirmed, files, missing, extra) AS approval FROM q""")
 def rule_checks(spark, sf):
     """DOM-23, DOM-24, DOM-26, DOM-27, SET-04."""
     c = F.col
-    why = review.close_rule(c("d"), c("gap"), c("confirmed"), c("files"), c("mismatch"), c("missing"), c("extra"), c("penalties"), c("rival"), c("bad"))
+    rival = review.rival_fits(c("d") + c("gap"), F.when(c("rival"), 0).otherwise(1), F.lit(0))
+    why = review.close_rule(c("d"), c("gap"), c("confirmed"), c("files"), c("mismatch"), c("missing"), c("extra"), c("penalties"), rival, c("bad"))
     exact = review.exact_rule(c("d"), c("gap"), c("mismatch"), c("missing"), c("extra"), c("penalties"), c("bad"))
-    return _albums(spark, sf).select("id", why.alias("why"), review.decision(F.lit(None).cast("string"), c("id") % 11 == 0, why, exact).alias("rule"))
+    rule = review.decision(F.lit(None).cast("string"), c("id") % 11 == 0, why, exact)
+    return _albums(spark, sf).select("id", why.alias("why"), rule.alias("rule"), review.approval(rule, c("d"), c("gap"), c("confirmed"), c("files"), c("missing"), c("extra")).alias("approval"))
 
 
 @query(f"""WITH {_ALBUMS} SELECT CASE WHEN d < 0.1 THEN 'close' ELSE 'weak' END AS kind, CASE WHEN d < 0.1 AND gap >= 0.15 AND NOT structural AND extra = 0 AND missing = 0 THEN 'approve' ELSE 'look' END AS suggestion, count(*) AS n FROM a GROUP BY 1, 2""")
@@ -595,16 +665,6 @@ def wanted_reconcile(spark, sf):
     return audit.reconciled(c.where("c_acctbal < 3000").select(key.alias("key")), current, "key")
 
 
-@query("""WITH a AS (SELECT l_suppkey AS f, avg(CASE WHEN l_linenumber = 1 THEN 1.0 ELSE 0.0 END) AS share, avg(l_extendedprice / 450) AS kbps FROM lineitem GROUP BY 1)
-SELECT 'low_bitrate:' || f AS key, 'low_bitrate' AS kind FROM a WHERE share <= 0.5 AND kbps > 0 AND kbps < 120 UNION ALL SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'damaged_file:' || l_partkey ELSE 'damaged:' || l_suppkey END, CASE WHEN l_suppkey % 2 = 0 THEN 'damaged_file' ELSE 'damaged' END FROM lineitem WHERE l_quantity = 1""")
-def wanted_keys(spark, sf):
-    """DOM-55, AGG-18."""
-    l = table(spark, sf, "lineitem")
-    albums = l.groupBy(F.col("l_suppkey").cast("string").alias("folder")).agg(F.avg(F.when(F.col("l_linenumber") == 1, 1.0).otherwise(0.0)).alias("lossless_share"), F.avg(F.col("l_extendedprice") / 450).alias("kbps"))
-    hurt = l.where("l_quantity = 1").select(F.col("l_suppkey").cast("string").alias("folder"), F.col("l_partkey").cast("string").alias("path"), (F.col("l_suppkey") % 2 == 0).alias("unsorted")).distinct()
-    return audit.wanted(albums, hurt).distinct()
-
-
 # --- plans ---------------------------------------------------------------------------------------------
 
 
@@ -617,13 +677,6 @@ def import_plan(spark, sf):
     return collection.import_plan(collection.selected(matches, o.where("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("id"))), own)
 
 
-@query("""WITH r AS (SELECT l_orderkey AS batch, CASE WHEN l_quantity > 48 THEN 'not imported' WHEN l_tax > 0.07 THEN 'changed since' END AS reason FROM lineitem) SELECT batch, count(*) AS files, count(reason) AS held, min(reason) AS reason FROM r GROUP BY 1""")
-def prune_plan(spark, sf):
-    """DOM-61."""
-    l = table(spark, sf, "lineitem").withColumn("batch", F.col("l_orderkey"))
-    return collection.eligible(l, [(F.col("l_quantity") > 48, "not imported"), (F.col("l_tax") > 0.07, "changed since")])
-
-
 @query("""WITH c AS (SELECT l_suppkey AS album, l_orderkey * 10 + l_linenumber AS id, l_returnflag = 'A' AS picked, l_linestatus = 'F' AS exact FROM lineitem) SELECT album, CASE WHEN bool_or(picked) THEN min(id) FILTER (picked) ELSE min(id) END AS id FROM c WHERE picked OR exact GROUP BY 1""")
 def art_plan(spark, sf):
     """DOM-62."""
@@ -649,12 +702,6 @@ def quiet_sessions(spark, sf):
     return streams.quiet_sessions(table(spark, sf, "events"), "user_id", "ts", 600).drop("session")
 
 
-@query("""SELECT event_id, user_id, event_type, CASE WHEN m IS NULL THEN 'new' ELSE 'grew' END AS news FROM (SELECT *, max(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE m IS NULL OR value > m""")
-def told_once(spark, sf):
-    """STM-04, STM-05."""
-    return streams.told_once(table(spark, sf, "events"), ["user_id", "event_type"], "event_id", F.col("value")).select("event_id", "user_id", "event_type", "news")
-
-
 @query("SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) <= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR")
 def settled(spark, sf):
     """STM-02, AGG-16, DT-03."""
@@ -669,24 +716,6 @@ def next_states(spark, sf):
     return table(spark, sf, "orders").groupBy(streams.next_state(state, F.col("o_orderkey") % 4 != 0).alias("state")).agg(F.count("*").alias("n"))
 
 
-@query()
-def stream_sessions(spark, sf):
-    """STM-02 on a stream, all that is there; sessions that the watermark hasn't passed are still open."""
-    at = dedupe.shared_folder(spark, "sessions")
-    sessions = streams.stream_sessions(streams.read_stream(spark, sf, "events.parquet"), "user_id", "ts", 600)
-    sessions.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
-    return spark.read.schema(sessions.schema).parquet(f"{at}/out")
-
-
-@query()
-def told_stream(spark, sf):
-    """STM-04 to STM-06 on a stream, with state for each key."""
-    at = dedupe.shared_folder(spark, "told")
-    news = streams.told_stream(streams.read_stream(spark, sf, "events.parquet").select("user_id", "event_type"), "user_id", "event_type")
-    news.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
-    return spark.read.schema(news.schema).parquet(f"{at}/out")
-
-
 # --- albums --------------------------------------------------------------------------------------------
 
 
@@ -694,16 +723,6 @@ def _lines(spark, sf):
     return table(spark, sf, "lineitem").withColumns({"album": F.col("l_orderkey"), "item": F.col("l_partkey")})
 
 
-@query("""WITH m AS (SELECT l_orderkey AS album, l_returnflag AS artist, count(*) AS n, min(l_partkey) AS f FROM lineitem GROUP BY 1, 2), a AS (SELECT album, artist FROM (SELECT *, row_number() OVER (PARTITION BY album ORDER BY n DESC, f, artist) AS k FROM m) WHERE k = 1)
-SELECT l_orderkey AS album, count(*) AS files, sum(l_quantity) AS minutes, count(*) FILTER (l_linestatus = 'O') AS confirmed, count(*) FILTER (l_linestatus = 'F') AS mismatch, any_value(a.artist) AS artist FROM lineitem JOIN a ON album = l_orderkey WHERE l_partkey IS NOT NULL GROUP BY 1 HAVING count(DISTINCT l_partkey) = count(*)""")
-def local_evidence(spark, sf):
-    """DOM-20."""
-    l = _lines(spark, sf)
-    clear = l.groupBy("album").agg(F.count("*").alias("n"), F.count_distinct("item").alias("d")).where("n = d").select("album")
-    files_ = l.join(clear, "album", "left_semi").select("album", F.col("item").alias("id"), F.col("l_returnflag").alias("artist"), F.col("l_quantity").alias("minutes"), F.when(F.col("l_linestatus") == "O", "confirmed").otherwise("mismatch").alias("verdict"))
-    return albums.evidence(files_)
-
-
 @query("""WITH i AS (SELECT DISTINCT l_orderkey AS album, l_suppkey AS item FROM lineitem), p AS (SELECT o_orderkey AS ours, o_orderkey + 1 AS theirs FROM orders WHERE o_orderkey % 2 = 0), z AS (SELECT album, count(*) AS n FROM i GROUP BY 1), c AS (SELECT ours, theirs, count(*) AS n FROM p JOIN i x ON x.album = ours JOIN i y ON y.album = theirs AND x.item = y.item GROUP BY 1, 2)
 SELECT ours, theirs, CASE WHEN u.n IS NULL OR w.n IS NULL THEN true ELSE coalesce(c.n, 0) >= 0.5 * u.n END AS shares FROM p LEFT JOIN z u ON u.album = ours LEFT JOIN z w ON w.album = theirs LEFT JOIN c USING (ours, theirs)""")
 def shared_audio(spark, sf):
@@ -727,38 +746,6 @@ def incomplete_albums(spark, sf):
     return albums.incomplete(of, _lines(spark, sf).select("album", F.col("l_returnflag").alias("disc")))
 
 
-@query("""SELECT album, id FROM (SELECT l_orderkey AS album, l_partkey AS id, l_quantity AS s, l_linestatus, sum(l_quantity) OVER w - l_quantity AS others, count(*) OVER w - 1 AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) WHERE n >= 2 AND others > 0 AND s >= 0.8 * others AND l_linestatus <> 'O'""")
-def whole_album_files(spark, sf):
-    """FLT-13, WIN-05."""
-    l = _lines(spark, sf).select("album", F.col("item").alias("id"), F.col("l_quantity").alias("seconds"), F.when(F.col("l_linestatus") == "O", "confirmed").alias("verdict"))
-    return albums.whole_album_files(l, least_others=2)
-
-
-@query("""WITH l AS (SELECT p_partkey AS album, lower(p_brand) AS a, lower(p_name) AS t FROM part), w AS (SELECT s_suppkey AS key, 'brand#' || (s_suppkey % 25 + 1) AS a, CASE s_suppkey % 2 WHEN 0 THEN 'small ring' ELSE 'red widget' END AS t FROM supplier)
-SELECT key, min(album) AS album FROM w JOIN l USING (a, t) WHERE album % 5 > 0 OR album % 25 <> key % 25 GROUP BY 1""")
-def wanted_arrivals(spark, sf):
-    """DOM-57, STR-03: names are matched without case, accents and marks."""
-    lib = table(spark, sf, "part").select(F.col("p_partkey").alias("album"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"))
-    key = F.col("s_suppkey")
-    want = table(spark, sf, "supplier").select(key.alias("key"), F.concat(F.lit("BRAND "), (key % 25 + 1).cast("string")).alias("artist"), F.when(key % 2 == 0, "The Small-Ring").otherwise("Réd widget").alias("title"))
-    had = lib.where("album % 5 = 0").select("album").join(want.select("key"), F.col("album") % 25 == F.col("key") % 25)
-    return albums.arrivals(want, lib, had.select("key", "album"))
-
-
-@query("""SELECT o_custkey AS batch, count(*) FILTER (o_orderkey % 3 > 0 AND o_orderstatus <> 'F') AS waiting, count(*) FILTER (o_orderkey % 3 > 0 AND o_orderstatus <> 'F') = 0 AS settled FROM orders GROUP BY 1""")
-def settled_batches(spark, sf):
-    """DOM-59."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("batch"), F.when(F.col("o_orderstatus") == "F", "skip").alias("decision"))
-    return albums.settled_batches(o, o.where("id % 3 = 0"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""")
-def upgrade_removals(spark, sf):
-    """DOM-60."""
-    placed = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_suppkey").alias("folder"))
-    return albums.upgrade_removals(table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("replaced")), placed).drop("folder")
-
-
 @query("SELECT count(DISTINCT regexp_extract(url, '^(.*/)', 1)) AS folders, count(*) AS files FROM pages")
 def unsorted_counts(spark, sf):
     """DOM-70."""
@@ -778,3 +765,13 @@ def inbox_listing(spark, sf):
     """DOM-75."""
     d = table(spark, sf, "documents").select(F.col("source").alias("folder")).distinct()
     return albums.inbox(d, d.where(F.col("folder").isin("src1", "src2")).withColumn("status", F.lit("imported")))
+
+
+@query("""WITH l AS (SELECT p_partkey AS album, 'brand ' || p_brand || ' ' || (p_partkey % 300) AS a FROM part), w AS (SELECT c_custkey AS key, 'brand Brand#' || (c_custkey % 25 + 1) || ' ' || (c_custkey % 300) AS a FROM customer), h AS (SELECT p_partkey AS album, p_partkey - 1 AS key FROM part)
+SELECT key, min(album) AS album FROM w JOIN l ON lower(replace(w.a, '#', ' ')) = lower(replace(l.a, '#', ' ')) WHERE (key, album) NOT IN (SELECT (key, album) FROM h) GROUP BY 1""")
+def wanted_arrivals(spark, sf):
+    """DOM-57, STR-03: names are matched without case, accents and marks; what a user had when adding an entry isn't an arrival."""
+    p, c = F.col("p_partkey"), F.col("c_custkey")
+    lib = table(spark, sf, "part").select(p.alias("album"), F.concat(F.lit("The Bränd "), F.col("p_brand"), F.lit(" "), (p % 300).cast("string")).alias("artist"), F.lit("Red Widget").alias("title"))
+    want = table(spark, sf, "customer").select(c.alias("key"), F.concat(F.lit("BRAND Brand "), (c % 25 + 1).cast("string"), F.lit(" "), (c % 300).cast("string")).alias("artist"), F.lit("réd-widget").alias("title"))
+    return albums.arrivals(want, lib, table(spark, sf, "part").select((p - 1).alias("key"), p.alias("album")))

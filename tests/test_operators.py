@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import expr
-from siftline.operators import audit, dedupe, identity, matching, overlap, placement, review, similarity
+from siftline.operators import albums, audit, dedupe, identity, matching, overlap, placement, relabel, review, similarity
 from siftline.plans import collection
 from siftline.sources import files
 from siftline.streaming import streams
@@ -142,8 +142,11 @@ def test_null_hashes_are_no_copies(spark):
 
 @pytest.mark.parametrize(("gap", "copy"), [(1.999, True), (2.0, False)])
 def test_second_copy_gap(spark, gap, copy):
-    rows = spark.createDataFrame([("f", 1, 100.0), ("f", 2, 100.0 + gap)], "g string, id long, seconds double")
-    assert bool(dedupe.second_copies(rows, ["g"], [F.col("id").asc()], "seconds", 2.0).count()) is copy
+    rows = spark.createDataFrame([("f", 1, 100.0, 1), ("f", 2, 100.0 + gap, None)], "g string, id long, seconds double, number int")
+    found = lambda frame, gone=None: [(r.id, r.action) for r in dedupe.second_copies(frame, ["g"], [F.col("id").asc()], "seconds", 2.0, gone).collect()]
+    assert found(rows) == ([(2, "auto")] if copy else [])
+    assert found(rows.na.fill({"number": 2})) == ([(2, "review")] if copy else [])
+    assert found(rows, spark.createDataFrame([(1,)], "id long")) == []  # what was dropped before is no keeper
 
 
 def pack(values):
@@ -213,13 +216,18 @@ def test_kinds(spark, d, kind):
 GOOD = {"distance": 0.05, "gap": 0.2, "confirmed": 9, "files": 10, "mismatch": 1, "missing": 1, "extra": 2, "rival": False, "bad": False, "penalties": ["media", "missing_tracks"]}
 
 
-@pytest.mark.parametrize(("change", "why"), [({}, ""), ({"distance": 0.1}, "distance 0.100"), ({"gap": 0.14}, "gap 0.14"), ({"confirmed": 8}, "8/10 confirmed"), ({"mismatch": 2}, "2 mismatch"), ({"missing": 2}, "2 missing tracks"), ({"extra": 3}, "3 extra files"), ({"penalties": ["odd"]}, "structural penalties"), ({"rival": True}, "runner-up fits the files exactly"), ({"bad": True}, "video or scan-error file")])
+@pytest.mark.parametrize(("change", "why"), [({}, ""), ({"distance": 0.1}, "distance=0.100"), ({"gap": 0.14}, "gap=0.14"), ({"confirmed": 8}, "confirmed=8/10"), ({"mismatch": 2}, "mismatch=2"), ({"missing": 2}, "missing=2"), ({"extra": 3}, "extra=3"), ({"penalties": ["odd", "even"]}, "penalties=even,odd"), ({"rival": True}, "rival"), ({"bad": True}, "bad_file")])
 def test_close_rule(spark, change, why):
     row = GOOD | change
     c = {k: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for k, v in row.items()}
     assert one(spark, review.close_rule(c["distance"], c["gap"], c["confirmed"], c["files"], c["mismatch"], c["missing"], c["extra"], c["penalties"], c["rival"], c["bad"])) == why
 
 
+@pytest.mark.parametrize(("d", "extra", "missing", "fits"), [(0.34, 0, 0, True), (0.35, 0, 0, False), (0.1, 1, 0, False), (0.1, 0, 1, False), (None, 0, 0, False)])
+def test_rival(spark, d, extra, missing, fits):
+    assert one(spark, review.rival_fits(F.lit(d).cast("double"), F.lit(extra), F.lit(missing))) is fits
+
+
 @pytest.mark.parametrize(("d", "gap", "rule"), [(0.05, 0.3, "D22"), (0.1, 0.3, "D26"), (0.2, 0.3, None), (0.05, 0.29, None)])
 def test_exact_rule(spark, d, gap, rule):
     assert one(spark, review.exact_rule(F.lit(d), F.lit(gap), F.lit(0), F.lit(0), F.lit(0), F.array(F.lit("year")), F.lit(False))) == rule
@@ -228,8 +236,8 @@ def test_exact_rule(spark, d, gap, rule):
 def test_unmatched_rule(spark):
     rule = lambda d, local, titles: one(spark, review.no_candidate_rule(F.lit(d).cast("double"), F.lit(False), F.lit(False), F.lit(local), F.array(*map(F.lit, titles))))
     assert rule(0.6, "greatest hits", ["other"]) == ""
-    assert rule(0.4, "greatest hits", ["other"]) == "a candidate is closer than 0.5"
-    assert rule(None, "greatest hits", ["the greatest hits vol 1"]) == "a candidate matches the album title"
+    assert rule(0.4, "greatest hits", ["other"]) == "near_candidate"
+    assert rule(None, "greatest hits", ["the greatest hits vol 1"]) == "same_title"
 
 
 @pytest.mark.parametrize(("args", "want"), [(("r1", "r2", 0, False, 1, 1, 0), ("review", "edition")), (("r1", "", 1, False, 2, 2, 0), ("review", "upgrade")), (("", "", 1, True, 2, 2, 0), ("review", "wanted")), (("", "", 0, False, 3, 2, 1), ("review", "upgrade")), (("", "", 0, False, 2, 2, 1), ("review", "extra_tracks")), (("r", "r", 0, False, 1, 2, 0), ("skip", "duplicate"))])
@@ -261,22 +269,146 @@ def test_majority_takes_the_first_seen_of_equals(spark):
     assert matching.majority(rows, "g", "v", "at").first()["v"] == "b"
 
 
-TRACKS = [("al", "t1", "one", 100.0), ("al", "t2", "two", 200.0), ("al", "t3", "three", 300.0)]
+TRACKS = [("al", "t1", "song one", 100.0), ("al", "t2", "song two", 200.0), ("al", "t3", "song three", 300.0)]
+FILES = "album string, file string, track string, extra boolean, heard array<string>, titles array<string>, title string, confirmed boolean, seconds double, forced boolean, displaced boolean"
+
+
+def album(spark, *files_):
+    """Files as (name, track, ids heard, seconds), and what else is said of them."""
+    rows = [("al", f[0], f[1], False, f[2], [], "own", False, f[3], False, False) for f in files_]
+    rows = [tuple((f[4] if len(f) > 4 else {}).get(k, v) for k, v in zip(("album", "file", "track", "extra", "heard", "titles", "title", "confirmed", "seconds", "forced", "displaced"), r, strict=True)) for f, r in zip(files_, rows, strict=True)]
+    return spark.createDataFrame(rows, FILES), spark.createDataFrame(TRACKS, "album string, track string, title string, length double")
+
+
+EXTRA, FORCED = {"extra": True}, {"extra": True, "forced": True}
+
+
+@pytest.mark.parametrize(("files_", "changes", "problems"), [
+    ([("f1", "t1", ["t1"], 100.0), ("f2", "t2", ["t2"], 200.0)], set(), set()),
+    ([("f1", "t2", ["t1"], 100.0), ("f2", "t1", ["t2"], 200.0)], {("f1", "t1", "moves", None), ("f2", "t2", "moves", None)}, set()),
+    ([("f1", "t2", ["t1"], 200.0), ("f2", "t1", ["t2"], 100.0)], {("f1", "t1", "moves", None), ("f2", "t2", "moves", None)}, {("f1", "length"), ("f2", "length")}),
+    ([("f1", "t1", ["x"], 250.0)], {("f1", "t1", "demoted", None)}, set()),
+    ([("f1", "t1", ["x"], 110.0)], set(), {("f1", "foreign_fits")}),
+    ([("f1", "t1", ["x"], 110.1)], {("f1", "t1", "demoted", None)}, set()),
+    ([("f1", "t1", [], 101.0)], set(), set()),
+    ([("f1", None, ["t1", "t2"], 197.0)], {("f1", "t2", "moves", None)}, set()),
+    ([("f1", None, ["t1", "t2"], 196.9)], set(), {("f1", "unclear")}),
+    ([("f1", "t1", ["t1"], 100.0), ("f2", "t2", ["t1"], 205.0)], set(), {("f2", "foreign_fits")}),
+    ([("f1", "t1", ["x"], 101.0), ("e1", None, ["t1"], 100.0, EXTRA)], {("e1", "t1", "fills", "f1")}, set()),
+    ([("f1", "t1", ["x"], 101.0), ("e1", None, ["t1"], 111.0, EXTRA)], set(), {("f1", "extra_length")}),
+    ([("f1", "t1", ["x"], 101.0), ("e1", None, ["t1"], 100.0, EXTRA), ("e2", None, ["t1"], 100.0, EXTRA)], {("f1", "t1", "demoted", None)}, {(None, "several_extras")}),
+    ([("f1", "t1", ["t1"], 104.0), ("e1", None, ["t1"], 100.0, EXTRA)], {("e1", "t1", "promoted", "f1")}, set()),
+    ([("f1", "t1", ["t1"], 103.0), ("e1", None, ["t1"], 100.0, EXTRA)], set(), set()),
+    ([("f1", "t1", [], 100.0), ("e1", None, ["t1"], 103.0, EXTRA)], {("e1", "t1", "promoted", "f1")}, set()),
+    ([("f1", "t1", [], 100.0), ("e1", None, ["t1"], 103.1, EXTRA)], set(), set()),
+    ([("f1", "t1", ["t1"], 100.0), ("e1", None, ["t1"], 500.0, FORCED)], {("e1", "t1", "promoted", "f1")}, set()),
+    ([("f1", "t1", [], 100.0), ("e1", None, ["t1"], 100.0, EXTRA | {"displaced": True})], set(), set()),
+    ([("f1", "t1", ["t1"], 100.0, {"forced": True}), ("e1", None, [], 1.0, FORCED)], set(), {("f1", "not_an_extra"), ("e1", "forced_unclear")}),
+    ([("f1", "t2", ["t1"], 100.0), ("e1", None, [], 201.0, EXTRA | {"title": "song two", "confirmed": True})], {("f1", "t1", "moves", None), ("e1", "t2", "fills", None)}, set()),
+])
+def test_relabel(spark, files_, changes, problems):
+    made = relabel.Plan(*album(spark, *files_))
+    assert {(r.file, r.track, r.change, r.replaces) for r in made.changes().collect()} == changes
+    assert {(r.file, r.problem) for r in made.problems.collect()} == problems
 
 
-@pytest.mark.parametrize(("held", "want"), [
-    ([("f1", "t1", ["t1"], 100.0), ("f2", "t2", ["t2"], 200.0)], {"f1": ("t1", "stays"), "f2": ("t2", "stays")}),
-    ([("f1", "t2", ["t1"], 100.0), ("f2", "t1", ["t2"], 200.0)], {"f1": ("t1", "moves"), "f2": ("t2", "moves")}),
-    ([("f1", "t1", ["x"], 250.0)], {"f1": (None, "demoted")}),
-    ([("f1", "t1", ["x"], 101.0)], {"f1": ("t1", "foreign")}),
-    ([("f1", "t1", [], 101.0)], {"f1": ("t1", "stays")}),
-    ([("f1", None, ["t1", "t2"], 199.0)], {"f1": ("t2", "moves")}),
-    ([("f1", None, ["t1", "t2"], 150.0)], {"f1": (None, "unclear")}),
-])
-def test_relabel(spark, held, want):
-    files_ = spark.createDataFrame([("al", f, t, ids, [], s) for f, t, ids, s in held], "album string, file string, track string, heard array<string>, heard_titles array<string>, seconds double")
-    tracks = spark.createDataFrame(TRACKS, "album string, track string, title string, seconds double")
-    assert {r.file: (r.to_track, r.state) for r in collection.relabel(files_, tracks).collect()} == want
+def test_relabel_without_tracks_or_files(spark):
+    files_, tracks = album(spark, ("f1", "t9", ["t1"], 1.0))
+    assert {(r.file, r.state) for r in relabel.assigned(files_, tracks.limit(0)).collect()} == {("f1", "unclear")}
+    assert relabel.Plan(files_.limit(0), tracks).changes().count() == 0
+
+
+@pytest.mark.parametrize(("swapped", "seconds", "want"), [(True, 100.0, "relabelled"), (False, 100.0, "nothing"), (True, 200.0, "noted")])
+def test_what_an_import_does_by_itself(spark, swapped, seconds, want):
+    made = relabel.Plan(*album(spark, ("f1", "t2", ["t1"], seconds), ("f2", "t1", ["t2"], 200.0)))
+    assert made.gates(spark.createDataFrame([("al",)] if swapped else [], "album string")).first().after_import == want
+
+
+def test_news_of_runs(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (1, "b", 1), (2, "a", 2), (2, "c", 1), (3, "a", 4), (3, "b", 1), (4, "a", 6), (5, "a", 6)], "run long, key string, n long")
+    assert {tuple(r) for r in streams.new_keys(rows, "run", "key").collect()} == {(2, "c"), (3, "b")}
+    assert {(r.run, r.key, r.by) for r in streams.grown(rows, "run", "key", "n").collect()} == {(2, "c", 1), (3, "a", 2), (3, "b", 1), (4, "a", 2)}
+    assert {(r.run, r.key) for r in streams.changed(rows, "run", "key", "n").collect()} == {(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a"), (3, "b"), (4, "a")}
+    counts = spark.createDataFrame([("k", i, v) for i, v in enumerate([5, 2, 4, 6])], "k string, at long, n long")
+    assert [r.n for r in streams.told_once(counts, ["k"], "at", F.col("n")).orderBy("at").collect()] == [5, 4, 6]
+
+
+def test_one_fault_ends_one_batch(spark):
+    def step(batch):
+        if batch == 2:
+            raise RuntimeError("no")
+
+    assert streams.run_pass([1, 2, 3], [("scan", step), ("match", lambda b: None)]) == [(1, "scan", None), (1, "match", None), (2, "scan", "RuntimeError: no"), (3, "scan", None), (3, "match", None)]
+
+
+def test_overlaps_need_no_common_key_of_all(spark):
+    rng = random.Random(5)
+    ours = {i: {rng.randrange(30) for _ in range(rng.randint(1, 8))} for i in range(30)}
+    theirs = {i: {rng.randrange(30) for _ in range(rng.randint(1, 8))} for i in range(30)}
+    frame = lambda sets: spark.createDataFrame([(s, k) for s, keys in sets.items() for k in keys], "set long, key long")
+    want = {(a, b, len(x & y)) for a, x in ours.items() for b, y in theirs.items() if len(x & y) >= 0.5 * min(len(x), len(y))}
+    assert {(r.ours, r.theirs, r.shared) for r in overlap.overlaps(frame(ours), frame(theirs)).collect()} == want
+
+
+def test_titles_must_not_be_empty(spark):
+    side = lambda name: spark.createDataFrame([("b", 1, 1, f"{name}k", "", 10.0), ("b", 1, 2, f"{name}l", "x", 10.0), ("b", 1, 3, "same", "", None)], f"block string, {name}_set long, {name}_item long, {name}_key string, {name}_title string, {name}_seconds double")
+    assert {(r.ours_item, r.theirs_item) for r in overlap.same_recordings(side("ours"), side("theirs"), ["block"]).collect()} == {(2, 2), (3, 3)}
+
+
+def test_whereabouts(spark):
+    log = spark.createDataFrame([(1, "a", "remove_from_library", "r"), (2, "a", "import_album", "i"), (3, "b", "skip_extra", "s"), (4, "b", "import_extra", "i"), (5, "c", "retag_by_fingerprint", "t")], "id long, source string, action string, detail string")
+    matches = spark.createDataFrame([("d", False, None, "auto", None), ("e", False, "skip", "review", None), ("a", True, None, "auto", None)], "source string, imported boolean, decision string, action string, detail string")
+    every, copies = spark.createDataFrame([(x,) for x in "abcdefg"], "source string"), spark.createDataFrame([("c", "k"), ("d", "k"), ("b", "k")], "source string, detail string")
+    assert {r.source: r.status for r in placement.whereabouts(every, log, matches, copies).collect()} == {"a": "removed", "b": "duplicate", "c": "imported", "d": "duplicate", "e": "review", "f": "unmatched", "g": "unmatched"}
+    assert {r.source: r.status for r in placement.manifest(every, log, matches, copies).collect()} == {"a": "imported", "b": "imported", "c": "imported", "d": "duplicate", "e": "decided:skip", "f": "unmatched", "g": "unmatched"}
+
+
+@pytest.mark.parametrize(("name", "title", "album_title", "others", "seconds", "verdict", "whole"), [("My Album", "", "My Album", 4, 320.0, None, True), ("My Album", "", "My Album", 3, 320.0, None, False), ("My Album", "", "My Album", 4, 319.0, None, False), ("track", "", "My Album", 4, 320.0, None, False), ("x (Full Album)", "", "", 4, 320.0, None, True), ("My Album", "", "My Album", 4, 320.0, "confirmed", False), ("x", "Full album", "", 4, 320.0, None, True)])
+def test_whole_album_files(spark, name, title, album_title, others, seconds, verdict, whole):
+    rows = [("al", 0, name, title, album_title, seconds, verdict)] + [("al", i + 1, f"{i}", "", album_title, 400.0 / others, None) for i in range(others)]
+    frame = spark.createDataFrame(rows, "album string, id long, name string, title string, album_title string, seconds double, verdict string")
+    assert [r.id for r in albums.whole_album_files(frame).collect()] == ([0] if whole else [])
+
+
+@pytest.mark.parametrize(("args", "want"), [((1, 1.0, 1, 1.0, 1, 1.0, 90.0, 100.0, None), None), ((None, None, 1, 1.0, 1, 1.0, 90.0, 100.0, None), "missing"), ((1, 1.0, 1, 2.0, 1, 1.0, 90.0, 100.0, None), "unseen"), ((1, 1.0, None, None, 1, 1.0, 90.0, 100.0, None), "unseen"), ((1, 1.0, 1, 1.0, None, None, None, None, None), "undecoded"), ((1, 1.0, 1, 1.0, 1, 1.0, 89.0, 100.0, None), "short"), ((1, 1.0, 1, 1.0, 1, 1.0, 89.0, 100.0, 90.0), None)])
+def test_verified_copies(spark, args, want):
+    assert one(spark, collection.unverified(*(F.lit(x).cast("double") for x in args))) == want
+
+
+def test_settings(tmp_path):
+    (tmp_path / "a.toml").write_text('source = "in"\nlibrary = "lib"\nkey = "x"\n')
+    (tmp_path / "a.local.toml").write_text('library = "other"\n')
+    made = files.Settings.load(str(tmp_path / "a.toml"), {"LOOKUP_KEY": "y"})
+    assert made.library == str(tmp_path / "other") and made.key == "y" and made.state == str(tmp_path / "state")
+    for text, why in (('source = "in"\nlibrary = "in/lib"\n', "only read"), ('source = "in"\nlibrary = "l"\ninbox = "l/i"\n', "each other")):
+        (tmp_path / "b.toml").write_text(text)
+        with pytest.raises(ValueError, match=why):
+            files.Settings.load(str(tmp_path / "b.toml"), {})
+
+
+def test_lookups_turn_faults_into_rows(spark):
+    def ask(keys):
+        if "k7" in keys:
+            raise OSError("down")
+        return [k.upper() for k in keys]
+
+    got = {r.id: (r.answer, r.error) for r in files.looked_up(spark.createDataFrame([(f"k{i}",) for i in range(12)], "id string").coalesce(1), ask, "string", batch=5, tries=2, wait=0.0).collect()}
+    assert sum(a is not None for a, _ in got.values()) == 7 and got["k7"] == (None, "OSError: down")
+
+
+def test_new_rows_must_be_one(spark):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "c"), (None, "d"), (None, "e")], "k long, v string")
+    assert sorted(r.v for r in files.upserted(old, new, "k").collect()) == ["a", "c", "d", "e"]
+    with pytest.raises(Exception, match="several new rows"):
+        files.upserted(old, new.unionAll(new), "k").collect()
+
+
+def test_a_batch_by_name(spark):
+    batches = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y"), (4, "1")], "batch long, folder string")
+    assert [r.batch for r in albums.batch_of(batches, "x").collect()] == [1]
+    for name in ("y", "1"):
+        with pytest.raises(Exception, match="several batches"):
+            albums.batch_of(batches, name).collect()
 
 
 def test_plans(spark):
@@ -288,7 +420,7 @@ def test_plans(spark):
     extras = spark.createDataFrame([("al", "e1", "x", 103.0), ("al", "e2", "x", 103.1), ("al", "e3", "x", None)], "album string, extra_id string, extra_title string, extra_seconds double")
     tracks = spark.createDataFrame([("al", "t1", "x", 100.0)], "album string, track_id string, track_title string, track_seconds double")
     assert [r.extra_id for r in collection.copies_of_tracks(extras, tracks).collect()] == ["e1"]
-    swapped = spark.createDataFrame([("al", "f1", "one", "two", "mismatch"), ("al", "f2", "two", "one", "mismatch"), ("al", "f3", "three", "odd", "mismatch")], "album string, file string, title string, heard_title string, verdict string")
+    swapped = spark.createDataFrame([("al", "f1", "one", ["two"], "mismatch"), ("al", "f2", "two", ["one"], "mismatch"), ("al", "f3", "three", ["odd"], "mismatch")], "album string, file string, title string, titles array<string>, verdict string")
     assert collection.swaps(swapped).first().swaps == 2
 
 
@@ -299,9 +431,12 @@ def test_sources_and_sinks(spark, tmp_path):
     found = {r.path.rsplit("/", 1)[1]: (r.kind, r["size"]) for r in files.listing(spark, str(tmp_path / "a")).collect()}
     assert found == {"x.MP3": ("audio", 3), "y.txt": ("other", 4)}
     assert files.hashes(spark, str(tmp_path / "a/b")).first().sha256.startswith("7692c3ad3540bb803c020b3aee66cd8887123234ea0c6e7143c0add73ff431ed"[:12])
-    rows = spark.createDataFrame([({"TPE1": ["A", "B"], "title": ["x" * 2100]},)], "raw map<string,array<string>>")
+    pairs = [("TXXX:Artist", [b"A", b" B ", b"\xff"]), ("title", [b"x" * 2100]), ("APIC:", [b"p"]), ("wm/AlbumTitle", [b""])]
+    rows = spark.createDataFrame([(pairs,)], "raw array<struct<name:string,values:array<binary>>>").select(files.raw_tags(F.col("raw")).alias("raw"))
     got = rows.select(*(c.alias(n) for n, c in files.tags(F.col("raw")).items())).first()
     assert (got.artist, len(got.title), got.album) == ("A; B", 2000, None)
+    assert [one(spark, files.codec(*map(F.lit, x))) for x in (("EasyMP4", "alac.1", "m4a"), ("MP4", "mp4a", "m4a"), ("OggVorbis", "", "ogg"), ("", "", "wav"), ("FLAC", "", "x"))] == ["alac", "aac", "vorbis", "wav", "flac"]
+    assert one(spark, files.kind_of(F.lit("mp4"))) == "audio" and one(spark, files.kind_of(F.lit("mkv"))) == "video"
     with pytest.raises(ValueError, match="nothing written"):
         files.all_or_nothing(spark.range(3), F.col("id") == 2, str(tmp_path / "out"))
     part = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
@@ -314,13 +449,9 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_streams_tell_once(spark, tmp_path):
     folder = tmp_path / "in"
-    for k, rows in enumerate([[("a", 1), ("b", 1)], [("a", 1), ("b", 2)]]):
-        spark.createDataFrame(rows, "k string, v long").coalesce(1).write.parquet(str(folder / f"{k}"))
-    told = []
-    schema = spark.read.parquet(str(folder / "0")).schema
-    for k in range(2):
-        stream = spark.readStream.schema(schema).parquet(str(folder / f"{k}"))
-        news = streams.told_stream(stream, "k", "v")
-        news.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"state{k}")).trigger(availableNow=True).start(str(tmp_path / f"out{k}")).awaitTermination()
-        told.append({(r.k, r.news, r.v) for r in spark.read.schema(news.schema).parquet(str(tmp_path / f"out{k}")).collect()})
-    assert told[0] == {("a", "new", 1), ("b", "new", 1)}
+    for k, rows in enumerate([[(2, "a", 2), (1, "a", 5), (1, "b", 1)], [(3, "a", 4), (4, "a", 6), (2, "b", 1)]]):
+        spark.createDataFrame(rows, "at long, k string, v long").coalesce(1).write.parquet(str(folder / f"{k}"))
+        news = streams.told_stream(spark.readStream.schema("at long, k string, v long").parquet(str(folder / "*")), "k", "at", "v")
+        news.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    told = {(r.at, r.k, r.news) for r in spark.read.schema(news.schema).parquet(str(tmp_path / "out")).collect()}
+    assert told == {(1, "a", "new"), (1, "b", "new"), (3, "a", "grew"), (4, "a", "grew")}
