@@ -80,14 +80,14 @@ def pruned_copies(spark, sf):
     return collection.prune_duplicates(dropped, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("source"))).select("path", "keeper")
 
 
-_REPAIR = """a AS (SELECT user_id % 20 AS album, CASE WHEN user_id % 20 % 3 = 0 THEN 'error' ELSE 'imported' END AS status, user_id AS source FROM (SELECT DISTINCT user_id FROM events)), g AS (SELECT event_id AS id, user_id AS source, CASE event_type WHEN 'purchase' THEN 'import_extra' WHEN 'error' THEN 'skip_extra' ELSE 'note' END AS action, 'e' || event_id AS detail FROM events WHERE event_type IN ('purchase', 'error'))"""
+_REPAIR = """a AS (SELECT user_id % 20 AS album, CASE WHEN user_id % 20 % 3 = 0 THEN 'error' ELSE 'imported' END AS status, user_id AS source FROM (SELECT DISTINCT user_id FROM events)), g AS (SELECT event_id AS id, user_id AS source, CASE event_type WHEN 'purchase' THEN 'import_extra' WHEN 'error' THEN 'skip_extra' ELSE 'note' END AS action, 'e' || event_id AS detail FROM events WHERE event_type IN ('purchase', 'error') AND value > user_id % 100 + 10)"""
 
 
 def _repair(spark, sf):
     e = table(spark, sf, "events")
     own = e.select("user_id").distinct().groupBy((F.col("user_id") % 20).alias("album")).agg(F.collect_list("user_id").alias("files"))  # an album's files
     action = F.when(F.col("event_type") == "purchase", "import_extra").otherwise("skip_extra")
-    log = e.where("event_type in ('purchase', 'error')").select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), action.alias("action"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("detail"))
+    log = e.where("event_type in ('purchase', 'error') and value > user_id % 100 + 10").select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), action.alias("action"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("detail"))
     return own.withColumn("status", F.when(F.col("album") % 3 == 0, "error").otherwise("imported")), log
 
 

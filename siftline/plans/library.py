@@ -30,15 +30,15 @@ def local_evidence(spark, sf):
     return albums.evidence(l.select(F.col("l_orderkey").alias("album"), part.alias("id"), name.alias("name"), F.when(part % 4 > 0, "").otherwise(F.col("l_linestatus")).alias("albumartist"), F.col("l_returnflag").alias("artist"), F.when(part % 3 > 0, _text("T", part % 5)).alias("title"), F.year("l_shipdate").cast("string").alias("date"), F.col("l_linestatus").alias("codec"), (F.col("l_quantity") / 4).alias("minutes"), verdict.alias("verdict")))
 
 
-@query("""WITH f AS (SELECT l_orderkey % 400 AS album, l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % 3 WHEN 0 THEN 'My Album ' || l_linenumber WHEN 1 THEN '01 (full album)' ELSE 'track' END AS name, CASE WHEN l_partkey % 5 = 0 THEN 'Full Album' ELSE 'Song' END AS title, CASE WHEN l_orderkey % 2 = 0 THEN 'My album' ELSE '' END AS t, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 > 0 THEN l_quantity * 30 ELSE l_quantity END AS s, l_linestatus, l_suppkey FROM lineitem WHERE l_linenumber <= 2),
+@query("""WITH f AS (SELECT l_orderkey AS album, l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % 3 WHEN 0 THEN 'My Album ' || l_linenumber WHEN 1 THEN '01 (full album)' ELSE 'track' END AS name, CASE WHEN l_partkey % 5 = 0 THEN 'Full Album' ELSE 'Song' END AS title, CASE WHEN l_orderkey % 2 = 0 THEN 'My album' ELSE '' END AS t, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 > 0 THEN l_quantity * 30 ELSE l_quantity END AS s, l_linestatus, l_suppkey FROM lineitem),
 w AS (SELECT *, sum(s) OVER (PARTITION BY album) - s AS others, count(*) OVER (PARTITION BY album) - 1 AS n FROM f)
 SELECT album, id FROM w WHERE n >= 4 AND s >= 0.8 * others AND l_suppkey % 4 > 0 AND (title = 'Full Album' OR (t <> '' AND starts_with(name, 'My Album')) OR contains(name, 'full album'))""")
 def whole_album_files(spark, sf):
     """FLT-13, WIN-05: by length, number of others, name and verdict."""
-    l, part, n = table(spark, sf, "lineitem").where("l_linenumber <= 2"), F.col("l_partkey"), F.col("l_linenumber")
+    l, part, n = table(spark, sf, "lineitem"), F.col("l_partkey"), F.col("l_linenumber")
     order = F.col("l_orderkey")
     name = F.when(part % 3 == 0, _text("My Album ", n)).when(part % 3 == 1, "01 (full album)").otherwise("track")
-    rows = l.select((order % 400).alias("album"), (order * 10 + n).alias("id"), name.alias("name"), F.when(part % 5 == 0, "Full Album").otherwise("Song").alias("title"), F.when(order % 2 == 0, "My album").otherwise("").alias("album_title"), F.when((n == 1) & (order % 3 > 0), F.col("l_quantity") * 30).otherwise(F.col("l_quantity")).alias("seconds"), F.when(F.col("l_suppkey") % 4 == 0, "confirmed").alias("verdict"))
+    rows = l.select(order.alias("album"), (order * 10 + n).alias("id"), name.alias("name"), F.when(part % 5 == 0, "Full Album").otherwise("Song").alias("title"), F.when(order % 2 == 0, "My album").otherwise("").alias("album_title"), F.when((n == 1) & (order % 3 > 0), F.col("l_quantity") * 30).otherwise(F.col("l_quantity")).alias("seconds"), F.when(F.col("l_suppkey") % 4 == 0, "confirmed").alias("verdict"))
     return albums.whole_album_files(rows)
 
 
@@ -165,7 +165,7 @@ def wanted_by_hand(spark, sf):
 
 
 @query("""WITH e AS (SELECT o_orderkey AS id, ['low_bitrate', 'manual', 'damaged', 'damaged_file'][1 + o_custkey % 4] AS kind, 'A' || (o_custkey % 9) AS name, o_orderkey AS k FROM orders WHERE o_orderstatus = 'P')
-SELECT id, kind, name, row_number() OVER (ORDER BY list_position(['manual', 'damaged', 'damaged_file', 'low_bitrate'], kind), name, k) AS place FROM e""")
+SELECT id, kind, name, CAST(row_number() OVER (ORDER BY list_position(['manual', 'damaged', 'damaged_file', 'low_bitrate'], kind), name, k) AS INTEGER) AS place FROM e""")
 def wanted_list(spark, sf):
     """DOM-58, SRT-06: open entries by kind, name and title; the list is what a page shows, so it is one sorted run."""
     o, kinds = table(spark, sf, "orders").where("o_orderstatus = 'P'"), ["low_bitrate", "manual", "damaged", "damaged_file"]

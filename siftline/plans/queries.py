@@ -386,7 +386,7 @@ def batch_overlaps(spark, sf):
     return _overlaps(spark, sf)
 
 
-@query(f"""WITH {_OVERLAPS}, t AS (SELECT p_partkey AS key, p_size * 1.0 AS seconds, p_size % 4 * 65535 AS print FROM part), g AS (SELECT ours, theirs FROM o WHERE NOT certain),
+@query(f"""WITH {_OVERLAPS}, t AS (SELECT p_partkey AS key, p_size * 10.0 AS seconds, p_size % 4 * 65535 AS print FROM part), g AS (SELECT ours, theirs FROM o WHERE NOT certain),
 x AS (SELECT ours, theirs, b.key FROM g JOIN b ON b.s = ours WHERE b.key NOT IN (SELECT l.key FROM l WHERE l.s = theirs)), y AS (SELECT ours, theirs, l.key FROM g JOIN l ON l.s = theirs WHERE l.key NOT IN (SELECT b.key FROM b WHERE b.s = ours)),
 m AS (SELECT x.ours, x.theirs, count(DISTINCT x.key) AS n FROM x JOIN y ON x.ours = y.ours AND x.theirs = y.theirs JOIN t u ON u.key = x.key JOIN t v ON v.key = y.key WHERE abs(u.seconds - v.seconds) <= 10 AND 1 - bit_count(xor(u.print, v.print)) / 32 >= 0.75 GROUP BY 1, 2),
 r AS (SELECT ours, theirs, shared + coalesce(n, 0) AS shared, size_ours, size_theirs FROM o LEFT JOIN m USING (ours, theirs))
@@ -397,7 +397,7 @@ def refined_overlaps(spark, sf):
 
 
 def _refined(spark, sf) -> DataFrame:
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("seconds"), F.array_repeat((F.col("p_size") % 4 * 65535).cast("long"), 60).alias("print"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") * 10.0).alias("seconds"), F.array_repeat((F.col("p_size") % 4 * 65535).cast("long"), 60).alias("print"))
     side = lambda status, name: _tracks(spark, sf, status).join(part, "key").select(*(F.col(c).alias(f"{name}_{c}") for c in ("set", "key", "seconds", "print")))
     return overlap.refined(_overlaps(spark, sf), side("P", "ours"), side("F", "theirs"), similarity.similarity(F.col("ours_print"), F.col("theirs_print")))
 
