@@ -30,7 +30,7 @@ from siftline.llm import shared
 
 MIN_BYTES = 0
 ARCHIVE_BYTES = 64 << 20  # of records, after which a task begins another archive
-HOT_ROWS = 10_000
+HOT_ROWS = 256
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
@@ -212,7 +212,8 @@ def write(records: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES
         if zipped is not None:
             yield done()
 
-    records.select("page_id", "url", "html", "refers_to").mapInArrow(put, "archive string, bytes long, records long").write.parquet(f"{folder}/list")
+    listed = records.select("page_id", "url", "html", "refers_to").mapInArrow(put, "archive string, bytes long, records long")
+    listed.repartition(records.sparkSession.sparkContext.defaultParallelism).write.parquet(f"{folder}/list")  # a row for each archive: few files
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
