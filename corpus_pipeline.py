@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from siftline.llm import bpe, decontaminate, langid, neardup, shared, suffixes
 
-LEAST_SHARE = 1 / 3  # of a document's letters that its language must have
+#: Of a document's letters that its language must have. Documents of two languages are wanted, mixtures of three or more in equal parts are not.
+#: Of the 3,358 documents of sf0.1 that training holds out, the least has 0.52, so neither a third nor a half rejects any.
+LEAST_SHARE = 1 / 3
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
