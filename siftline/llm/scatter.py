@@ -77,8 +77,10 @@ def place_of(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 def spans(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     """Range, first and last + 1 of the sorted keys in each range that has any."""
+    if not len(keys):
+        return []
     place = place_of(keys, ranges)
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(keys) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     return list(zip(place[first].tolist(), first.tolist(), np.append(first[1:], len(keys)).tolist(), strict=True))
 
 
