@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -48,6 +49,23 @@ def classes() -> np.ndarray:
     return out
 
 
+#: A token always ends between a letter and a single space before another letter.
+_GAP = re.compile(rb"[A-Za-z](?= [A-Za-z])")
+
+
+def portions(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """First byte, last + 1, first row and last + 1 of portions of about PIECE bytes; a longer row is cut where a token surely ends."""
+    for i, j in flat.pieces(offsets, PIECE):
+        a, end = int(offsets[i]), int(offsets[j])
+        while end - a > PIECE:
+            gap = _GAP.search(data, a + PIECE - 1, end)
+            if not gap:
+                break
+            yield a, gap.end(), i, j
+            a = gap.end()
+        yield a, end, i, j
+
+
 def split(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of the pre-tokens of code points; offsets are those of the rows."""
     n = len(cps)
@@ -282,30 +300,40 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
         found = memo(shared, _digest)
         for batch in batches:
             data, offsets = flat.flat(batch.column(1))
-            counts, ids, texts = [], [], []
-            for i, j in flat.pieces(offsets, PIECE):
-                words, whole, inverse, rows = found.encoder.distinct(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            counts, ids, texts = np.zeros(len(offsets) - 1, np.int64), [], []
+            for a, b, i, j in portions(data, offsets):
+                words, whole, inverse, rows = found.encoder.distinct(data[a:b], np.clip(offsets[i : j + 1], a, b) - a)
                 made = found.of(words, whole)
                 sizes = np.array([m[0] for m in made], np.int64)
                 strings, decoded = [m[1] for m in made], [m[2] for m in made]
                 ends = np.concatenate([[0], np.cumsum(sizes[inverse])]) if len(made) else np.zeros(1, np.int64)
-                counts.append(np.diff(ends[rows]))
-                for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-                    own = inverse[a:b].tolist()
-                    ids.append(hashlib.sha256(b",".join([strings[k] for k in own])).hexdigest())
-                    texts.append(hashlib.sha256(b"".join([decoded[k] for k in own])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                for r, x, y in zip(range(i, j), rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+                    own = inverse[x:y].tolist()
+                    if r == len(ids):
+                        ids.append(hashlib.sha256())
+                        texts.append(hashlib.sha256())
+                    elif own and counts[r]:
+                        ids[r].update(b",")  # a row that was cut goes on
+                    ids[r].update(b",".join([strings[k] for k in own]))
+                    texts[r].update(b"".join([decoded[k] for k in own]))
+                counts[i:j] += np.diff(ends[rows])
+            digest = lambda x: pa.array([h.hexdigest() for h in x], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), digest(ids), digest(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def packed_rows(found: Memo, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
     """The ids of each row, of the width that the memo packs them in."""
-    for i, j in flat.pieces(offsets, PIECE):
-        words, whole, inverse, rows = found.encoder.distinct(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    held = b""
+    for a, b, i, j in portions(data, offsets):
+        words, whole, inverse, rows = found.encoder.distinct(data[a:b], np.clip(offsets[i : j + 1], a, b) - a)
         made = found.of(words, whole)
-        for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-            yield b"".join([made[k] for k in inverse[a:b].tolist()])
+        for r, x, y in zip(range(i, j), rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+            held += b"".join([made[k] for k in inverse[x:y].tolist()])
+            if offsets[r + 1] <= b:
+                yield held
+                held = b""
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

@@ -97,9 +97,10 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
         i = j
 
 
-def portions(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int, int, int]]:
+def portions(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int, int, int]]:
     """First byte, last + 1, first row and last + 1 of portions of about limit bytes. A longer row is cut where a word ends,
     so only a single word that is longer makes a portion longer."""
+    limit = limit or PIECE
     for i, j in pieces(offsets, limit):
         a, end = int(offsets[i]), int(offsets[j])
         while end - a > limit:

@@ -117,8 +117,8 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_traini
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             data, offsets = flat.flat(batch.column(0))
-            for i, j in flat.pieces(offsets):
-                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for a, b, i, j in flat.portions(data, offsets, flat.SOLID_BYTE):
+                words = Words(data[a:b], np.clip(offsets[i : j + 1], a, b) - a)
                 per_row = np.add.reduceat(np.append(words.lengths, 0), words.rows[:-1]) * (np.diff(words.rows) > 0)
                 of = np.repeat(langs[i:j], per_row)
                 for name in set(langs[i:j].tolist()):
@@ -215,11 +215,12 @@ def predict(docs: DataFrame, model, *, keep: tuple[str, ...] = ("doc_id",), text
 
 def _label(data, offsets, i, j, langs, logs, scripts, penalty):
     """Letters by row and language, each word's language, and the words' places in their texts."""
-    scores, lengths, rows, starts, ends = [], [], [np.zeros(1, np.int64)], [], []
-    at = 0
-    for a, b in flat.pieces(offsets[i : j + 1] - offsets[i]):
-        base = offsets[i + a]
-        words = Words(data[base : offsets[i + b]], offsets[i + a : i + b + 1] - base)
+    scores, lengths, starts, ends = [], [], [], []
+    offsets = offsets[i : j + 1]
+    counts, begin, chars = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), 0
+    for a, b, first, last in flat.portions(data, offsets, flat.SOLID_BYTE):
+        own_offsets = np.clip(offsets[first : last + 1], a, b) - a
+        words = Words(data[a:b], own_offsets)
         n = len(words.lengths)
         own = np.full((n, len(langs)), -1e6, np.float32)
         for k in range(len(langs)):
@@ -231,19 +232,21 @@ def _label(data, offsets, i, j, langs, logs, scripts, penalty):
                 own[open_, k] = np.add.reduceat(logs[k][words.slots[np.repeat(open_, words.lengths)]], np.cumsum(sizes) - sizes)
         scores.append(own)
         lengths.append(words.lengths)
-        rows.append(words.rows[1:] + at)
-        chars = np.concatenate([[0], np.cumsum((data[base : offsets[i + b]] & 0xC0) != 0x80)])[offsets[i + a : i + b] - base]
-        shift = np.repeat(chars, np.diff(words.rows))
-        starts.append(words.starts - shift)
-        ends.append(words.ends - shift)
-        at += n
-    rows = np.concatenate(rows)
+        counts[first:last] += np.diff(words.rows)
+        before = np.concatenate([[0], np.cumsum((data[a:b] & 0xC0) != 0x80)])
+        fresh = offsets[first:last] >= a  # rows that begin here
+        begin[first:last][fresh] = chars + before[own_offsets[:-1][fresh]]
+        starts.append(words.starts + chars)
+        ends.append(words.ends + chars)
+        chars += int(before[-1])
+    rows = np.concatenate([[0], np.cumsum(counts)])
+    shift = np.repeat(begin, counts)
     lengths, scores = np.concatenate(lengths), np.concatenate(scores)
     path = viterbi(scores, rows, penalty) if len(langs) else np.zeros(len(lengths), np.int16)
     row = np.repeat(np.arange(j - i), np.diff(rows))
     wide = max(len(langs), 1)
     tallies = np.bincount(row * wide + path, lengths, minlength=(j - i) * wide).reshape(j - i, wide)[:, : len(langs)]
-    return tallies, path, (np.concatenate(starts), np.concatenate(ends), rows)
+    return tallies, path, (np.concatenate(starts) - shift, np.concatenate(ends) - shift, rows)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
