@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,15 +73,18 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules
         p = F.lit(1.0 if alone == "block" else 0.0)
         return parts.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(alone)).alias("verdict"), p.alias("p_block"))
     share = min(1.0, max_training / sum(kinds.values()))
+    chosen = F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    scored = learned(parts.where(chosen & F.col("said").isNotNull()), parts, F.col("said"), features)
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
+
+
+def learned(labelled: DataFrame, parts: DataFrame, verdict: Column, features: int = FEATURES) -> DataFrame:
+    """parts (host, path, ...) with p_block, from a learner fitted on labelled (host, path, ...), a small table, whose verdict tells block from allow."""
     hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
-    chosen = labelled.where(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    training = hashed.transform(chosen.orderBy("host", "path", "label").coalesce(1).withColumn("grams", grams(F.col("host"), F.col("path"))))
-    model = LogisticRegression(regParam=0.01, maxIter=30, featuresCol="features", labelCol="label").fit(training)
+    rows = labelled.select("host", "path", F.when(verdict == "block", 1.0).otherwise(0.0).alias("label")).orderBy("host", "path", "label").coalesce(1)
+    model = LogisticRegression(regParam=0.01, maxIter=30, featuresCol="features", labelCol="label").fit(hashed.transform(rows.withColumn("grams", grams(F.col("host"), F.col("path")))))
     scored = model.transform(hashed.transform(parts.withColumn("grams", grams(F.col("host"), F.col("path")))))
-    method = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
-    from pyspark.ml.functions import vector_to_array
-
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), vector_to_array("probability")[1].alias("p_block"))
+    return scored.select(*parts.columns, vector_to_array("probability")[1].alias("p_block"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
