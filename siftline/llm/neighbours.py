@@ -7,7 +7,7 @@ search finds each vector's code; the index keeps code, vector and the norm of th
 table of its products with all words, so a row's score is STAGES look-ups and the norm. Its best SHORTLIST rows, over the whole
 index, are ranked again by the exact distance, in double precision.
 
-The index is cut into cells around coarse centroids, about the square root of the number of rows, MAX_CELLS at most, fitted on the
+The index is cut into cells around coarse centroids, one for every CELL_ROWS rows, MAX_CELLS at most, fitted on the
 same sample; a query is scored against the PROBED share of the cells that are nearest to it (the share is large as vectors without clusters,
 such as the test tables', have their neighbours in many cells). Queries are rows of a table like all
 others: cells and queries meet in groups of at most about GROUP rows and QUERIES queries, so no cell is too large for a task, and nothing
@@ -36,6 +36,7 @@ WORDS = 256
 SAMPLE = 8192
 BEAM = 4
 MAX_CELLS = 1024
+CELL_ROWS = 500  # at least, on average
 PROBED = 0.7
 HOME = 8  # cells in which a query first finds how good a row must be
 LEAST_CELLS = 16  # that a query is scored against, if there are so many
@@ -206,7 +207,7 @@ def nearest(rows: DataFrame, queries: Column, *, vec_id: str = "vec_id", embeddi
     if not len(training):
         training = np.array([r["vector"] for r in rows.limit(sample).collect()])
     books = fit(training)
-    cells = _kmeans(training.astype(np.float32), max(1, min(max_cells, int(n**0.5), len(training) // 8)), np.random.default_rng(11))
+    cells = _kmeans(training.astype(np.float32), max(1, min(max_cells, n // CELL_ROWS, len(training) // 8)), np.random.default_rng(11))
     found = index(rows, dimensions, books, cells, folders.folder(spark, "vectors"))
     asked = found.where(queries).select(F.xxhash64("vec_id", "vector").alias("query"), F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query"])
     probes = _probes(asked, dimensions, cells, max(min(LEAST_CELLS, len(cells)), round(probed * len(cells))))
