@@ -51,6 +51,11 @@ def best(ordered: Column) -> Column:
     return F.try_element_at(ordered, F.lit(1))
 
 
+def merged_maps(first: Column, second: Column) -> Column:
+    """MAP-01: both maps' keys; where both have one, the second's value."""
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+
+
 def number_files(n: Column, one: str, many: str) -> Column:
     """STR-07: "1 album", "2 albums"."""
     return F.when(n == 1, F.format_string(f"%d {one}", n)).otherwise(F.format_string(f"%d {many}", n))

@@ -8,6 +8,7 @@ from siftline.functions import expr
 from siftline.operators import dedupe, identity, report
 from siftline.plans.registry import query, table
 from siftline.sources import files
+from siftline.streaming import streams
 
 
 @query("""SELECT p_partkey, lower(trim(p_name || ' ')) AS trimmed, round(p_size / nullif(p_partkey % 9, 0), 3) AS share, regexp_replace(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' [disc 2]' ELSE '' END, ' \\[[^\\]]*\\]$', '') AS plain,
@@ -172,3 +173,38 @@ def report_lines(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("</b>")).alias("name"), F.col("p_type").alias("path"))
     files.report(rows, at)
     return spark.read.text(at).withColumnRenamed("value", "line")
+
+
+@query("""SELECT doc_id, CAST(1 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS keys, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'second' END, lang) AS lang FROM documents""")
+def merged_maps(spark, sf):
+    """MAP-01: keys, look-up and merge."""
+    d = table(spark, sf, "documents")
+    both = expr.merged_maps(F.create_map(F.lit("lang"), F.col("lang")), F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("lang"), F.lit("second"), F.lit("more"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>")))
+    return d.select("doc_id", F.size(F.map_keys(both)).alias("keys"), F.try_element_at(both, F.lit("lang")).alias("lang"))
+
+
+@query("SELECT DISTINCT p_brand AS key, upper(p_brand) || '!' AS answer FROM part")
+def lookups(spark, sf):
+    """SRC-12, SRC-13: a service that answers ten keys at once, in their order; a test has one that fails."""
+    keys = table(spark, sf, "part").select(F.col("p_brand").alias("key")).distinct()
+    return files.looked_up(keys, lambda own: [k.upper() + "!" for k in own], "string", wait=0.0, tasks=2).select("key", "answer")
+
+
+@query("""SELECT '<!doctype html><meta charset=utf-8><title>Regions</title><script type=application/json id=rows>[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) || ']</script>' AS page FROM region""")
+def region_page(spark, sf):
+    """SNK-09: a page with its rows inside, without paths."""
+    at = dedupe.shared_folder(spark, "page")
+    files.page(table(spark, sf, "region").select("r_regionkey", "r_name", F.lit("secret").alias("path")), at, "Regions")
+    return spark.read.text(at, wholetext=True).select(F.rtrim(F.translate("value", "\n", "")).alias("page"))
+
+
+@query("""SELECT b AS batch, s AS step, CASE WHEN b % 3 = 0 AND s = 'match' THEN 'ValueError: no match' END AS error FROM (SELECT unnest(range(1, 8)) AS b) CROSS JOIN (SELECT unnest(['scan', 'match', 'import']) AS s) WHERE NOT (b % 3 = 0 AND s = 'import')""")
+def passes(spark, sf):
+    """STM-10: a fault in one batch's step leaves the others alone."""
+
+    def match(batch):
+        if batch % 3 == 0:
+            raise ValueError("no match")
+
+    done = streams.run_pass(list(range(1, 8)), [("scan", lambda b: None), ("match", match), ("import", lambda b: None)])
+    return spark.createDataFrame(done, "batch long, step string, error string")
