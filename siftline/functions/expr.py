@@ -69,7 +69,7 @@ def inside(path: Column, root: str) -> Column:
 def damaged_at_import(error: Column, decoded: Column, stated: Column, least: float = 0.5) -> Column:
     """FLT-10: only of files that a scan complained of: less than so much of the stated length decodes; without a stated length they are."""
     known = F.coalesce(stated, F.lit(0.0))
-    return F.coalesce(error, F.lit("")).__ne__("") & F.when(known > 0, F.coalesce(decoded, F.lit(0.0)) < least * known).otherwise(True)
+    return (F.coalesce(error, F.lit("")) != "") & F.when(known > 0, F.coalesce(decoded, F.lit(0.0)) < least * known).otherwise(True)
 
 
 def first_number(path: Column) -> Column:
