@@ -111,6 +111,6 @@ def length_queue(files: DataFrame, known: DataFrame) -> DataFrame:
 
 def under(files: DataFrame, folders: DataFrame) -> DataFrame:
     """JOIN-13, DOM-76: files (path) below any of folders (folder); the folder '' is that of loose files only."""
-    loose = files.where(expr.folder(F.col("path")) == "").withColumn("folder", F.lit(""))
-    deep = files.where(expr.folder(F.col("path")) != "").withColumn("folder", F.explode(albums_.ancestors(F.col("path"))))
-    return deep.unionAll(loose).join(folders.select("folder"), "folder", "left_semi").select(*files.columns).distinct()
+    path = F.col("path")
+    above = F.when(expr.folder(path) == "", F.array(F.lit(""))).otherwise(albums_.ancestors(path))
+    return files.withColumn("folder", F.explode(above)).join(folders.select("folder"), "folder", "left_semi").select(*files.columns).distinct()
