@@ -270,7 +270,8 @@ def _rank(spark, sf):
 
 
 def _cover(spark, sf):
-    return dedupe.greedy_cover(_members(spark, sf), dedupe.components(_pairs(spark, sf)), _rank(spark, sf))
+    members = dedupe.written(_members(spark, sf), "members")
+    return dedupe.greedy_cover(members, dedupe.components(dedupe.containment_pairs(members)), _rank(spark, sf))
 
 
 @query(f"WITH {_COVER} SELECT * FROM v")
