@@ -29,9 +29,11 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing holds any longer."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that nothing holds any longer. The first round tells the JVM which of its objects
+    Python has let go, the second lets it collect what they held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def written_to(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
