@@ -86,3 +86,19 @@ def page(queue: DataFrame, order: list[Column], offset: int, limit: int) -> Data
 def unknown_keys(decisions: DataFrame, queue: DataFrame, key: str) -> DataFrame:
     """DOM-28: decisions about nothing; a batch with any is refused whole."""
     return decisions.join(queue.select(key), key, "left_anti")
+
+
+#: What may be decided.
+DECISIONS = ["approve", "asis", "skip"]
+
+
+def judged(decisions: DataFrame, queue: DataFrame) -> DataFrame:
+    """DOM-28: decisions (key, decision, choice, reason) beside the queue (key, candidate, imported), with the chosen candidate and `fault`: the first that
+    speaks against it, or null: kind, unknown, imported, no_choice, no_reason; repeated marks several decisions of one key."""
+    again = decisions.groupBy("key").agg(F.count("*").alias("times"))
+    both = decisions.join(again, "key", "left").join(queue.withColumn("there", F.lit(True)), "key", "left")
+    choice = F.coalesce(F.nullif("choice", F.lit("")), F.when(F.col("decision") == "approve", F.col("candidate")))
+    unsure = (F.col("decision") == "approve") & (F.coalesce(choice, F.lit("")) == "")
+    fault = F.when(~F.coalesce(F.col("decision").isin(DECISIONS), F.lit(False)), "kind").when(F.col("there").isNull(), "unknown").when(F.col("imported"), "imported").when(unsure, "no_choice")
+    fault = fault.when(F.coalesce("reason", F.lit("")) == "", "no_reason").when(F.col("times") > 1, "repeated")
+    return both.select("key", "decision", choice.alias("choice"), "reason", fault.alias("fault"))
