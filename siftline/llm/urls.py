@@ -1,12 +1,12 @@
 """URL filters: explicit rules, then logistic regression on hashed character n-grams of host and path.
 
 Everything runs as DataFrame expressions and the JVM's own learner. The learner is trained on a small
-table of labelled URLs: those that a rule decides, at most MAX_TRAINING of them, chosen by a hash.
+table of labelled URLs: those that a rule decides, at most MAX_TRAINING distinct ones, half of each verdict, the first by a hash.
 Rules are a driver-side list of at most MAX_RULES.
 
 A null URL, or one without "://", has an empty host and path, fits no rule and gets the method's verdict,
 as does any URL no rule fits. With no labelled URL, or labels of one kind only, the verdict is that kind,
-else allow. Repeated rows are judged alike. Other columns are not read.
+else allow. Repeated rows are judged alike, and are one URL for the learner. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.llm import shared
+
 #: Fixed values: (verdict, rule).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MAX_RULES = 1000
@@ -65,24 +67,31 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules
     parts = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = ruled(rules, F.col("host"), F.col("path"))
     parts = parts.withColumns({"rule": rule, "said": verdict})
-    labelled = parts.where("said is not null").select("host", "path", F.when(F.col("said") == "block", 1.0).otherwise(0.0).alias("label"))
-    n = labelled.groupBy("label").count().collect()
-    kinds = {r["label"]: r["count"] for r in n}
+    chosen = shared.written(training(parts.where("said is not null"), max_training), "labelled")
+    kinds = {r["said"] for r in chosen.select("said").distinct().collect()}
     if len(kinds) < 2:
-        alone = "block" if 1.0 in kinds else "allow"
+        alone = "block" if "block" in kinds else "allow"
         p = F.lit(1.0 if alone == "block" else 0.0)
         return parts.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(alone)).alias("verdict"), p.alias("p_block"))
-    share = min(1.0, max_training / sum(kinds.values()))
-    chosen = F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    scored = learned(parts.where(chosen & F.col("said").isNotNull()), parts, F.col("said"), features)
+    scored = learned(chosen, parts, F.col("said"), features)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
 
 
+def training(labelled: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
+    """host, path, said and n, its number of rows, for half of `most` distinct URLs of each verdict at most, the first by a hash. However often a URL is repeated, it is one
+    row, and each verdict that has any has some."""
+    urls = labelled.groupBy("host", "path", "said").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("said").orderBy(F.xxhash64("host", "path"), "host", "path"))
+    return urls.withColumn("place", place).where(F.col("place") <= max(1, most // 2)).drop("place")
+
+
 def learned(labelled: DataFrame, parts: DataFrame, verdict: Column, features: int = FEATURES) -> DataFrame:
-    """parts (host, path, ...) with p_block, from a learner fitted on labelled (host, path, ...), a small table, whose verdict tells block from allow."""
+    """parts (host, path, ...) with p_block, from a learner fitted on labelled (host, path, ...; n, the number of rows, if there is one), a small table, whose verdict
+    tells block from allow. A URL counts by the logarithm of its number of rows, so one that is repeated without end doesn't drown the others."""
     hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
-    rows = labelled.select("host", "path", F.when(verdict == "block", 1.0).otherwise(0.0).alias("label")).orderBy("host", "path", "label").coalesce(1)
-    model = LogisticRegression(regParam=0.01, maxIter=30, featuresCol="features", labelCol="label").fit(hashed.transform(rows.withColumn("grams", grams(F.col("host"), F.col("path")))))
+    weight = F.log2(F.col("n") + 1) if "n" in labelled.columns else F.lit(1.0)
+    rows = labelled.select("host", "path", F.when(verdict == "block", 1.0).otherwise(0.0).alias("label"), weight.cast("double").alias("weight")).orderBy("host", "path", "label").coalesce(1)
+    model = LogisticRegression(regParam=0.01, maxIter=30, featuresCol="features", labelCol="label", weightCol="weight").fit(hashed.transform(rows.withColumn("grams", grams(F.col("host"), F.col("path")))))
     scored = model.transform(hashed.transform(parts.withColumn("grams", grams(F.col("host"), F.col("path")))))
     return scored.select(*parts.columns, vector_to_array("probability")[1].alias("p_block"))
 

@@ -95,3 +95,21 @@ def test_odd_tables(spark, name):
     assert out.where("doc_id is null").count() == (0 if name == "language_id" else 1 if name == "near_dedup" else 2)
     if name != "byte_bpe":
         assert out.columns == docs.columns
+
+
+#: Names that stages and their operators use inside, and one that differs by case only.
+INSIDE = ["score", "lang_pred", "spans", "_h", "_id", "h", "n", "node", "class_id", "root", "a", "b", "bands", "keys", "weights", "total", "_chunk", "_round", "_from", "_to", "_place", "body", "tokens", "decoded", "n_tokens", "_text", "items", "n_words", "TEXT"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_every_inner_name(spark, name):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) between 100 and 300").limit(30)
+    wide = shared.written(docs, "few")
+    wide = wide.select("*", *(F.lit(k).alias(x) for k, x in enumerate(INSIDE[:-1]))).toDF(*wide.columns, *INSIDE[:-1])
+    out = dict(corpus_pipeline.STAGES)[name](spark, wide, SF)
+    rows = out.collect()
+    assert rows
+    if name != "byte_bpe":
+        assert out.columns == wide.columns and all(r[x] == k for r in rows for k, x in enumerate(INSIDE[:-1]))
+    renamed = wide.toDF(*(x if x != "n_words" else "TEXT" for x in wide.columns))
+    assert dict(corpus_pipeline.STAGES)[name](spark, renamed, SF).columns == [x if x != "n_words" else "TEXT" for x in out.columns]

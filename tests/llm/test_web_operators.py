@@ -156,3 +156,17 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_two_urls_on_many_rows(spark):
+    """One URL that is blocked and one that is allowed, ten thousand times each, and one that no rule decides."""
+    for seed in range(3):
+        urls_ = [f"http://x{seed}.com/en/1", f"http://y{seed}.net/de/1"]
+        pages = spark.range(20000).select(F.col("id").alias("page_id"), F.element_at(F.array(*map(F.lit, urls_)), (F.col("id") % 2 + 1).cast("int")).alias("url"))
+        pages = pages.unionByName(spark.createDataFrame([(99999, f"http://x{seed}.com/en-2/1")], "page_id long, url string"))
+        got = urls.judge(pages)
+        assert {tuple(r) for r in got.groupBy("verdict").count().collect()} == {("block", 10001), ("allow", 10000)}
+        parts = pages.select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"), F.lit("block").alias("said"))
+        assert urls.training(parts, 2).count() == 1 and urls.training(parts).count() == 3
+    long = spark.createDataFrame([(1, "http://a.com/en/" + "x" * 200000), (2, "http://b.net/de/")] * 3, "page_id long, url string")
+    assert urls.judge(long).count() == 6
