@@ -6,6 +6,10 @@ operators say; extra columns stay until the last stage.
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,23 @@ from siftline.llm import bpe, decontaminate, langid, neardup, shared, suffixes
 LEAST_SHARE = 1 / 3
 
 
+#: Columns that stages use; all others get names of their own inside a stage, so none clashes with what an operator makes.
+OWN = ("doc_id", "text", "lang", "n_chars")
+
+
+def _apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with docs' other columns renamed by their places, and named as before in what it returns."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in OWN else f"kept_{uuid.uuid4().hex}" for c in docs.columns]
+        back = dict(zip(names, docs.columns, strict=True))
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        return out.toDF(*(back.get(c, c) for c in out.columns))
+
+    return run
+
+
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     """n_chars, where there is such a column, follows the text."""
     if "n_chars" in columns:
@@ -23,6 +44,7 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+@_apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without a language that a third of their letters are in, go; a null lang becomes the predicted one."""
     columns = docs.columns
@@ -31,21 +53,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
 
 
+@_apart
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the smallest doc_id."""
     return neardup.distinct(docs)
 
 
+@_apart
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id has go from the text."""
     return _measured(suffixes.passages(docs, keep=True), docs.columns)
 
 
+@_apart
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go from the text; documents that mostly are such passages go altogether."""
     return _measured(decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs.columns)
 
 
+@_apart
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, tokens, and the SHA-256 of what they decode to."""
     return bpe.encode(docs).select("doc_id", "n_tokens", "tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
