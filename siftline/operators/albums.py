@@ -164,8 +164,20 @@ def left_or_skipped(asked: DataFrame, proposals: DataFrame) -> DataFrame:
 def batch_of(batches: DataFrame, name: str) -> DataFrame:
     """DOM-75: the batch (batch, folder) with this id or folder; reading it fails if there are several or none."""
     found = batches.where((F.col("batch").cast("string") == name) | (F.col("folder") == name))
-    n = found.agg(F.count("*")).scalar()
-    return found.withColumn("batch", F.when(n == 1, F.col("batch")).otherwise(F.raise_error(F.lit(f"{name} names several batches")).cast("long")))
+    # An aggregate has a row even of nothing, so the refusal is always read.
+    one = found.agg(F.count("*").alias("n"), F.min("batch").alias("batch"), F.min("folder").alias("folder"))
+    why = F.when(F.col("n") == 0, f"{name} names no batch").otherwise(f"{name} names several batches")
+    kind = batches.schema["batch"].dataType
+    return one.select(F.when(F.col("n") == 1, F.col("batch")).otherwise(F.raise_error(why).cast(kind)).alias("batch"), "folder")
+
+
+def named(batches: DataFrame, names: DataFrame) -> DataFrame:
+    """DOM-75: names (name) with the batch (batch, folder) that each names by id or folder, or why it is refused: none or several."""
+    by_id = names.join(batches.withColumn("name", F.col("batch").cast("string")), "name").select("name", "batch")
+    by_folder = names.join(batches.withColumnRenamed("folder", "name"), "name").select("name", "batch")
+    found = by_id.union(by_folder).distinct().groupBy("name").agg(F.count("*").alias("n"), F.min("batch").alias("one"))
+    both = names.join(found, "name", "left")
+    return both.select("name", F.when(F.col("n") == 1, F.col("one")).alias("batch"), F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "several").alias("refused"))
 
 
 def inbox(folders: DataFrame, batches: DataFrame) -> DataFrame:

@@ -39,8 +39,11 @@ def refined(pairs: DataFrame, ours: DataFrame, theirs: DataFrame, similar: Colum
     two = open_.join(mine, "ours").join(their, "theirs")
     shared = open_.join(mine.select("ours", F.col("ours_key").alias("key")).distinct(), "ours").join(their.select("theirs", F.col("theirs_key").alias("key")).distinct(), ["theirs", "key"])
     left = two.join(shared.select("ours", "theirs", F.col("key").alias("ours_key")), ["ours", "theirs", "ours_key"], "left_anti").join(shared.select("ours", "theirs", F.col("key").alias("theirs_key")), ["ours", "theirs", "theirs_key"], "left_anti")
-    close = F.coalesce(F.abs(F.col("ours_seconds") - F.col("theirs_seconds")) <= PRINT_GAP, F.lit(False)) & F.coalesce(similar >= SAME_RECORDING, F.lit(False))
-    more = left.where(close).groupBy("ours", "theirs").agg(F.count_distinct("ours_key").alias("more"))
+    near = left.where(F.abs(F.col("ours_seconds") - F.col("theirs_seconds")) <= PRINT_GAP).where("ours_print is not null and theirs_print is not null")
+    near = near.withColumns({"x": F.xxhash64("ours_print"), "y": F.xxhash64("theirs_print")})
+    # Many tracks share a recording: each distinct pair of prints is compared once.
+    alike = near.groupBy("x", "y").agg(F.first("ours_print").alias("ours_print"), F.first("theirs_print").alias("theirs_print")).where(F.coalesce(similar >= SAME_RECORDING, F.lit(False)))
+    more = near.join(alike.select("x", "y"), ["x", "y"], "left_semi").groupBy("ours", "theirs").agg(F.count_distinct("ours_key").alias("more"))
     out = pairs.join(more, ["ours", "theirs"], "left").withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0)))
     share = lambda size: F.col("shared") / F.col(size)
     return out.where(F.greatest(share("size_ours"), share("size_theirs")) >= LEAST_SHARE).select("ours", "theirs", "shared", F.round(share("size_ours"), 3).alias("share_ours"), F.round(share("size_theirs"), 3).alias("share_theirs"))

@@ -85,10 +85,10 @@ class Plan:
         one = dedupe.written(open_.select(*FILE, "forced", "seconds").join(named.where("n = 1").drop("n"), FILE).join(tracks.select(*TRACK, "length"), TRACK), "one")
         held = one.join(holders, TRACK)
         held_fits = candidates(files, tracks, titles).select("album", c("file").alias("holder_file"), "track", F.lit(True).alias("holder_fits"))
-        known = held.withColumn("holder_file", c("holder.file")).join(held_fits, ["album", "holder_file", "track"], "left").where(c("holder.state") == "stays")
+        known = held.withColumn("holder_file", c("holder.file")).join(held_fits, ["album", "holder_file", "track"], "left").where(~c("holder.state").isin("moves", "foreign"))
         fits, mine, theirs = c("holder_fits").isNotNull(), _off("seconds", "length"), F.abs(F.coalesce("holder.seconds", F.lit(0.0)) - c("length"))
         better = F.when(c("forced"), True).when(c("length").isNull(), ~fits).when(fits, mine + MARGIN < theirs).otherwise(mine <= theirs + MARGIN)
-        #: DOM-45: extras that are a track's audio while the file that holds it, and stays, is not, or is much further off.
+        #: DOM-45: extras that are a track's audio while the file that holds it, and neither moves nor is foreign, is not, or is much further off.
         self.promoted = dedupe.written(known.where(better).select("album", "file", "track", c("holder.file").alias("replaces")), "promoted")
 
         foreign = own.where("state = 'foreign'").select("album", "file", c("holds").alias("track"), "seconds", c("held_length").alias("length")).join(claimed, TRACK, "left")

@@ -87,7 +87,7 @@ def prunable(batches: DataFrame, files: DataFrame, placed: DataFrame, skipped_fi
     own = own.join(skipped_files.select("path", F.lit(True).alias("by_file")).distinct(), "path", "left").join(skipped_folders.select("folder", F.lit(True).alias("by_folder")).distinct(), "folder", "left").join(last, "path", "left")
     why = F.when(F.col("placed"), F.col("why")).when(F.coalesce("by_file", "by_folder").isNotNull(), F.lit(None)).otherwise(F.concat(F.lit("not in the library"), F.coalesce(F.concat(F.lit(": "), "last"), F.lit(""))))
     held = own.withColumn("reason", why).where("reason is not null").groupBy("batch").agg(F.count("*").alias("problems"), F.min_by("reason", "path").alias("reason"))
-    due = F.datediff(F.to_date(now), F.to_date("changed")) >= days
+    due = F.col("changed").cast("timestamp") + F.make_dt_interval(days=F.lit(days)) <= now.cast("timestamp")  # whole days that have passed
     state = F.when((F.col("status") != "imported") | expr.filled(F.col("note")), "unsettled").when(~due, "not_due").when(~F.col("inside") | F.col("problems").isNotNull(), "held").otherwise("ready")
     out = batches.join(held, "batch", "left").withColumn("state", state)
     return out.select("batch", "state", F.when(F.col("state") == "held", F.coalesce("problems", F.lit(0))).alias("problems"), F.when(F.col("state") == "held", F.when(~F.col("inside"), "outside").otherwise(F.col("reason"))).alias("reason"))

@@ -105,18 +105,18 @@ def stale_skips(spark, sf):
     return collection.stale_skips(own, log, log.where("source % 4 = 0").select("source").distinct())
 
 
-_PRUNE = """b AS (SELECT c_custkey AS batch, CASE WHEN c_custkey % 10 > 0 THEN 'imported' ELSE 'matched' END AS status, CASE WHEN c_custkey % 13 = 0 THEN 'left' END AS note, DATE '2024-01-01' + CAST(c_custkey % 40 AS INTEGER) AS changed, c_custkey % 17 > 0 AS inside FROM customer),
+_PRUNE = """b AS (SELECT c_custkey AS batch, CASE WHEN c_custkey % 10 > 0 THEN 'imported' ELSE 'matched' END AS status, CASE WHEN c_custkey % 13 = 0 THEN 'left' END AS note, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(c_custkey % 960 AS INTEGER)) + to_seconds(CAST(c_custkey % 3 AS INTEGER)) AS changed, c_custkey % 17 > 0 AS inside FROM customer),
 f AS (SELECT o_custkey AS batch, 'in/' || (o_orderkey % 90) || '/' || o_orderkey AS path, 'in/' || (o_orderkey % 90) || '/' AS folder, o_orderkey AS id, o_totalprice AS v FROM orders),
 p AS (SELECT path, CASE WHEN id % 11 = 1 THEN 'missing' WHEN id % 29 = 1 THEN 'unseen' WHEN id % 23 = 1 THEN 'undecoded' WHEN id % 19 = 1 THEN 'short' END AS why FROM f WHERE id % 5 > 0), k AS (SELECT path FROM f WHERE id % 15 = 0), kf AS (SELECT DISTINCT folder FROM f WHERE id % 90 < 30),
 w AS (SELECT batch, f.path, CASE WHEN p.path IS NOT NULL THEN p.why WHEN f.path IN (FROM k) OR folder IN (FROM kf) THEN NULL ELSE 'not in the library' || CASE WHEN id % 2 = 0 THEN ': skip_extra' ELSE '' END END AS reason FROM f LEFT JOIN p ON p.path = f.path), h AS (SELECT batch, count(*) AS problems, arg_min(reason, path) AS reason FROM w WHERE reason IS NOT NULL GROUP BY 1),
-s AS (SELECT b.*, problems, reason, CASE WHEN status <> 'imported' OR note IS NOT NULL THEN 'unsettled' WHEN DATE '2024-02-10' - changed < 14 THEN 'not_due' WHEN NOT inside OR problems IS NOT NULL THEN 'held' ELSE 'ready' END AS state FROM b LEFT JOIN h USING (batch))"""
+s AS (SELECT b.*, problems, reason, CASE WHEN status <> 'imported' OR note IS NOT NULL THEN 'unsettled' WHEN datediff('second', changed, TIMESTAMP '2024-02-10 11:00:01') < 14 * 86400 THEN 'not_due' WHEN NOT inside OR problems IS NOT NULL THEN 'held' ELSE 'ready' END AS state FROM b LEFT JOIN h USING (batch))"""
 
 
 @query(f"WITH {_PRUNE} SELECT batch, state, CASE WHEN state = 'held' THEN coalesce(problems, 0) END AS problems, CASE WHEN state = 'held' THEN CASE WHEN NOT inside THEN 'outside' ELSE reason END END AS reason FROM s")
 def prune_plan(spark, sf):
     """DOM-61: batches that may go: settled, old enough, every file verified in the library or a skipped copy."""
     key, i = F.col("c_custkey"), F.col("id")
-    batches = table(spark, sf, "customer").select(key.alias("batch"), F.when(key % 10 > 0, "imported").otherwise("matched").alias("status"), F.when(key % 13 == 0, "left").alias("note"), F.date_add(F.lit("2024-01-01").cast("date"), (key % 40).cast("int")).alias("changed"), (key % 17 > 0).alias("inside"))
+    batches = table(spark, sf, "customer").select(key.alias("batch"), F.when(key % 10 > 0, "imported").otherwise("matched").alias("status"), F.when(key % 13 == 0, "left").alias("note"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(key % 960).cast("int"), secs=(key % 3).cast("double"))).alias("changed"), (key % 17 > 0).alias("inside"))
     o = F.col("o_orderkey")
     files = table(spark, sf, "orders").select(F.col("o_custkey").alias("batch"), F.concat(F.lit("in/"), (o % 90).cast("string"), F.lit("/"), o.cast("string")).alias("path"), o.alias("id"))
     # As the audit finds them: gone, changed since, read in another state, or short.
@@ -125,7 +125,7 @@ def prune_plan(spark, sf):
     placed = files.where("id % 5 > 0").select("path", why.alias("why"))
     folders = files.where("id % 90 < 30").select(expr.folder(F.col("path")).alias("folder"))
     log = files.where("id % 2 = 0").select("id", "path", F.lit("skip_extra").alias("action"))
-    return collection.prunable(batches, files.select("batch", "path"), placed, files.where("id % 15 = 0").select("path"), folders, log, F.lit("2024-02-10").cast("date"))
+    return collection.prunable(batches, files.select("batch", "path"), placed, files.where("id % 15 = 0").select("path"), folders, log, F.lit("2024-02-10 11:00:01").cast("timestamp"))
 
 
 @query("""WITH u AS (SELECT 'in/' || (l_orderkey % 40) || '/' || l_linenumber AS path, 'lib/' || (l_suppkey % 25) || '/' AS replaced FROM lineitem), a AS (SELECT DISTINCT o_orderkey % 40 AS album FROM orders WHERE o_orderkey % 40 % 3 = 0), d AS (SELECT DISTINCT album, replaced FROM u JOIN a ON starts_with(path, 'in/' || album || '/')),
@@ -158,6 +158,17 @@ def one_batch(spark, sf):
     return albums.batch_of(table(spark, sf, "customer").select(F.col("c_custkey").alias("batch"), F.col("c_name").alias("folder")), "7")
 
 
+@query("""WITH b AS (SELECT o_orderkey AS batch, 'f' || (o_orderkey % 700) AS folder FROM orders), a AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN CAST(l_orderkey AS VARCHAR) WHEN l_partkey % 3 = 1 THEN 'f' || (l_partkey % 900) ELSE 'x' || l_partkey END AS name FROM lineitem GROUP BY 1),
+m AS (SELECT name, batch FROM a JOIN b ON CAST(batch AS VARCHAR) = name UNION SELECT name, batch FROM a JOIN b ON folder = name), n AS (SELECT name, count(*) AS n, min(batch) AS batch FROM m GROUP BY 1)
+SELECT name, CASE WHEN n = 1 THEN batch END AS batch, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'several' END AS refused FROM a LEFT JOIN n USING (name)""")
+def named_batches(spark, sf):
+    """DOM-75: what each name names: one batch, or why it is refused."""
+    batches = table(spark, sf, "orders").select(F.col("o_orderkey").alias("batch"), F.concat(F.lit("f"), (F.col("o_orderkey") % 700).cast("string")).alias("folder"))
+    part = F.col("l_partkey")
+    name = F.when(part % 3 == 0, F.col("l_orderkey").cast("string")).when(part % 3 == 1, F.concat(F.lit("f"), (part % 900).cast("string"))).otherwise(F.concat(F.lit("x"), part.cast("string")))
+    return albums.named(batches, table(spark, sf, "lineitem").select(name.alias("name")).distinct())
+
+
 @query("""WITH f AS (SELECT 'm/' || (l_orderkey % 300) || CASE WHEN l_orderkey % 2 = 0 THEN ' (CD' || l_linenumber || ')' ELSE '' END || '/' || l_partkey AS path, l_partkey AS p, l_orderkey AS o FROM lineitem), k AS (SELECT DISTINCT path FROM f WHERE p % 10 > 0), q AS (SELECT path, regexp_extract(path, '^(.*/)', 1) AS folder FROM k WHERE NOT starts_with(path, 'm/7/') AND NOT starts_with(path, 'm/8 (CD1)/'))
 SELECT regexp_replace(folder, ' \\(CD[0-9]+\\)/$', '/') AS album, count(DISTINCT folder) AS folders, count(*) AS files, min(folder) AS key FROM q GROUP BY 1""")
 def disc_albums(spark, sf):

@@ -388,7 +388,7 @@ def batch_overlaps(spark, sf):
 
 
 @query(f"""WITH {_OVERLAPS}, t AS (SELECT p_partkey AS key, p_size * 10.0 AS seconds, p_size % 4 * 65535 AS print FROM part), g AS (SELECT ours, theirs FROM o WHERE NOT certain),
-x AS (SELECT ours, theirs, b.key FROM g JOIN b ON b.s = ours WHERE b.key NOT IN (SELECT l.key FROM l WHERE l.s = theirs)), y AS (SELECT ours, theirs, l.key FROM g JOIN l ON l.s = theirs WHERE l.key NOT IN (SELECT b.key FROM b WHERE b.s = ours)),
+x AS (SELECT ours, theirs, b.key FROM g JOIN b ON b.s = ours ANTI JOIN l ON l.s = theirs AND l.key = b.key), y AS (SELECT ours, theirs, l.key FROM g JOIN l ON l.s = theirs ANTI JOIN b ON b.s = ours AND b.key = l.key),
 m AS (SELECT x.ours, x.theirs, count(DISTINCT x.key) AS n FROM x JOIN y ON x.ours = y.ours AND x.theirs = y.theirs JOIN t u ON u.key = x.key JOIN t v ON v.key = y.key WHERE abs(u.seconds - v.seconds) <= 10 AND 1 - bit_count(xor(u.print, v.print)) / 32 >= 0.75 GROUP BY 1, 2),
 r AS (SELECT ours, theirs, shared + coalesce(n, 0) AS shared, size_ours, size_theirs FROM o LEFT JOIN m USING (ours, theirs))
 SELECT ours, theirs, shared, round(shared / size_ours, 3) AS share_ours, round(shared / size_theirs, 3) AS share_theirs FROM r WHERE shared / least(size_ours, size_theirs) >= 0.9""")

@@ -35,7 +35,7 @@ _PLAN = f"""{_ASSIGNED}, {_fits('e', _EVIDENCE)},
 claimed AS (SELECT DISTINCT album, "to" AS track FROM s WHERE state = 'moves'),
 holders AS (SELECT album, holds AS track, arg_max(file, file) AS holder, arg_max(seconds, file) AS hs, arg_max(state, file) AS hstate FROM s WHERE holds IS NOT NULL GROUP BY 1, 2),
 x1 AS (SELECT f.album, f.file, f.forced, f.seconds, min(e.track) AS track, min(e.length) AS length FROM files f JOIN e ON e.album = f.album AND e.file = f.file WHERE extra AND (forced OR NOT displaced) GROUP BY 1, 2, 3, 4 HAVING count(*) = 1),
-p0 AS (SELECT x1.album, x1.file, x1.track, forced, holder, length, e.track IS NOT NULL AS hf, abs(x1.seconds - length) AS mine, abs(hs - x1.length) AS theirs FROM x1 JOIN holders h ON h.album = x1.album AND h.track = x1.track LEFT JOIN (SELECT album, file, track FROM e) e ON e.album = x1.album AND e.file = holder AND e.track = x1.track WHERE hstate = 'stays'),
+p0 AS (SELECT x1.album, x1.file, x1.track, forced, holder, length, e.track IS NOT NULL AS hf, abs(x1.seconds - length) AS mine, abs(hs - x1.length) AS theirs FROM x1 JOIN holders h ON h.album = x1.album AND h.track = x1.track LEFT JOIN (SELECT album, file, track FROM e) e ON e.album = x1.album AND e.file = holder AND e.track = x1.track WHERE hstate NOT IN ('moves', 'foreign')),
 promoted AS (SELECT album, file, track, holder AS replaces FROM p0 WHERE CASE WHEN forced THEN true WHEN length IS NULL THEN NOT hf WHEN hf THEN mine + 3 < theirs ELSE mine <= theirs + 3 END),
 f0 AS (SELECT album, file, holds AS track, CASE WHEN (album, holds) IN (SELECT (album, track) FROM claimed) THEN 'demoted' WHEN abs(seconds - held_length) > 10 THEN 'vacates' WHEN (album, holds) IN (SELECT (album, track) FROM x1) THEN 'asked' ELSE 'stuck' END AS st FROM s WHERE state = 'foreign'),
 vacant AS (SELECT album, track FROM holders WHERE hstate = 'moves' AND (album, track) NOT IN (SELECT (album, track) FROM claimed) UNION SELECT album, track FROM f0 WHERE st IN ('vacates', 'asked')),

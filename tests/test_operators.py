@@ -303,6 +303,7 @@ EXTRA, FORCED = {"extra": True}, {"extra": True, "forced": True}
     ([("f1", "t1", [], 100.0), ("e1", None, ["t1"], 103.1, EXTRA)], set(), set()),
     ([("f1", "t1", ["t1"], 100.0), ("e1", None, ["t1"], 500.0, FORCED)], {("e1", "t1", "promoted", "f1")}, set()),
     ([("f1", "t1", [], 100.0), ("e1", None, ["t1"], 100.0, EXTRA | {"displaced": True})], set(), set()),
+    ([("f1", "t1", ["t2", "t3"], 100.0), ("e1", None, ["t1"], 100.0, EXTRA)], {("e1", "t1", "promoted", "f1")}, {("f1", "unclear")}),
     ([("f1", "t1", ["t1"], 100.0, {"forced": True}), ("e1", None, [], 1.0, FORCED)], set(), {("f1", "not_an_extra"), ("e1", "forced_unclear")}),
     ([("f1", "t2", ["t1"], 100.0), ("e1", None, [], 201.0, EXTRA | {"title": "song two", "confirmed": True})], {("f1", "t1", "moves", None), ("e1", "t2", "fills", None)}, set()),
 ])
@@ -380,7 +381,7 @@ def test_settings(tmp_path):
     (tmp_path / "a.local.toml").write_text('library = "other"\n')
     made = files.Settings.load(str(tmp_path / "a.toml"), {"LOOKUP_KEY": "y"})
     assert made.library == str(tmp_path / "other") and made.key == "y" and made.state == str(tmp_path / "state")
-    for text, why in (('source = "in"\nlibrary = "in/lib"\n', "only read"), ('source = "in"\nlibrary = "l"\ninbox = "l/i"\n', "each other")):
+    for text, why in (('source = "in"\nlibrary = "in/lib"\n', "inside: library"), ('source = "in"\nlibrary = "l"\ninbox = "l/i"\n', "inside: inbox"), ('source = "in"\nlibrary = "i/l"\ninbox = "i"\n', "inside: library"), ('source = "in"\nstate = "in"\n', "inside: state"), ('library = "l"\n', "missing: source")):
         (tmp_path / "b.toml").write_text(text)
         with pytest.raises(ValueError, match=why):
             files.Settings.load(str(tmp_path / "b.toml"), {})
@@ -409,6 +410,18 @@ def test_a_batch_by_name(spark):
     for name in ("y", "1"):
         with pytest.raises(Exception, match="several batches"):
             albums.batch_of(batches, name).collect()
+    with pytest.raises(Exception, match="z names no batch"):
+        albums.batch_of(batches, "z").collect()
+    names = spark.createDataFrame([("x",), ("y",), ("1",), ("2",), ("z",), (None,)], "name string")
+    assert {(r.name, r.batch, r.refused) for r in albums.named(batches, names).collect()} == {("x", 1, None), ("y", None, "several"), ("1", None, "several"), ("2", 2, None), ("z", None, "none"), (None, None, "none")}
+
+
+@pytest.mark.parametrize(("changed", "state"), [("2024-05-18 23:59:00", "not_due"), ("2024-05-18 00:01:00", "ready"), ("2024-05-18 00:01:01", "not_due")])
+def test_whole_days_must_have_passed(spark, changed, state):
+    batches = spark.createDataFrame([(1, "imported", None, True)], "batch long, status string, note string, inside boolean").withColumn("changed", F.lit(changed).cast("timestamp"))
+    none = spark.createDataFrame([], "batch long, path string, why string, folder string, id long, action string")
+    made = collection.prunable(batches, none.select("batch", "path"), none.select("path", "why"), none.select("path"), none.select("folder"), none.select("id", "path", "action"), F.lit("2024-06-01 00:01:00").cast("timestamp"))
+    assert made.first().state == state
 
 
 def test_plans(spark):
