@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.operators import dedupe
+from siftline.operators import dedupe, naming
 from siftline.plans.registry import query, table
 from siftline.sources import lookups, readers
 
@@ -121,3 +121,15 @@ def service_answers(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-12, SRC-13: a service as a data source, asked by several tasks at one rate; keys that it refuses are rows with an error."""
     lookups.register(spark, "digest_service", _service, "string")
     return dedupe.written(lookups.looked_up(table(spark, sf, "part").select(F.concat("p_type", "p_brand")), "digest_service", slots=4, batch=1, tries=2, wait=0.0, interval=0.0), "answers")
+
+
+@query("""WITH w AS (SELECT p_partkey AS "order", p_partkey % 40 AS k, row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) AS place FROM part), b AS (SELECT DISTINCT s_suppkey % 40 AS k, CASE WHEN s_suppkey % 13 = 0 THEN 1 ELSE s_suppkey % 13 END AS n FROM supplier WHERE s_suppkey % 13 <> 1),
+r AS (SELECT k, unnest(range(1, count(*) + 15)) AS n FROM w GROUP BY k), f AS (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY n) AS place FROM r ANTI JOIN b USING (k, n))
+SELECT "order", 'm.d/' || k || '.mp3' AS name, 'm.d/' || k || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.mp3' AS given FROM w JOIN f USING (k, place)""")
+def free_names(spark, sf):
+    """PRJ-15: names for many files that want the same ones, where some exist."""
+    part, key = table(spark, sf, "part"), F.col("s_suppkey")
+    name = lambda k, more: F.concat(F.lit("m.d/"), k.cast("string"), more, F.lit(".mp3")).alias("name")
+    n = key % 13
+    taken = table(spark, sf, "supplier").select(name(key % 40, F.when(n == 0, "").otherwise(F.concat(F.lit(" ("), n.cast("string"), F.lit(")")))))
+    return naming.free_names(part.select(F.col("p_partkey").alias("order"), name(F.col("p_partkey") % 40, F.lit(""))), taken)

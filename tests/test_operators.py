@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import expr
-from siftline.operators import albums, audit, dedupe, identity, matching, overlap, placement, relabel, review, similarity
+from siftline.operators import albums, audit, dedupe, identity, matching, naming, overlap, placement, relabel, review, similarity
 from siftline.plans import collection
 from siftline.sources import files
 from siftline.streaming import streams
@@ -468,3 +468,61 @@ def test_streams_tell_once(spark, tmp_path):
         news.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     told = {(r.at, r.k, r.news) for r in spark.read.schema(news.schema).parquet(str(tmp_path / "out")).collect()}
     assert told == {(1, "a", "new"), (1, "b", "new"), (3, "a", "grew"), (4, "a", "grew")}
+
+
+def plain_names(wanted, taken):
+    """One name after the other."""
+    seen, out = set(taken), {}
+    for order, name in sorted(wanted):
+        folder, slash, last = name.rpartition("/")
+        dot = last.rfind(".")
+        stem, suffix = (last[:dot], last[dot:]) if 0 < dot < len(last) - 1 else (last, "")
+        given, n = name, 2
+        while given in seen:
+            given, n = f"{folder}{slash}{stem} ({n}){suffix}", n + 1
+        seen.add(given)
+        out[order] = given
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_free_names(spark, monkeypatch, seed):
+    monkeypatch.setattr(naming, "RANGE_ROWS", 40)
+    rng = random.Random(seed)
+    some = lambda: f"{rng.choice(['m/', 'm.d/', ''])}{rng.choice(['a', 'a', 'a (2)', 'a (2) (2)', 'a (3)', 'b.c', '.h', 'a (02)', 'a (1)'])}{rng.choice(['.mp3', '.mp3', '', '.'])}"
+    wanted = [(k, some()) for k in range(150)] + [(1000 + k, "m/hot.mp3") for k in range(120)]
+    taken = {some() for _ in range(12)} | {"m/hot.mp3", "m/hot (2).mp3", "m/hot (5).mp3", "m/hot (500).mp3", "m/hot (04).mp3"}
+    given = naming.free_names(spark.createDataFrame(wanted, "order long, name string"), spark.createDataFrame([(t,) for t in taken], "name string"))
+    got = {r.order: r.given for r in given.collect()}
+    assert got == plain_names(wanted, taken) and not set(got.values()) & taken
+
+
+def test_no_names(spark):
+    none = spark.createDataFrame([], "order long, name string")
+    assert naming.free_names(none, none.select("name")).count() == 0
+    one = spark.createDataFrame([(1, "x"), (2, None)], "order long, name string")
+    assert [r.given for r in naming.free_names(one, none.select("name")).collect()] == ["x"]
+
+
+def test_fingerprints_in_batches():
+    """Whole, cut, damaged and foreign texts, as one by one."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    texts = []
+    for _ in range(3000):
+        text = pack([rng.getrandbits(32) & rng.getrandbits(32) for _ in range(rng.randrange(0, 40) if rng.random() < 0.98 else 400)])
+        kind = rng.randrange(8)
+        if kind == 0:
+            text = text[: rng.randrange(len(text) + 1)]
+        elif kind == 1:
+            k = rng.randrange(len(text))
+            text = text[:k] + rng.choice(alphabet + "+/ =é") + text[k + 1 :]
+        elif kind == 2:
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
+        texts.append(None if rng.random() < 0.02 else text)
+    want = [None if t is None else similarity.decode_one(t) for t in texts]
+    assert similarity.decode_all(pa.array(texts, pa.string())).to_pylist() == want
+    assert similarity.decode_all(pa.array(["x", *texts], pa.string())[1:]).to_pylist() == want and sum(w is None for w in want) > 300
+    assert similarity.decode_all(pa.array([], pa.string())).to_pylist() == []
