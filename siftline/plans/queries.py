@@ -416,6 +416,18 @@ def _same(spark, sf) -> DataFrame:
     return overlap.same_recordings(side("ours", "P"), side("theirs", "F"), ["block"])
 
 
+@query("""WITH x AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderstatus AS k, o_totalprice / 1000 AS s, o_orderkey % 5 * 4095 AS print FROM orders)
+SELECT DISTINCT o.c AS block, o.id % 100 AS ours_set, p.id % 100 AS theirs_set, o.id AS ours_item, p.id AS theirs_item FROM x o JOIN x p ON o.c = p.c WHERE o.k = 'P' AND p.k = 'F' AND (o.id % 97 = p.id % 97 OR (abs(o.s - p.s) <= 10 AND 1 - bit_count(xor(o.print, p.print)) / 32 >= 0.75))""")
+def same_prints(spark, sf):
+    """DOM-12, JOIN-11: the same by key, or by fingerprint with at most ten seconds between them."""
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey")
+
+    def side(name: str, status: str) -> DataFrame:
+        return o.where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("block"), key.alias(f"{name}_item"), (key % 100).alias(f"{name}_set"), (key % 97).alias(f"{name}_key"), F.lit("").alias(f"{name}_title"), (F.col("o_totalprice") / 1000).alias(f"{name}_seconds"), F.array_repeat((key % 5 * 4095).cast("long"), 60).alias(f"{name}_print"))
+
+    return overlap.same_recordings(side("ours", "P"), side("theirs", "F"), ["block"], similarity.similarity(F.col("ours_print"), F.col("theirs_print")))
+
+
 @query(f"WITH {_SAME} SELECT * FROM d")
 def same_recordings(spark, sf):
     """DOM-12, JOIN-11, JOIN-14: blocked by customer; tracks without a title are the same by key only."""

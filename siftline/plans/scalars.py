@@ -198,13 +198,10 @@ def region_page(spark, sf):
     return spark.read.text(at, wholetext=True).select(F.rtrim(F.translate("value", "\n", "")).alias("page"))
 
 
-@query("""SELECT b AS batch, s AS step, CASE WHEN b % 3 = 0 AND s = 'match' THEN 'ValueError: no match' END AS error FROM (SELECT unnest(range(1, 8)) AS b) CROSS JOIN (SELECT unnest(['scan', 'match', 'import']) AS s) WHERE NOT (b % 3 = 0 AND s = 'import')""")
+@query("""WITH b AS (SELECT o_orderkey AS batch, o_custkey AS c, o_orderstatus AS s FROM orders), k AS (SELECT unnest(['scan', 'match', 'import']) AS step, unnest(range(1, 4)) AS n), f AS (SELECT batch, step, n, CASE WHEN n = 1 AND c % 10 = 0 THEN 'unreadable' WHEN n = 2 AND c % 3 = 0 THEN 'no match: ' || c WHEN n = 3 AND s = 'P' THEN 'held' END AS error FROM b, k)
+SELECT batch, step, error FROM f WHERE n <= coalesce((SELECT min(g.n) FROM f g WHERE g.batch = f.batch AND g.error IS NOT NULL), 3)""")
 def passes(spark, sf):
-    """STM-10: a fault in one batch's step leaves the others alone."""
-
-    def match(batch):
-        if batch % 3 == 0:
-            raise ValueError("no match")
-
-    done = streams.run_pass(list(range(1, 8)), [("scan", lambda b: None), ("match", match), ("import", lambda b: None)])
-    return spark.createDataFrame(done, "batch long, step string, error string")
+    """STM-10: a fault in one batch's step ends that batch's pass and leaves the others alone."""
+    c = F.col("o_custkey")
+    steps = {"scan": F.when(c % 10 == 0, "unreadable"), "match": F.when(c % 3 == 0, F.concat(F.lit("no match: "), c.cast("string"))), "import": F.when(F.col("o_orderstatus") == "P", "held")}
+    return streams.passed(table(spark, sf, "orders"), F.col("o_orderkey").alias("batch"), steps)

@@ -118,6 +118,14 @@ def run_pass(batches: list, steps: list[tuple[str, Callable]]) -> list[tuple]:
     return out
 
 
+def passed(batches: DataFrame, batch: Column, steps: dict[str, Column]) -> DataFrame:
+    """STM-10: steps in order, each with its fault or null: batch, step and error of each that runs; a fault ends its batch's pass."""
+    ran = F.array(*(F.struct(F.lit(name).alias("step"), fault.cast("string").alias("error")) for name, fault in steps.items()))
+    first = F.array_position(F.transform(ran, lambda s: s["error"].isNotNull()), True)  # 0 if none
+    kept = F.slice(ran, F.lit(1), F.when(first > 0, first).otherwise(F.size(ran)).cast("int"))
+    return batches.select(batch, F.inline(kept))
+
+
 def next_state(state: Column, quiet: Column) -> Column:
     """STM-03: a batch's next step; it waits until it is quiet, and an imported one stays."""
     out = state
