@@ -12,8 +12,8 @@ pairs both occur in other chunks too, as all others are counted in full by their
 the longest counted run of two words at most that ends there; so the states of all places are known at once,
 and the places of all texts take arcs and failure arcs side by side. A text's score adds up their weights from left to right.
 
-Weights are added as multiples of 2**-30, so that no order of addition makes a difference; that is within 1e-8 of the
-sum of doubles for 1,000 tokens. Null and empty texts are one token, the end. Keys are 52-bit hashes of words and runs.
+Weights are doubles, added up without rounding, so that no order of addition makes a difference. Null and empty texts are one token, the end. Keys are 52-bit hashes of words and runs: of n distinct runs some n^2 / 2^53 pairs
+share a count, 1 in 10^8 runs and a hundred in 10^9.
 Rows with the same id, or a null one, are scored each by itself; other columns are not read. Where train is null the row
 is held out.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from siftline.llm import flat, scatter
 
 K = 4.0
-GRID = 1 << 30
+COARSE, FINE = 2.0**-20, 2.0**-52  # of what logarithms are multiples when they are added up
 _U = np.uint64
 #: The key of the end, which is no word's hash of at least one byte but by chance.
 END = flat.mix(np.array([0x656E64], _U))[0]
@@ -74,7 +74,7 @@ class Automaton:
         self.arc = np.concatenate([np.ones(words, bool), two > 0, three > 0])
         self.weight = _logs(p, self.arc)
         #: Each state's failure arc: its weight and where it leads.
-        self.fail = np.append(_logs(k / (contexts + k), contexts > 0), 0)
+        self.fail = np.concatenate([_logs(k / (contexts + k), contexts > 0), np.zeros((1, 2), np.int64)])
         word_state = np.where(one > 0, np.arange(words), root)
         self.back = np.concatenate([np.full(words, root), word_state[pair[1]]])
         #: The number of words of each state's run.
@@ -85,7 +85,7 @@ class Automaton:
     def walk(self, state: np.ndarray, runs: np.ndarray) -> np.ndarray:
         """What each place adds to its text's score. state: where each stands before its token; runs: the numbers, as arcs, of
         the runs of one, two and three words that end with it."""
-        out, live = np.zeros(len(state), np.int64), np.arange(len(state))
+        out, live = np.zeros((len(state), 2), np.int64), np.arange(len(state))
         while len(live):
             arc = runs[self.size[state], live]
             taken = self.arc[arc]
@@ -97,9 +97,12 @@ class Automaton:
 
 
 def _logs(p: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """log10 in multiples of 1 / GRID, 0 where not which. The C library's, as numpy's differs in the last bit."""
-    out = np.zeros(len(p), np.int64)
-    out[which] = np.floor(np.fromiter(map(math.log10, p[which].tolist()), np.float64) * GRID + 0.5)
+    """log10 as multiples of COARSE and of FINE, 0 where not which: what is left of a double then is at most half of FINE, and the two are added up without any
+    rounding, so no order matters. The C library's, as numpy's differs in the last bit."""
+    out = np.zeros((len(p), 2), np.int64)
+    logs = np.fromiter(map(math.log10, p[which].tolist()), np.float64)
+    out[which, 0] = coarse = np.floor(logs / COARSE)
+    out[which, 1] = np.floor((logs - coarse * COARSE) / FINE + 0.5)
     return out
 
 
@@ -180,7 +183,7 @@ def score(docs: DataFrame, train: F.Column, *, doc_id: str = "doc_id", text: str
         arcs = np.zeros((3, len(word)), np.int64)
         arcs[0], arcs[1] = word, len(one) + pair
         arcs[2, runs.inner] = automaton.root + runs.at[2]
-        sums = [np.add.reduceat(x, runs.starts) / GRID for x in (automaton.weight[word], automaton.walk(state, arcs))]
+        sums = [np.add.reduceat(x, runs.starts, axis=0) @ np.array([COARSE, FINE]) for x in (automaton.weight[word], automaton.walk(state, arcs))]
         known = np.add.reduceat((one[word] > 0).astype(np.int64), runs.starts)
         return pa.Table.from_arrays([table.column("doc_id"), pa.compute.invert(table.column("_train")), pa.array(np.diff(runs.edges)), pa.array(known), pa.array([t["n"]] * len(table), pa.int64()), *map(pa.array, sums)], ["doc_id", "held_out", *_RESULT.names])
 
@@ -203,9 +206,12 @@ g AS (SELECT sum(c) AS n, count(*) AS v FROM c1),
 s AS (SELECT t.r, g.n AS n, coalesce(a.c, 0) AS z1, coalesce(b.c, 0) AS y1, coalesce(e.c, 0) AS z2, CASE WHEN t.p > 1 THEN coalesce(f.c, 0) ELSE 0 END AS y2, CASE WHEN t.p > 1 THEN coalesce(h.c, 0) ELSE 0 END AS z3, (coalesce(a.c, 0) + 1) / (g.n + g.v + 1) AS p1
   FROM t CROSS JOIN g LEFT JOIN c1 a ON t.z IS NOT DISTINCT FROM a.z LEFT JOIN c1 b ON t.y IS NOT DISTINCT FROM b.z LEFT JOIN c2 e ON t.z IS NOT DISTINCT FROM e.z AND t.y IS NOT DISTINCT FROM e.y
   LEFT JOIN c2 f ON t.y IS NOT DISTINCT FROM f.z AND t.x IS NOT DISTINCT FROM f.y LEFT JOIN c3 h ON t.z IS NOT DISTINCT FROM h.z AND t.y IS NOT DISTINCT FROM h.y AND t.x IS NOT DISTINCT FROM h.x),
-q AS (SELECT *, (z2 + 4.0::DOUBLE * p1) / (y1 + 4.0::DOUBLE) AS p2, floor(log10(p1) * 1073741824 + 0.5) AS l1 FROM s),
-l AS (SELECT r, z1, n, l1, CASE WHEN z3 > 0 THEN floor(log10((z3 + 4.0::DOUBLE * p2) / (y2 + 4.0::DOUBLE)) * 1073741824 + 0.5) ELSE CASE WHEN y2 > 0 THEN floor(log10(4.0::DOUBLE / (y2 + 4.0::DOUBLE)) * 1073741824 + 0.5) ELSE 0 END
-  + CASE WHEN z2 > 0 THEN floor(log10(p2) * 1073741824 + 0.5) WHEN y1 > 0 THEN floor(log10(4.0::DOUBLE / (y1 + 4.0::DOUBLE)) * 1073741824 + 0.5) + l1 ELSE l1 END END AS lp FROM q),
-o AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (z1 > 0) AS n_known, CAST(max(n) AS BIGINT) AS train_tokens, CAST(CAST(sum(CAST(l1 AS BIGINT)) AS BIGINT) AS DOUBLE) / 1073741824 AS base_score, CAST(CAST(sum(CAST(lp AS BIGINT)) AS BIGINT) AS DOUBLE) / 1073741824 AS score FROM l GROUP BY r)
+q AS (SELECT *, (z2 + 4.0::DOUBLE * p1) / (y1 + 4.0::DOUBLE) AS p2, log10(p1) AS l1 FROM s),
+l AS (SELECT r, z1, n, l1, CASE WHEN z3 > 0 THEN log10((z3 + 4.0::DOUBLE * p2) / (y2 + 4.0::DOUBLE)) WHEN y2 > 0 THEN log10(4.0::DOUBLE / (y2 + 4.0::DOUBLE)) ELSE 0 END AS a,
+  CASE WHEN z3 > 0 THEN 0 WHEN z2 > 0 THEN log10(p2) WHEN y1 > 0 THEN log10(4.0::DOUBLE / (y1 + 4.0::DOUBLE)) ELSE 0 END AS b, CASE WHEN z3 > 0 OR z2 > 0 THEN 0 ELSE l1 END AS c FROM q),
+-- Doubles are added up without rounding: in parts that are multiples of 2^-20 and of 2^-52.
+o AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (z1 > 0) AS n_known, CAST(max(n) AS BIGINT) AS train_tokens,
+  CAST(sum(CAST(floor(l1 * 1048576) AS BIGINT)) AS DOUBLE) / 1048576 + CAST(sum(CAST(floor((l1 - floor(l1 * 1048576) / 1048576) * 4503599627370496 + 0.5) AS BIGINT)) AS DOUBLE) / 4503599627370496 AS base_score,
+  CAST(sum(CAST(floor(a * 1048576) AS BIGINT) + CAST(floor(b * 1048576) AS BIGINT) + CAST(floor(c * 1048576) AS BIGINT)) AS DOUBLE) / 1048576 + CAST(sum(CAST(floor((a - floor(a * 1048576) / 1048576) * 4503599627370496 + 0.5) AS BIGINT) + CAST(floor((b - floor(b * 1048576) / 1048576) * 4503599627370496 + 0.5) AS BIGINT) + CAST(floor((c - floor(c * 1048576) / 1048576) * 4503599627370496 + 0.5) AS BIGINT)) AS DOUBLE) / 4503599627370496 AS score FROM l GROUP BY r)
 SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM o JOIN d USING (r)
 """
