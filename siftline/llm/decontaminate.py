@@ -152,6 +152,31 @@ class SuffixAutomaton:
         return np.diff(rows), hits, items
 
 
+def long_scan(automaton: SuffixAutomaton, data: np.ndarray, offsets: np.ndarray, window: int, limit: int = flat.PIECE):
+    """automaton.scan() of one long row, in portions that end with a word and begin window - 1 words before the last one's end, so each window is whole in one of them."""
+    at, end, before, size = 0, len(data), 0, limit
+    hits: list[tuple[int, int, int, int]] = []
+    items: set[int] = set()
+    while True:
+        last = min(end, at + size)
+        while last < end and flat.WORD_BYTE[flat.LOWER[data[last]]]:
+            gap = ~flat.WORD_BYTE[flat.LOWER[data[last : last + limit]]]
+            last += int(gap.argmax()) if gap.any() else len(gap)
+        own = np.array([0, last - at])
+        (count,), (found,), (which,) = automaton.scan(data[at:last], own)
+        hits = _merged(hits + [(x + before, y + before, p + at, q + at) for x, y, p, q in found])
+        items |= which
+        if last == end:
+            return np.array([before + int(count)]), [hits], [items]
+        starts = flat.words(data[at:last], own)[1]
+        again = min(len(starts), window - 1)
+        begin = int(starts[len(starts) - again]) if again else last - at
+        if begin:
+            before, at, size = before + len(starts) - again, at + begin, limit
+        else:  # few words, and long ones
+            size = 2 * size
+
+
 def _within(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known) or not len(h):
         return np.zeros(len(h), bool)
@@ -160,17 +185,6 @@ def _within(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == h
 
 
-def _merged(a: list[dict], b: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    out: list[tuple[int, int, int, int]] = []
-    for x in sorted([tuple(s.values()) for s in a] + b):
-        if out and x[0] <= out[-1][1]:
-            if x[1] > out[-1][1]:
-                out[-1] = (out[-1][0], x[1], out[-1][2], x[3])
-        else:
-            out.append(x)
-    return out
-
-
 class Automata:
     """The automata of all items, in a shared folder; one at a time is loaded."""
 
@@ -179,7 +193,7 @@ class Automata:
     def __init__(self, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES):
         items = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("text is not null")
         total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.count, self.folder = -(-total // max_bytes), shared.folder(items.sparkSession, "automata")
+        self.count, self.folder, self.window = -(-total // max_bytes), shared.folder(items.sparkSession, "automata"), window
 
         def build(table: pa.Table) -> pa.Table:
             rows = sorted(zip(table.column("name").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r))
@@ -204,11 +218,12 @@ class Automata:
         n = len(offsets) - 1
         counts, hits, names = np.zeros(n, np.int64), [[] for _ in range(n)], [set() for _ in range(n)]
         if not self.count:
-            for i, j in flat.pieces(offsets):
-                counts[i:j] = np.diff(flat.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[3])
+            for a, b, i, j in flat.portions(data, offsets, flat.WORD_BYTE):
+                counts[i:j] += np.diff(flat.words(data[a:b], np.clip(offsets[i : j + 1], a, b) - a)[3])
         for automaton in self.each():
             for i, j in flat.pieces(offsets):
-                counts[i:j], found, which = automaton.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                scan = automaton.scan if offsets[j] - offsets[i] <= flat.PIECE else lambda *whole: long_scan(automaton, *whole, self.window)  # noqa: B023
+                counts[i:j], found, which = scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for r, (runs, items) in enumerate(zip(found, which, strict=True), i):
                     if runs:
                         hits[r] = _merged(hits[r] + runs)

@@ -403,3 +403,20 @@ def test_counts_of_nothing(spark):
 def test_split_of_held_out_documents(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id"), langid.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
+@pytest.mark.parametrize("limit", [1, 40, 333, 5000])
+def test_long_texts_in_overlapping_portions(limit):
+    """The same hits, words and items as in one piece, wherever it is cut."""
+    import random
+
+    rng = random.Random(limit)
+    words = [rng.choice(["a", "bb", "ccc", "Dd", "é", "x" * 60]) for _ in range(900)]
+    text = "".join(w + rng.choice([" ", ", ", "\n", "  "]) for w in words).encode()
+    rows = [(str(k), [w.lower().encode() for w in words[s : s + n]]) for k, (s, n) in enumerate([(5, 10), (100, 25), (110, 30), (300, 12), (700, 3), (885, 15)])]
+    automaton = decontaminate.SuffixAutomaton(rows)
+    data = np.frombuffer(text, np.uint8)
+    whole = automaton.scan(data, np.array([0, len(data)]))
+    cut = decontaminate.long_scan(automaton, data, np.array([0, len(data)]), decontaminate.WINDOW, limit)
+    assert cut[0].tolist() == whole[0].tolist() and cut[2] == whole[2]
+    assert [s[0] for s in decontaminate._merged(list(whole[1][0]))] and decontaminate._merged(list(whole[1][0])) == cut[1][0]
