@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20  # of text whose keys go to one leaf
-TASK_BYTES = 16 << 20  # of text in one partition of an exchange
+TASK_BYTES = 8 << 20  # of text in one partition of an exchange
 FAN = 256  # messages of a sender at most
 SALTS = 1 << 16  # equal rows are dealt to up to so many chunks
 MESSAGE = "_from long, _to long, body binary"
