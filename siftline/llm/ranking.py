@@ -304,7 +304,7 @@ def search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: s
             df = df.join(F.broadcast(spark.createDataFrame([(x,) for x in vocabulary.view(np.int64).tolist()], "term long")), F.col("t.terms") == F.col("term"), "left_semi")  # at most item_bytes / 2 terms
         df = dict(df.groupBy("t.terms").agg(F.sum("t.counts")).collect())  # a row for each term of the block's items
         asked = [(r["item"], h, n * _weights(h, documents, df), 1) for r, (h, n) in zip(held, asked, strict=True)]
-        few = _top(_found(chunks.limit(PRIMED), asked, documents, total, k), k).where(F.col("rank") == k).select("item", "score").collect()
+        few = _top(_found(chunks.limit(PRIMED).repartition(PRIMED), asked, documents, total, k), k).where(F.col("rank") == k).select("item", "score").collect()
         least = dict(few)  # a row for each item of the block
         asked = [(i, h, w, least.get(i, 1)) for i, h, w, _ in asked]
         best = _top(_found(chunks, asked, documents, total, k), k)
