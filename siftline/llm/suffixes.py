@@ -423,7 +423,8 @@ def passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     """For each row: doc_id, n_bytes, n_removed, n_spans and kept_sha256. With keep, all columns of docs instead, text
     without the characters that lie wholly in removed bytes."""
     if keep:
-        chunks, kind = docs.withColumnsRenamed({doc_id: "doc_id", text: "text"}), docs.schema
+        own = {doc_id: "doc_id", text: "text"}
+        chunks, kind = docs.toDF(*(own.get(c) or f"kept_{uuid.uuid4().hex}" for c in docs.columns)), docs.schema  # so that no name clashes
     else:
         chunks, kind = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
     id_type = chunks.schema["doc_id"].dataType.simpleString()
@@ -485,7 +486,7 @@ def passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     told, _ = scatter.exchange(asked, layout, lambda bodies: _sort(bodies, window, folder), lambda bodies, ranges: Strings(bodies).merged(ranges), lambda bodies, answers: _pass_back(bodies, answers, window))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if kind is None else chunks.drop("_chunk").schema
     out = scatter.beside(chunks, [met, told], layout, cut, fields).withColumn("doc_id", F.col("doc_id").cast(id_type))
-    return out if kind is None else out.withColumnsRenamed({"doc_id": doc_id, "text": text}).select(*docs.columns)
+    return out if kind is None else out.toDF(*docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

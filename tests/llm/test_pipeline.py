@@ -105,11 +105,9 @@ INSIDE = ["score", "lang_pred", "spans", "_h", "_id", "h", "n", "node", "class_i
 def test_every_inner_name(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) between 100 and 300").limit(30)
     wide = shared.written(docs, "few")
-    wide = wide.select("*", *(F.lit(k).alias(x) for k, x in enumerate(INSIDE[:-1]))).toDF(*wide.columns, *INSIDE[:-1])
+    wide = wide.select("*", *(F.lit(k).alias(f"made_{k}") for k in range(len(INSIDE)))).toDF(*wide.columns, *INSIDE)
     out = dict(corpus_pipeline.STAGES)[name](spark, wide, SF)
     rows = out.collect()
     assert rows
     if name != "byte_bpe":
-        assert out.columns == wide.columns and all(r[x] == k for r in rows for k, x in enumerate(INSIDE[:-1]))
-    renamed = wide.toDF(*(x if x != "n_words" else "TEXT" for x in wide.columns))
-    assert dict(corpus_pipeline.STAGES)[name](spark, renamed, SF).columns == [x if x != "n_words" else "TEXT" for x in out.columns]
+        assert out.columns == wide.columns and all(list(r)[-len(INSIDE) :] == list(range(len(INSIDE))) for r in rows)
