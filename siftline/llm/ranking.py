@@ -43,6 +43,7 @@ CHUNK_BYTES = 16 << 20
 SPAN = 1024  # documents of adjoining stretches that are scored at once, about
 ITEM_BYTES = 1 << 20
 PRIMED = 4  # chunks that thresholds start from
+TASK_CHUNKS = 64  # that a task goes through, where there are many
 BEST = 10
 SCALE = 1_000_000_000
 _NONE = np.iinfo(np.int64).max  # stands for no id, and sorts last
@@ -297,8 +298,9 @@ def search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: s
         vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in asked)]))
         if chunks is None:  # one block of items needs the postings of its terms only
             chunks = index(docs, shared.folder(spark, "index"), doc_id=doc_id, text=text, vocabulary=vocabulary if blocks == 1 else None, chunk_bytes=chunk_bytes)
-            counts = chunks.select(F.size("ids").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("l")).agg(F.sum("n"), F.sum("l")).first()
+            counts = chunks.select(F.size("ids").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("l")).agg(F.sum("n"), F.sum("l"), F.count("*")).first()
             documents, total = counts[0] or 0, counts[1] or 0
+            tasks = max(1, min(counts[2], max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts[2] // TASK_CHUNKS))))
         df = chunks.select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
         if blocks > 1:
             df = df.join(F.broadcast(spark.createDataFrame([(x,) for x in vocabulary.view(np.int64).tolist()], "term long")), F.col("t.terms") == F.col("term"), "left_semi")  # at most item_bytes / 2 terms
@@ -307,7 +309,7 @@ def search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: s
         few = _top(_found(chunks.limit(PRIMED).repartition(PRIMED), asked, documents, total, k), k).where(F.col("rank") == k).select("item", "score").collect()
         least = dict(few)  # a row for each item of the block
         asked = [(i, h, w, least.get(i, 1)) for i, h, w, _ in asked]
-        best = _top(_found(chunks, asked, documents, total, k), k)
+        best = _top(_found(chunks.repartition(tasks), asked, documents, total, k), k)
         best = shared.written(best, "ranked") if blocks > 1 else best
         out = best if out is None else out.unionAll(best)
     return out.join(names.select("item", "item_id"), "item").select("item_id", "rank", F.nullif("doc_id", F.lit(_NONE)).alias("doc_id"), "score")
