@@ -266,11 +266,6 @@ def rescans(listings: DataFrame, take: Callable[[DataFrame, int], None], at: str
     listings.writeStream.foreachBatch(take).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
 
 
-def latest(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """Of each `by` the row with the largest order."""
-    return rows.groupBy(by).agg(F.max_by(F.struct(*(c for c in rows.columns if c != by)), order).alias("row")).select(by, "row.*")
-
-
 def changed(old: list[Column], new: list[Column]) -> Column:
     """Whether any of the new values differs from the old one."""
     out = F.lit(False)
