@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +26,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
+def written_to(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written to a new shared folder and read again, so that their lineage ends there; and the folder."""
     at, schema = shared_folder(rows.sparkSession, name), rows.schema
     rows.write.parquet(at)
-    return rows.sparkSession.read.schema(schema).parquet(at)
+    return rows.sparkSession.read.schema(schema).parquet(at), at
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    return written_to(rows, name)[0]
+
+
+def discarded(at: str) -> None:
+    """Deletes a folder of written_to() that nothing reads any longer."""
+    files, path = fs.FileSystem.from_uri(at if "://" in at else "file://" + at.removeprefix("file:"))
+    if files.get_file_info(path).type == fs.FileType.Directory:
+        files.delete_dir(path)
 
 
 def containment_pairs(members: DataFrame, least: float = CONTAINMENT, most: int = MOST_HOLDERS) -> DataFrame:
@@ -45,19 +58,20 @@ def containment_pairs(members: DataFrame, least: float = CONTAINMENT, most: int
 def components(edges: DataFrame) -> DataFrame:
     """DOM-04: node and root (the smallest node) of all nodes of edges (a, b), by alternating large and small stars: rounds
     grow with the logarithm of a component's width, and no node's neighbours are gathered."""
-    stars = written(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct(), "stars")
-    before = None
+    stars, at = written_to(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct(), "stars")
     while True:
+        ends = stars.select("node", F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(stars.select("root", F.lit(0), F.lit(1)))
+        loose = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1")
+        if loose.isEmpty():  # each node has one root, and no root has one
+            return stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
         both = stars.unionAll(stars.select(F.col("root").alias("node"), F.col("node").alias("root")))
         low = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
         large = both.where("root > node").join(low, "node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
         least = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(least, "node").select(F.col("root").alias("node"), F.col("low").alias("root")).unionAll(least.select("node", F.col("low").alias("root"))).where("node <> root").distinct()
-        stars = written(small, "stars")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if now == before:
-            return stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
-        before = now
+        stars, new = written_to(small, "stars")
+        discarded(at)
+        at = new
 
 
 def greedy_cover(members: DataFrame, clusters: DataFrame, rank: DataFrame) -> DataFrame:
