@@ -526,3 +526,11 @@ def test_fingerprints_in_batches():
     assert similarity.decode_all(pa.array(texts, pa.string())).to_pylist() == want
     assert similarity.decode_all(pa.array(["x", *texts], pa.string())[1:]).to_pylist() == want and sum(w is None for w in want) > 300
     assert similarity.decode_all(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_rows_with_one_url_are_seen_each_by_itself(spark, tmp_path):
+    from siftline.plans import queries
+
+    rows = [(1, "http://a"), (2, "http://a"), (3, "ftp://a"), (4, "http://b"), (5, None), (7, "http://b")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in queries.prune_unseen(spark, str(tmp_path)).collect()) == [2, 3, 4, 5]
