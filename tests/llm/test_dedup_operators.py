@@ -196,6 +196,19 @@ def test_one_of_each_class_stays(spark):
     assert neardup.class_ids(documents(spark, [(1, None)])).collect() == [(1, 1)]
 
 
+def test_large_groups_of_near_copies_stay_whole(spark):
+    """Each member has words of its own, so what they share is the most frequent of all."""
+    rng = random.Random(15)
+    base, texts = [f"w{k}" for k in range(200)], []
+    for k in range(60):
+        own = list(base)
+        own[rng.randrange(100)], own[100 + rng.randrange(100)] = f"x{k}", f"y{k}"
+        texts.append((k, " ".join(own)))
+    texts += [(100 + k, " ".join(f"z{rng.randrange(5000)}" for _ in range(50))) for k in range(40)]
+    got = dict(map(tuple, neardup.class_ids(documents(spark, texts)).collect()))
+    assert {got[k] for k in range(60)} == {0} and all(got[100 + k] == 100 + k for k in range(40))
+
+
 def test_buckets_with_several_components_go_on(spark):
     """A bucket's leader is like none of the others, which are like one another."""
     node = lambda k: (k, 0)
