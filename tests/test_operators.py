@@ -534,3 +534,14 @@ def test_rows_with_one_url_are_seen_each_by_itself(spark, tmp_path):
     rows = [(1, "http://a"), (2, "http://a"), (3, "ftp://a"), (4, "http://b"), (5, None), (7, "http://b")]
     spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(r.page_id for r in queries.prune_unseen(spark, str(tmp_path)).collect()) == [2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("common", [0, 2, 5, 1000])
+def test_overlaps_count_frequent_keys_where_they_must(spark, common):
+    rng = random.Random(21)
+    own = lambda: {k: {min(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(1, 9))} for k in range(25)}
+    ours, theirs = own(), own()
+    rows = lambda sets: spark.createDataFrame([(k, x) for k, s in sets.items() for x in s], "set long, key long")
+    want = {(a, b, len(s & t)) for a, s in ours.items() for b, t in theirs.items() if 2 * len(s & t) >= min(len(s), len(t))}
+    got = overlap.overlaps(rows(ours), rows(theirs), common=common)
+    assert sorted((r.ours, r.theirs, r.shared) for r in got.collect()) == sorted(want)
