@@ -545,3 +545,11 @@ def test_overlaps_count_frequent_keys_where_they_must(spark, common):
     want = {(a, b, len(s & t)) for a, s in ours.items() for b, t in theirs.items() if 2 * len(s & t) >= min(len(s), len(t))}
     got = overlap.overlaps(rows(ours), rows(theirs), common=common)
     assert sorted((r.ours, r.theirs, r.shared) for r in got.collect()) == sorted(want)
+
+
+def test_refining_sends_no_prints_with_the_pairs(spark):
+    pairs = spark.createDataFrame([(1, 2, 1, 2, 2, 0.5, False)], "ours long, theirs long, shared long, size_ours long, size_theirs long, share double, certain boolean")
+    side = lambda name, keys: spark.createDataFrame([(1 if name == "ours" else 2, k, 10.0, p) for k, p in keys], f"{name}_set long, {name}_key long, {name}_seconds double, {name}_print array<long>")
+    seen = overlap.refined(pairs, side("ours", [(1, [1]), (2, [7])]), side("theirs", [(1, [1]), (3, [7])]), F.when(F.col("ours_print") == F.col("theirs_print"), 1.0).otherwise(0.0))
+    assert [tuple(r) for r in seen.collect()] == [(1, 2, 2, 1.0, 1.0)]
+    assert "_print" not in seen._jdf.queryExecution().optimizedPlan().toString()
