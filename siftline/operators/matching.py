@@ -66,9 +66,12 @@ def release_tracks(items: DataFrame, tracks: DataFrame) -> DataFrame:
     recording if the album has it once, else by disc and place among those with the recording."""
     direct = items.join(tracks.select("album", F.col("track").alias("release_track"), F.col("track")), ["album", "release_track"]).select("album", "item", "track")
     rest = items.join(direct.select("album", "item"), ["album", "item"], "left_anti")
-    found = rest.select("album", "item", "recording", F.col("disc").alias("d"), F.col("place").alias("p")).join(tracks, ["album", "recording"])
-    both = found.groupBy("album", "item").agg(F.count("*").alias("n"), F.min("track").alias("only"), F.min(F.when((F.col("disc") == F.col("d")) & (F.col("place") == F.col("p")), F.col("track"))).alias("there"))
-    return direct.unionAll(both.select("album", "item", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("there")).alias("track")).where("track is not null"))
+    # A recording may have many tracks: they are counted, not paired with every item.
+    once = tracks.where("recording is not null").groupBy("album", "recording").agg(F.count("*").alias("n"), F.min("track").alias("only"))
+    placed = tracks.groupBy("album", "recording", "disc", "place").agg(F.min("track").alias("there"))
+    both = rest.join(once, ["album", "recording"]).join(placed, ["album", "recording", "disc", "place"], "left")
+    found = both.groupBy("album", "item").agg(F.sum("n").alias("n"), F.min("only").alias("only"), F.min("there").alias("there"))
+    return direct.unionAll(found.select("album", "item", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("there")).alias("track")).where("track is not null"))
 
 
 def unpaired(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:
