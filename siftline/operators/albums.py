@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import expr
-from siftline.operators import matching
+from siftline.operators import dedupe
 
 
 def evidence(files: DataFrame, first: int = 8) -> DataFrame:
@@ -37,7 +37,9 @@ def shared_audio(pairs: DataFrame, items: DataFrame, least: float = 0.5) -> Data
 
 def only_here(members: DataFrame) -> DataFrame:
     """SET-05, DOM-22: members (group, album, item): for each album the items that no other album of its group has."""
-    alone = members.distinct().groupBy("group", "item").agg(F.count("*").alias("n"), F.min("album").alias("album")).where("n = 1")
+    none = F.col("album").isNull()
+    own = dedupe.spread(members.select("group", "album", "item"), "group", "item").groupBy("group", "item")
+    alone = own.agg(F.min("album").alias("album"), F.max("album").alias("last"), F.min(none).alias("all"), F.max(none).alias("any")).where("album <=> last and all = any")
     return alone.groupBy("group", "album").agg(F.count("*").alias("only_here"))
 
 
