@@ -65,7 +65,11 @@ def arrivals(wanted: DataFrame, library: DataFrame, had: DataFrame) -> DataFrame
     """DOM-57: wanted (key, artist, title), library (album, artist, title), had (key, album): the first album of each wanted name that
     wasn't there before."""
     name = lambda c: expr.norm_name(F.col(c))
-    found = wanted.select("key", name("artist").alias("a"), name("title").alias("t")).join(library.select("album", name("artist").alias("a"), name("title").alias("t")), ["a", "t"])
+    # Of a name's albums in order, one of the first n + 1 is new to a key that had n: no other is looked at.
+    places = library.select("album", name("artist").alias("a"), name("title").alias("t")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("a", "t").orderBy(F.asc_nulls_last("album"))))
+    before = had.select("key", "album").distinct().groupBy("key").agg(F.count("*").cast("int").alias("n"))
+    asked = wanted.select("key", name("artist").alias("a"), name("title").alias("t")).join(before, "key", "left")
+    found = asked.withColumn("place", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(0)) + 1))).join(places, ["a", "t", "place"])
     return found.join(had, ["key", "album"], "left_anti").groupBy("key").agg(F.min("album").alias("album"))
 
 
