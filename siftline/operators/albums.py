@@ -109,7 +109,7 @@ def upgrade_removals(upgrades: DataFrame, albums: DataFrame, placed: DataFrame,
     ready = albums.where("status = 'imported' and decision = 'approve'").select("album", "folder")
     done = upgrades.withColumn("folder", F.explode(ancestors(F.col("path")))).join(ready, "folder").select("album", F.col("replaced").alias("folder")).distinct()
     others = placed.where(~F.col("source").startswith(root)).withColumn("folder", F.explode(ancestors(F.col("dest"))))
-    return others.join(done, "folder").select("album", "dest").distinct()
+    return dedupe.spread(others.join(done, "folder").select("album", "dest"), "dest", "album").distinct()
 
 
 def ancestors(path: Column) -> Column:
