@@ -144,11 +144,11 @@ def no_art(albums: DataFrame, art: DataFrame) -> DataFrame:
 def disc_albums(files: DataFrame, dropped_files: DataFrame, dropped_folders: DataFrame) -> DataFrame:
     """SRC-15: files (path): albums are folders; folders of discs beside each other, as "cd 1" or "disc 2" with the same words before, are one. Dropped files (path) and
     files below dropped folders (folder) don't count."""
-    kept = files.join(dropped_files.select("path"), "path", "left_anti")
-    below = kept.withColumn("folder", F.explode(ancestors(F.col("path")))).join(dropped_folders.select("folder"), "folder", "left_semi").select("path").distinct()
-    kept = kept.join(below, "path", "left_anti").withColumn("folder", expr.folder(F.col("path")))
+    kept = dedupe.spread(files, "path").join(dedupe.spread(dropped_files.select("path"), "path"), "path", "left_anti").withColumn("folder", expr.folder(F.col("path")))
+    folders = kept.groupBy("folder").agg(F.count("*").alias("files"))
+    below = folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("above")).join(dropped_folders.select(F.col("folder").alias("above")), "above", "left_semi").select("folder").distinct()
     plain = F.regexp_replace("folder", r"(?i)[ _\-\[(]*(?:cd|disc|disk|disco)[ _.\-]*\d+[\])]?/$", "/")
-    return kept.groupBy(plain.alias("album")).agg(F.count_distinct("folder").alias("folders"), F.count("*").alias("files"), F.min("folder").alias("key"))
+    return folders.join(below, "folder", "left_anti").groupBy(plain.alias("album")).agg(F.count("*").alias("folders"), F.sum("files").alias("files"), F.min("folder").alias("key"))
 
 
 def foreign_script(albums: DataFrame, items: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import expr
-from siftline.operators import albums, matching, overlap
+from siftline.operators import albums, dedupe, matching, overlap
 from siftline.plans import collection
 from siftline.plans.registry import query, table
 
@@ -175,7 +175,7 @@ def disc_albums(spark, sf):
     """SRC-15: folders of discs are one album; dropped files and folders don't count."""
     o, p = F.col("l_orderkey"), F.col("l_partkey")
     disc = F.when(o % 2 == 0, F.concat(F.lit(" (CD"), F.col("l_linenumber").cast("string"), F.lit(")"))).otherwise("")
-    files = table(spark, sf, "lineitem").select(F.concat(F.lit("m/"), (o % 300).cast("string"), disc, F.lit("/"), p.cast("string")).alias("path"), p.alias("p")).distinct()
+    files = dedupe.spread(table(spark, sf, "lineitem").select(F.concat(F.lit("m/"), (o % 300).cast("string"), disc, F.lit("/"), p.cast("string")).alias("path"), p.alias("p")), "path").distinct()
     folders = spark.createDataFrame([("m/7/",), ("m/8 (CD1)/",)], "folder string")
     return albums.disc_albums(files.select("path"), files.where("p % 10 = 0").select("path"), folders)
 

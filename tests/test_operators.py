@@ -553,3 +553,31 @@ def test_refining_sends_no_prints_with_the_pairs(spark):
     seen = overlap.refined(pairs, side("ours", [(1, [1]), (2, [7])]), side("theirs", [(1, [1]), (3, [7])]), F.when(F.col("ours_print") == F.col("theirs_print"), 1.0).otherwise(0.0))
     assert [tuple(r) for r in seen.collect()] == [(1, 2, 2, 1.0, 1.0)]
     assert "_print" not in seen._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_of_many_keys_are_dealt_before_they_are_made(spark):
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    here = albums.only_here(rows([(1, 1, 5), (1, 2, 5), (1, 2, 6), (1, 2, 6), (2, 1, 7), (1, None, 8), (1, None, 9), (1, 3, 9)], "group long, album long, item long"))
+    assert sorted(map(tuple, here.collect()), key=str) == [(1, 2, 1), (1, None, 1), (2, 1, 1)]
+    gone = albums.upgrade_removals(rows([("in/a/1", "l/"), ("in/a/2", "l/x/")], "path string, replaced string"), rows([(1, "in/a/", "imported", "approve")], "album long, folder string, status string, decision string"), rows([("old/1", "l/x/1"), ("in/2", "l/x/2")], "source string, dest string"), F.lit("in/"))
+    assert [tuple(r) for r in gone.collect()] == [(1, "l/x/1")]
+    paths = rows([("m/a (CD1)/1",), ("m/a (CD2)/1",), ("m/b/1",), ("m/b/2",), ("m/c/d/1",)], "path string")
+    discs = albums.disc_albums(paths, rows([("m/b/2",)], "path string"), rows([("m/c/",)], "folder string"))
+    assert sorted(map(tuple, discs.collect())) == [("m/a/", 2, 2, "m/a (CD1)/"), ("m/b/", 1, 1, "m/b/")]
+    for found in (here, gone, discs):
+        assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_name_or_recording_of_many_makes_no_squared_pairs(spark):
+    n = 3000
+    many = spark.range(n)
+    want = many.select(F.col("id").alias("key"), F.lit("A").alias("artist"), F.lit("T").alias("title"))
+    lib = many.select(F.col("id").alias("album"), F.lit("the a").alias("artist"), F.lit("t").alias("title"))
+    new = albums.arrivals(want, lib, spark.createDataFrame([(0, 0), (0, 1), (5, 0), (6, 1)], "key long, album long"))
+    tracks = many.select(F.lit(1).alias("album"), F.col("id").alias("track"), F.lit(1).alias("recording"), (F.col("id") % 3).alias("disc"), F.lit(1).alias("place"))
+    items = many.select(F.lit(1).alias("album"), F.col("id").alias("item"), F.lit(None).cast("long").alias("release_track"), F.lit(1).alias("recording"), (F.col("id") % 4).alias("disc"), F.lit(1).alias("place"))
+    held = matching.release_tracks(items, tracks)
+    assert {r.key: r.album for r in new.collect()} == {k: {0: 2, 5: 1}.get(k, 0) for k in range(n)}
+    assert sorted((r.item, r.track) for r in held.collect()) == [(k, k % 4) for k in range(n) if k % 4 < 3]
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "place#" in plan(new) and plan(held).count("Aggregate") >= 3  # before anything meets
