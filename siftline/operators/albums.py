@@ -13,7 +13,7 @@ def evidence(files: DataFrame, first: int = 8) -> DataFrame:
     """DOM-20: files (album, id, name, albumartist, artist, title, date, codec, minutes, verdict): each album's commonest tags (of equals, the first
     seen), minutes, files, counts of verdicts, and its first files with their titles. Files with the same id are told apart by name."""
     seen = F.struct("id", "name")
-    own = files.withColumn("seen", seen)
+    own = dedupe.spread(files, "album").withColumn("seen", seen)  # all that follows groups and joins by album where its rows are
     out = own.groupBy("album").agg(F.count("*").alias("files"), F.round(F.sum(F.coalesce("minutes", F.lit(0.0))), 1).alias("minutes"), F.count_if(F.col("verdict") == "confirmed").alias("confirmed"), F.count_if(F.col("verdict") == "mismatch").alias("mismatch"), F.count_if(F.col("verdict").isNull()).alias("none"))
     tags = ["albumartist", "artist", "title", "date", "codec"]
     each = own.select("album", "seen", F.inline(F.array(*(F.struct(F.lit(t).alias("tag"), F.col(t).cast("string").alias("value")) for t in tags)))).where(expr.filled(F.col("value")))
