@@ -581,3 +581,12 @@ def test_one_name_or_recording_of_many_makes_no_squared_pairs(spark):
     assert sorted((r.item, r.track) for r in held.collect()) == [(k, k % 4) for k in range(n) if k % 4 < 3]
     plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
     assert "place#" in plan(new) and plan(held).count("Aggregate") >= 3  # before anything meets
+
+
+def test_evidence_is_dealt_by_album_once(spark):
+    kind = "album long, id long, name string, albumartist string, artist string, title string, date string, codec string, minutes double, verdict string"
+    rows = spark.createDataFrame([(1, k, f"n{k}", "", "a" if k else "b", "t", None, "x", 1.5, "confirmed") for k in range(3)], kind)
+    found = albums.evidence(rows)
+    assert [(r.files, r.minutes, r.artist, r.sample) for r in found.collect()] == [(3, 4.5, "a", "1:n0;2:n1;3:n2")]
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan
