@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siftline.operators import review
@@ -123,3 +124,91 @@ def test_judged(spark):
     asked = [("a", "approve", None, "x"), ("b", "approve", "", "x"), ("b", "skip", None, "x"), ("c", "skip", None, "x"), ("d", "asis", None, ""), ("e", "skip", None, "x"), ("a", "drop", None, "x"), (None, "skip", None, "x")]
     got = review.judged(spark.createDataFrame(asked, "key string, decision string, choice string, reason string"), queue).collect()
     assert {(r.key, r.decision): (r.choice, r.fault) for r in got} == {("a", "approve"): ("r1", "repeated"), ("b", "approve"): (None, "no_choice"), ("b", "skip"): (None, "repeated"), ("c", "skip"): (None, "imported"), ("d", "asis"): (None, "no_reason"), ("e", "skip"): (None, "unknown"), ("a", "drop"): (None, "kind"), (None, "skip"): (None, "unknown")}
+
+
+class _Store:
+    """What a processor needs of a store, for one key, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.lists, self.value = 0, set(), [], None
+
+    def getListState(self, name, schema):
+        return _List(self)
+
+    def getValueState(self, name, schema):
+        return _Value(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class _List:
+    def __init__(self, store):
+        self.store = store
+
+    def appendValue(self, row):
+        self.store.calls += 1
+        self.store.lists.append(row)
+
+    def put(self, rows):
+        self.store.calls += 1
+        self.store.lists = list(rows)
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.lists = []
+
+    def get(self):
+        self.store.calls += 1
+        return iter(list(self.store.lists))
+
+
+class _Value:
+    def __init__(self, store):
+        self.store = store
+
+    def exists(self):
+        self.store.calls += 1
+        return self.store.value is not None
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.value
+
+    def update(self, row):
+        self.store.calls += 1
+        self.store.value = row
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.value = None
+
+
+class _Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+@pytest.mark.parametrize("made", [lambda: stateful._Held(3_600_000_000), lambda: stateful._Quiet(600_000_000)])
+def test_a_keys_batch_costs_the_store_the_same_however_many_rows_it_has(made):
+    """A thousand rows of a key, one an hour, of which the watermark then passes the first half, then all."""
+
+    def calls(n):
+        own, store = made(), _Store()
+        own.init(store)
+        rows = [Row(at=k * 3_600_000_000 + 1, busy=k % 5 > 0, counts=True) for k in range(n)]
+        list(own.handleInputRows(("x",), iter(rows), _Now(0)))
+        found = []
+        for now in (n // 2 * 3_600_000 + 1800_000, (n + 2) * 3_600_000):
+            for timer in sorted(t for t in store.timers if t <= now):
+                found += own.handleExpiredTimer(("x",), _Now(now), None)
+                store.timers.discard(timer)
+        return store.calls, len(found)
+
+    few, many = calls(20), calls(1000)
+    assert many[1] == 50 * few[1] and few[1] > 3
+    assert many[0] == few[0]
