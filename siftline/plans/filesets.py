@@ -106,8 +106,8 @@ def file_tags(spark, sf):
 def file_digests(spark, sf):
     """SRC-01, SRC-03: files found by a walk, read a piece at a time."""
     rows = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat("p_name", "p_type").alias("text"))
-    found = dedupe.written(readers.walk(spark, put(rows, lambda row: row["text"].encode(), "txt")), "found")
-    return found.join(readers.digests(found), "path").where("error is null").select(_id("path"), "size", "sha256")
+    found = readers.walk(spark, put(rows, lambda row: row["text"].encode(), "txt"))
+    return readers.digests(found, keep=("size",)).where("error is null").select(_id("path"), "size", "sha256")
 
 
 def _service(keys: list[str]) -> list[str]:

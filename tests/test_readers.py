@@ -138,3 +138,11 @@ def test_refusal_ends_the_read(spark):
     lookups.register(spark, "shut", ask, "string")
     with pytest.raises(Exception, match="invalid key"):
         lookups.looked_up(spark.createDataFrame([("a",)], "k string"), "shut").collect()
+
+
+def test_digests_send_no_list_of_files_to_the_driver(spark):
+    """What a walk knows of a file goes along with its path: no join, and so nothing that is broadcast."""
+    from siftline.plans import catalog
+
+    plan = catalog.QUERIES["file_digests"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
