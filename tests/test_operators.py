@@ -590,3 +590,12 @@ def test_evidence_is_dealt_by_album_once(spark):
     assert [(r.files, r.minutes, r.artist, r.sample) for r in found.collect()] == [(3, 4.5, "a", "1:n0;2:n1;3:n2")]
     plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
     assert "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_relabelling_groups_the_lines_once(spark):
+    """A plan reads its files and tracks a dozen times; none of that may read and group all lines again."""
+    from siftline.plans import relabelling
+
+    for rows in relabelling._files(spark, "/root/testdata/sf0.001"):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan
