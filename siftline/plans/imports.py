@@ -31,7 +31,7 @@ def batch_plan(spark, sf):
     pairs = third.select(F.col("path").alias("ours"), text("l/", c, "/").alias("theirs"), (0.9 + (i % 10) / 100).alias("share_ours")).unionAll(third.select("path", text("l/", c + 1, "/"), F.lit(0.95)))
     same = half.select(F.col("path").alias("ours_set"), text("l/", c + 2, "/").alias("theirs_set"), F.lit(0.5).alias("covered"), (i % 4 == 0).alias("held"))
     even = F.length("ours") % 2 == 0
-    facts = pairs.select("ours", "theirs").unionAll(same.select("ours_set", "theirs_set")).distinct().select("ours", "theirs", F.when(even, "skip").otherwise("review").alias("outcome"), F.when(even, "duplicate").otherwise("upgrade").alias("kind"))
+    facts = pairs.select("ours", "theirs").unionAll(same.select("ours_set", "theirs_set")).select("ours", "theirs", F.when(even, "skip").otherwise("review").alias("outcome"), F.when(even, "duplicate").otherwise("upgrade").alias("kind"))
     files = f.select(F.col("path").alias("folder"), F.concat("path", F.lit("x")).alias("path"), (F.col("c") % 40).alias("digest"))
     library = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("digest"), text("l/", F.col("s_suppkey")).alias("path"))
     elsewhere = f.where("id % 5 = 0").select(F.col("path").alias("ours"), text("d/", i).alias("theirs"), F.lit(0.9).alias("share"))

@@ -599,3 +599,21 @@ def test_relabelling_groups_the_lines_once(spark):
     for rows in relabelling._files(spark, "/root/testdata/sf0.001"):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_a_batch_is_dealt_by_folder_once(spark):
+    rows = spark.createDataFrame
+    dropped = rows([("b/1/", "folder", True, "b/9/", 1.0), ("b/2/", "folder", False, "b/9/", 1.0), ("b/5/y", "file", True, "b/9/y", 1.0)], "path string, scope string, auto boolean, other string, share double")
+    pairs = rows([("b/1/", "l/1/", 1.0), ("b/2/", "l/2/", 0.9), ("b/2/", "l/1/", 0.95), ("b/2/", "l/1/", 0.95), ("b/3/", "l/8/", 1.0)], "ours string, theirs string, share_ours double")
+    same = rows([("b/2/", "l/2/", 0.5, True), ("b/3/", "l/3/", 0.5, False), ("b/4/", "l/3/", 0.6, True)], "ours_set string, theirs_set string, covered double, held boolean")
+    facts = rows([(f"b/{k}/", f"l/{n}/", "skip", "duplicate") for k in range(1, 5) for n in range(1, 4)] * 2, "ours string, theirs string, outcome string, kind string")
+    files = rows([(f"b/{k}/", f"b/{k}/{name}", digest) for k in range(1, 6) for name, digest in (("x", 7), ("y", 7), ("z", None))], "folder string, path string, digest long")
+    library = rows([("l/b", 7), ("l/a", 7), ("l/c", None)], "path string, digest long")
+    elsewhere = rows([("b/1/", "d/1/", 0.9), ("b/5/", "d/1/", 0.9), ("b/5/", "d/1/", 0.9), ("b/5/", "d/1/", 0.8)], "ours string, theirs string, share double")
+    plan = overlap.batch_plan(dropped, pairs, same, facts, files, library, elsewhere)
+    assert sorted(tuple(r) for r in plan.collect()) == sorted([
+        ("b/1/", "folder", "skip", "in_batch", "b/9/", 1.0), ("b/2/", "folder", "review", "in_batch_review", "b/9/", 1.0), ("b/5/y", "file", "skip", "in_batch", "b/9/y", 1.0),
+        ("b/2/", "folder", "skip", "duplicate", "l/1/", 0.95), ("b/3/", "folder", "review", "edition", "l/3/", 0.5), ("b/4/", "folder", "skip", "duplicate", "l/3/", 0.6),
+        ("b/5/x", "file", "skip", "identical", "l/a", 1.0), ("b/5/", "folder", "flag", "dump_overlap", "d/1/", 0.9), ("b/5/", "folder", "flag", "dump_overlap", "d/1/", 0.8)])
+    dealt = [x for x in plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines() if "Exchange hashpartitioning(ours#" in x]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]  # which adaptive plans leave as they are
