@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import random
 
 import pytest
@@ -555,6 +556,24 @@ def test_refining_sends_no_prints_with_the_pairs(spark):
     assert "_print" not in seen._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_prints_are_made_where_they_are_compared(spark, monkeypatch):
+    from siftline.plans import queries
+
+    plans, write = {}, dedupe.written
+    monkeypatch.setattr(dedupe, "written", lambda rows, name: plans.update({name: rows._jdf.queryExecution().executedPlan().toString().splitlines()}) or write(rows, name))
+    queries.refined_overlaps(spark, "/root/testdata/sf0.001")
+    assert set(plans) == {"overlaps", "near", "alike"}
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for plan in plans.values():
+        for at, line in enumerate(plan):
+            if "BroadcastExchange" in line:
+                sent = itertools.takewhile(lambda x: depth(x) > depth(line), plan[at + 1 :])
+                assert not any("array_repeat" in x for x in sent)
+    assert any("array_repeat" in x for x in plans["alike"])
+    assert not any("SortAggregate" in x for x in plans["alike"])
+    assert any("REPARTITION_BY_NUM" in x for x in plans["near"])
+
+
 def test_groups_of_many_keys_are_dealt_before_they_are_made(spark):
     rows = lambda data, schema: spark.createDataFrame(data, schema)
     here = albums.only_here(rows([(1, 1, 5), (1, 2, 5), (1, 2, 6), (1, 2, 6), (2, 1, 7), (1, None, 8), (1, None, 9), (1, 3, 9)], "group long, album long, item long"))
